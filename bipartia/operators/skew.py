@@ -22,9 +22,11 @@ def number_within_key(df: DataFrame, keys: list[str], order: list[str]) -> DataF
     Null keys are keys like others. Ties in ``order`` are numbered in any order. An empty input gives no rows.
     """
     rows, offsets = _offsets(df, keys, order)
-    start = F.col("_off") - F.col("_start")
-    out = rows.join(offsets.drop("_parts"), on=[rows[k].eqNullSafe(offsets[k]) for k in keys] + [rows["_part"] == offsets["_part"]])
-    return out.select(*[rows[c] for c in df.columns], (rows["_pos"] + start).alias("_seq"))
+    shifts = offsets.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_part").alias("_in"), (F.col("_off") - F.col("_start")).alias("_shift"))
+    same = F.col("_part") == F.col("_in")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return rows.join(shifts, same).select(*df.columns, (F.col("_pos") + F.col("_shift")).alias("_seq"))
 
 
 def _offsets(df: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
