@@ -23,6 +23,18 @@ FACTORS = 6
 _LOOKALIKE = str.maketrans("абвгеёзіјкмнорѕстухүһԁԛԝαβεηικνορτυχ", "abbreezijkmhopsctyxyhdqwabenikvoptux")
 # Signs that stand for letters. Fixed values.
 _LEET = str.maketrans("0134578$@", "oieastbsa")
+# Words that often carry the categories, in the languages of most texts. They only say of which kind a word is; how much a
+# kind matters, and beside which other terms, is learned. Fixed values.
+KINDS = {
+    "insult": "idiot idiots stupid moron morons imbecile dumb dimwit cretin loser losers trash garbage scum worthless pathetic useless brainless braindead clown "
+    "fool pig ape vollidiot versager dummkopf depp trottel idiota imbecil inutil estupido imprestavel burro abruti connard stronzo scemo идиот дурак тупой 白痴 笨蛋 バカ",
+    "threat": "kill die dies dead slap punch beat hurt regret burn hang mother vanish ashamed sterben tot morir mourir muere morre",
+    "group": "foreigners foreigner migrants migrant immigrants refugees women men blacks whites jews muslims christians gays disabled old folks elderly believers tribe "
+    "islanders people them they those ausländer frauen extranjeros mujeres étrangers femmes estrangeiros mulheres",
+    "contempt": "vermin rats subhuman filthy liars breed steal poison plague ungeziefer plaga belong typical thrown blood raus echarlos vermine dehors praga",
+    "sexual": "sex sexy nude nudes naked horny porn erotic undress bed bang spank moaned scream cam babe strip kiss touch skirt nackt nacktbilder desnuda desnudo nue nu nua pelada голая",
+    "you": "you your yours u du dich dein deine tu te toi ton ta eres tus você vocês seu ты тебя 你 君",
+}
 _INVISIBLE = re.compile("[­᠎​-‏‪-‮⁠-⁤﻿︀-️]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]{1,3}[^\W_](?![^\W_])){2,}")
 _SENTENCE = re.compile(r"[.!?;。！？؟]+(?=\s|$)|[。！？\r\n]+|(?<=\w)\.(?=\s)")
@@ -31,11 +43,16 @@ _REPEAT = re.compile(r"(.)\1+")
 _CODE = re.compile(r"^(?=.*\d)[\w]+$")
 
 
+_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+# Longer sentences are scored in windows of so many words, half overlapping.
+WINDOW = 14
+
+
 def sentences(text: str | None) -> list[str]:
     """Sentences of a text, without invisible characters; letters set apart are joined."""
     if not text:
         return []
-    text = _INVISIBLE.sub("", text)
+    text = _TAG.sub("\n", _INVISIBLE.sub("", text))
     text = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]+", "", m.group()), text)
     return [s for s in _SENTENCE.split(text) if s and not s.isspace()]
 
@@ -99,9 +116,30 @@ def _bucket(term: str) -> int:
     return zlib.crc32(term.encode("utf-8", "replace")) & (BUCKETS - 1)
 
 
+def _kinds() -> dict[str, str]:
+    return {plain_word(w): k for k, ws in KINDS.items() for w in ws.split()}
+
+
+_KIND_OF: dict[str, str] = {}
+
+
 def terms(words: list[str]) -> list[str]:
-    """Words and pairs of neighbours, each once."""
-    return list(dict.fromkeys(words + [f"{a} {b}" for a, b in zip(words, words[1:])]))
+    """Words, pairs of neighbours, kinds of words and pairs of kinds, each once."""
+    if not _KIND_OF:
+        _KIND_OF.update(_kinds())
+    found = sorted({k for w in words if (k := _KIND_OF.get(w))})
+    kinds = [f"kind of {k}" for k in found] + [f"kinds {a} and {b}" for i, a in enumerate(found) for b in found[i + 1 :]]
+    return list(dict.fromkeys(words + [f"{a} {b}" for a, b in zip(words, words[1:])] + kinds))
+
+
+def pieces(text: str | None, speller) -> list[tuple[str, ...]]:
+    """The sentences of a text in plain words, long ones in windows."""
+    out = []
+    for s in sentences(text):
+        if ws := [speller(w) for w in _TOKEN.findall(s)]:
+            starts = range(0, len(ws) - WINDOW // 2, WINDOW // 2) if len(ws) > WINDOW else (0,)
+            out += [tuple(ws[i : i + WINDOW]) for i in starts]
+    return out
 
 
 class Machine:
@@ -127,8 +165,10 @@ def fit(rows: list[list[int]], yes: np.ndarray, no: np.ndarray, epochs: int = 12
     sizes = np.array([len(r) for r in rows])
     flat = np.concatenate([np.array(r, np.int64) for r in rows])
     first = np.cumsum(sizes) - sizes
-    # A sentence that many documents share counts by the root of its votes.
-    scale = 1 / np.sqrt(np.maximum(1, yes + no))
+    # Yes weighs more where it is rare; a sentence that many documents share counts by the root of its votes.
+    votes = np.sqrt(np.maximum(1, yes + no))
+    more = np.sqrt(min(100.0, max(1.0, no.sum() / max(1.0, yes.sum()))))
+    yes, no = yes * more / votes, no / votes
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), 256):
@@ -141,7 +181,7 @@ def fit(rows: list[list[int]], yes: np.ndarray, no: np.ndarray, epochs: int = 12
             s = np.add.reduceat(vx, starts, axis=0)
             z = w0 + np.add.reduceat(w[idx] * x, starts) + 0.5 * (s * s - np.add.reduceat(vx * vx, starts, axis=0)).sum(axis=1)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            err = ((yes[pick] + no[pick]) * p - yes[pick]) * scale[pick]
+            err = (yes[pick] + no[pick]) * p - yes[pick]
             e = np.repeat(err, n)
             grad_w = np.bincount(idx, e * x, BUCKETS)
             used = np.unique(idx)
@@ -160,40 +200,56 @@ def fit(rows: list[list[int]], yes: np.ndarray, no: np.ndarray, epochs: int = 12
     return Machine(w0, w, v)
 
 
+def _lower(yes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Lower end of Wilson's interval, one deviation wide, of the rate yes / n; 0 for a single observation."""
+    p = yes / n
+    low = (p + 0.5 / n - np.sqrt(p * (1 - p) / n + 0.25 / n**2)) / (1 + 1 / n)
+    return np.where(n > 1, low, 0.0)
+
+
 def learn(texts: list[str | None], labels: np.ndarray, rare: int = 2) -> tuple[Machine | None, Speller]:
-    """Fit one category from labelled documents. Labels hold for documents, but are learned for sentences.
+    """Fit one category from labelled documents. Labels hold for documents, but the machine learns sentences.
 
-    First, every sentence takes its documents' labels: sentences that stand in many documents get their documents'
-    rate, so only telling ones come out high. Then documents that have the label vote yes for their most telling sentences
-    only, and no longer for the rest, and the machine is fitted again.
+    A term's rate is the share of the documents with it that have the label; a sentence is as telling as its three
+    best terms. A document with the label votes yes for its most telling sentences and no for the others;
+    if none is telling, the label is taken for an error and left out, as are telling sentences of documents without the
+    label. After a first fit the machine itself says which sentences are telling, and is fitted again.
     """
-    split = [sentences(t) for t in texts]
-    counts = Counter(plain_word(w) for ss in split for s in ss for w in _TOKEN.findall(s))
-    speller = Speller({w: n for w, n in counts.items() if n > rare and "*" not in w})
-    docs, seen = [], {}
-    for ss in split:
-        mine = set()
-        for s in ss:
-            if ws := [speller(w) for w in _TOKEN.findall(s)]:
-                mine.add(seen.setdefault(tuple(ws), len(seen)))
-        docs.append(sorted(mine))
+    counts = Counter(plain_word(w) for t in texts for s in sentences(t) for w in _TOKEN.findall(s))
+    speller = Speller({w: 1 for w in _kinds()} | {w: n for w, n in counts.items() if n > rare and "*" not in w})
+    seen: dict[tuple[str, ...], int] = {}
+    docs = [sorted({seen.setdefault(ws, len(seen)) for ws in pieces(t, speller)}) for t in texts]
     if not seen or not labels.any() or labels.all():
         return None, speller
-    df = Counter(t for ws in seen for t in terms(list(ws)))
-    keys = [[_bucket(t) for t in terms(list(ws)) if df[t] > 1 or " " not in t] for ws in seen]
-    yes, no = np.zeros(len(seen)), np.zeros(len(seen))
+    index: dict[str, int] = {}
+    ids = [[index.setdefault(t, len(index)) for t in terms(list(ws))] for ws in seen]
+    n, yes_n = np.zeros(len(index)), np.zeros(len(index))
     for d, y in zip(docs, labels):
-        (yes if y else no)[d] += 1
-    machine = fit(keys, yes, no)
-    for _ in range(2):
-        n = np.array([len(k) for k in keys])
-        p = machine.score(np.concatenate([np.array(k) for k in keys]), np.cumsum(n) - n, n)
-        yes = np.zeros(len(seen))
+        own = list({t for i in d for t in ids[i]})
+        n[own] += 1
+        if y:
+            yes_n[own] += 1
+    low = _lower(yes_n, np.maximum(n, 1))
+    telling = np.array([np.sort(low[k])[-3:].mean() for k in ids])
+    names = list(index)
+    keys = [[_bucket(names[t]) for t in k if n[t] > 1 or " " not in names[t] or names[t].startswith("kind")] for k in ids]
+    sizes = np.array([len(k) for k in keys])
+    flat = np.concatenate([np.array(k) for k in keys])
+    machine = None
+    for least in (0.35, 0.3):
+        yes, no = np.zeros(len(seen)), np.zeros(len(seen))
         for d, y in zip(docs, labels):
-            if y and d:
-                best = max(p[i] for i in d)
-                yes[[i for i in d if p[i] >= max(0.5 * best, 0.1)]] += 1
+            d = np.array(d, int)
+            if y and len(d) and (best := telling[d].max()) >= least:
+                chosen = telling[d] >= max(least, 0.7 * best)
+                yes[d[chosen]] += 1
+                no[d[~chosen]] += 1
+            elif not y:
+                no[d[telling[d] < 0.6]] += 1
+        if not yes.any():
+            return machine, speller
         machine = fit(keys, yes, no)
+        telling = machine.score(flat, np.cumsum(sizes) - sizes, sizes)
     return machine, speller
 
 
@@ -257,17 +313,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
                 part = b.slice(lo, 2000)
                 rows, owner = [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
-                    for s in sentences(text):
-                        if (k := cache.get(s)) is None:
-                            ws = [speller(w) for w in _TOKEN.findall(s)] if speller else []
-                            k = np.array([_bucket(t) for t in terms(ws)], np.int64)
+                    for ws in pieces(text, speller) if speller else ():
+                        if (k := cache.get(ws)) is None:
                             if len(cache) > 100_000:
                                 cache.clear()
-                            if len(s) < 300:
-                                cache[s] = k
-                        if len(k):
-                            rows.append(k)
-                            owner.append(i)
+                            k = cache[ws] = np.array([_bucket(t) for t in terms(list(ws))], np.int64)
+                        rows.append(k)
+                        owner.append(i)
                 scores = {c: np.zeros(part.num_rows) for c in CATEGORIES}
                 if rows:
                     n = np.array([len(r) for r in rows])
