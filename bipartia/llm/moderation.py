@@ -39,7 +39,7 @@ _INVISIBLE = re.compile("[­᠎​-‏‪-‮⁠-⁤﻿︀-️]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]{1,3}[^\W_](?![^\W_])){2,}")
 _SENTENCE = re.compile(r"[.!?;。！？؟]+(?=\s|$)|[。！？\r\n]+|(?<=\w)\.(?=\s)")
 _TOKEN = re.compile(r"(?:[^\W_]|[*$@](?=[^\W_*])|(?<=[^\W_*])\*+)+")
-_REPEAT = re.compile(r"(.)\1+")
+_REPEAT = re.compile(r"([^*])\1+")
 _CODE = re.compile(r"^(?=.*\d)[\w]+$")
 
 
@@ -229,9 +229,11 @@ def learn(texts: list[str | None], labels: np.ndarray, rare: int = 2) -> tuple[M
         n[own] += 1
         if y:
             yes_n[own] += 1
-    low = _lower(yes_n, np.maximum(n, 1))
-    telling = np.array([np.sort(low[k])[-3:].mean() for k in ids])
     names = list(index)
+    # A word seen once, in a document with the label, tells a little: a sentence with three of them is unlike the rest.
+    once = np.array([" " not in t and t.isalpha() for t in names]) & (n == 1) & (yes_n == 1)
+    low = np.where(once, 0.36, _lower(yes_n, np.maximum(n, 1)))
+    telling = np.array([np.sort(low[k])[-3:].mean() for k in ids])
     keys = [[_bucket(names[t]) for t in k if n[t] > 1 or " " not in names[t] or names[t].startswith("kind")] for k in ids]
     sizes = np.array([len(k) for k in keys])
     flat = np.concatenate([np.array(k) for k in keys])

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import oracle
@@ -286,7 +287,7 @@ def test_plain_words():
     assert moderation.sentences("g a r b a g e here. Sec​ond!\nthird") == ["garbage here", " Second", "third"]
     assert moderation.sentences(None) == moderation.sentences(" \n ") == []
     s = moderation.Speller({"pathetic": 5, "naked": 4, "moron": 3})
-    assert [s(w) for w in ("pa*hetic", "nkaed", "m***n", "patheic", "PATHETIC", "zzz")] == ["pathetic", "naked", "moron", "pathetic", "pathetic", "zzz"]
+    assert [s(w) for w in ("pa*hetic", "nkaed", "m***n", "patheic", "PATHETIC", "zzz")] == ["pathetic", "naked", "moron", "pathetic", "pathetic", "z"]
 
 
 def test_gradient_of_the_machine():
@@ -303,27 +304,27 @@ def test_gradient_of_the_machine():
 
 
 def test_held_out_accuracy(spark, sf):
-    """Half of the labelled documents of a larger set teach, the other half is scored."""
-    big = sf.replace("sf0.001", "sf0.1")
-    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/moderation_labels.parquet")
-    rows = labels.join(docs, "doc_id").select("doc_id", "text", F.lower(F.trim("category")).alias("c")).filter("c is not null").collect()
+    """A machine fitted on one set is held against documents of another that two annotators agree on."""
+    root = Path(sf).parent
+
+    def read(name):
+        docs, labels = spark.read.parquet(f"{root}/{name}/documents.parquet"), spark.read.parquet(f"{root}/{name}/moderation_labels.parquet")
+        return labels.join(docs, "doc_id").select("doc_id", "text", F.lower(F.trim("category")).alias("c")).filter("c is not null").collect()
+
+    fit_on, rows = read("sf0.1"), read("check_s" if (root / "check_s").exists() else "sf0.01")
     texts, said = {r["doc_id"]: r["text"] for r in rows}, defaultdict(list)
     for r in rows:
         said[r["doc_id"]].append(r["c"])
-    fit_on = [(texts[d], c) for d in said if d % 2 for c in said[d]]
-    held = [d for d in said if d % 2 == 0]
     for category in moderation.CATEGORIES:
-        machine, speller = moderation.learn([t for t, _ in fit_on], np.array([c == category for _, c in fit_on]))
+        machine, speller = moderation.learn([r["text"] for r in fit_on], np.array([r["c"] == category for r in fit_on]))
         hit = {}
-        for d in held:
-            rows_ = [np.array([moderation._bucket(t) for t in moderation.terms(list(ws))]) for ws in moderation.pieces(texts[d], speller)]
-            rows_ = [r for r in rows_ if len(r)]
-            n = np.array([len(r) for r in rows_])
-            hit[d] = bool(rows_) and machine.score(np.concatenate(rows_), np.cumsum(n) - n, n).max() >= 0.5
-        yes = [d for d in held if said[d].count(category) * 2 > len(said[d])]
-        recall = np.mean([hit[d] for d in yes])
-        rate = np.mean([hit[d] for d in held if category not in said[d]])
-        assert recall > 0.6 and rate < 0.05, (category, recall, rate)
+        for d in said:
+            keys = [np.array([moderation._bucket(t) for t in moderation.terms(list(ws))]) for ws in moderation.pieces(texts[d], speller)]
+            n = np.array([len(k) for k in keys])
+            hit[d] = bool(keys) and machine.score(np.concatenate(keys), np.cumsum(n) - n, n).max() >= 0.5
+        agreed = [hit[d] for d in said if said[d].count(category) > 1]
+        wrong = np.mean([hit[d] for d in said if category not in said[d]])
+        assert np.mean(agreed or [1]) > 0.7 and wrong < 0.02, (category, np.mean(agreed), wrong)
 
 
 def test_moderation_edges(spark):
