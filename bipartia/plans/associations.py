@@ -299,7 +299,7 @@ def _gip_and_cosine(spark, sf_dir):
     vec = contents(spark, sf_dir, "l")
     g = similarity.gip(core_of(spark, sf_dir), is_query("l"))
     both = g.join(vec.select(F.col("node").alias("a"), F.col("vec").alias("va")), "a").join(vec.select(F.col("node").alias("b"), F.col("vec").alias("vb")), "b")
-    return both.select("a", "b", "w", V.cosine(F.col("va"), F.col("vb")).alias("cos"))
+    return both.select("a", "b", "w", r(V.cosine(F.col("va"), F.col("vb")), 9).alias("cos"))
 
 
 _BLEND_SQL = f"both_sims AS (SELECT g.a, g.b, g.w, {COS_SQL} AS cos FROM gip AS g JOIN content AS a ON a.axis = 'l' AND a.node = g.a JOIN content AS b ON b.axis = 'l' AND b.node = g.b)"
