@@ -41,7 +41,9 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = table(spark, sf_dir, "doid_terms")
     diseases = table(spark, sf_dir, "rnadisease").select("rec_id", F.lit("disease").alias("assignment"), folded("do_id").alias("key"))
     keyed = rows.select("rec_id", F.lit("lncrna").alias("assignment"), F.col("value").alias("key")).unionByName(diseases)
-    spelt = mapping.filter("entry is not null").select(F.lit("lncrna").alias("assignment"), F.col("value").alias("a"), F.concat(F.lit("\u0001"), "entry").alias("b"))
+    # A value that may mean one of several entries keeps them all together: whichever is meant, it is not split.
+    meant = mapping.select("value", F.explode(F.coalesce("rivals", F.array("entry"))).alias("entry")).filter("entry is not null")
+    spelt = meant.select(F.lit("lncrna").alias("assignment"), F.col("value").alias("a"), F.concat(F.lit("\u0001"), "entry").alias("b"))
     same = terms.select(F.lit("disease").alias("assignment"), folded("id").alias("a"), F.explode("alt_id").alias("b"))
     edges = spelt.unionByName(same.withColumn("b", folded("b")).filter("a <> '' and b <> ''"))
     return splits.grouped_splits(keyed, edges, "rec_id")

@@ -44,6 +44,12 @@ def test_canonical_rules(spark):
     assert "" not in got and None not in got
 
 
+def test_canonical_rivals(spark):
+    g = spark.createDataFrame(GENES, "id string, symbol string, alias string, prev string")
+    out = canonical.map_to_canonical(spark.createDataFrame([("MABE",), ("MABU",)], "value string"), canonical.reference_names(g, "id", "symbol", ["alias", "prev"]))
+    assert {r["value"]: sorted(r["rivals"] or []) for r in out.collect()} == {"MABE": ["H:3", "H:4"], "MABU": []}
+
+
 def test_canonical_empty_tables(spark):
     assert mapped(spark, []) == {}
     assert mapped(spark, ["X"], genes=[]) == {"X": ("", "none")}
