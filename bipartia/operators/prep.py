@@ -34,7 +34,7 @@ def kcore(pairs: DataFrame, min_l: int, min_d: int) -> DataFrame:
     while n != (n := pairs.count()):
         keep_l = pairs.groupBy("l").count().filter(F.col("count") >= min_l).select("l")
         keep_d = pairs.groupBy("d").count().filter(F.col("count") >= min_d).select("d")
-        pairs = cut(pairs.join(keep_l, "l", "left_semi").join(keep_d, "d", "left_semi"))
+        pairs = cut(pairs.join(keep_l, "l", "left_semi").join(keep_d, "d", "left_semi").select("l", "d"))
     return pairs
 
 
