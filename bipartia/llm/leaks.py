@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import ahocorasick
@@ -131,10 +132,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, item_id bigint, kind string, begin int, `end` int"
     out = None
     for block in blocks:
-        shared = sc.broadcast(block)
+        shared, key = sc.broadcast(block), uuid.uuid4().hex
 
-        def scan(batches, shared=shared):
-            key = (shared.id if hasattr(shared, "id") else id(shared), run, part, spread)
+        def scan(batches, shared=shared, key=key):
             if key not in _built:
                 _built.clear()
                 _built[key] = LeakIndex(shared.value, run, part, spread)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 import zlib
 from collections import Counter
 
@@ -304,8 +305,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     model = [tuple(r) for r in train(docs, labels, max_labelled).select("category", "weights", "words", "by").collect()]
     shared = docs.sparkSession.sparkContext.broadcast([(c, bytes(w), x, y) for c, w, x, y in sorted(model, key=lambda m: m[0])])
 
+    key = uuid.uuid4().hex
+
     def run(batches):
-        key = getattr(shared, "id", None) or id(shared)
         if key not in _models:
             _models.clear()
             _models[key] = (*_load(shared.value), {})
