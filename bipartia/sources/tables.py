@@ -27,17 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame, *range_by: str) -> DataFrame:
+def cut(df: DataFrame, *range_by: str, folders: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the result has no lineage and survives lost executors.
 
     With ``range_by``, rows are range-partitioned and sorted by these columns first, so that the order of
-    (file name, row in file) is their order.
+    (file name, row in file) is their order. With ``folders``, a column, rows of each of its values lie apart, so that
+    a filter on it reads no others; nothing is shuffled for that.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/bipartia-{uuid.uuid4().hex}"
     if range_by:
         df = df.repartitionByRange(*range_by).sortWithinPartitions(*range_by)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(folders) if folders else writer).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
