@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -27,11 +28,16 @@ def canonical_record(*fields: Column) -> Column:
     return F.when(F.array_min(F.transform(F.array(*fields), lambda f: F.length(f))) > 0, F.array_join(F.array(*fields), "\u0001"))
 
 
-def canonical_pairs(payload: Column) -> Column:
+# The fields that a submitted form may have. Fixed values.
+FORM_FIELDS = ["RNA Symbol", "DO ID", "Disease Name", "PubMed ID", "Species"]
+
+
+def canonical_pairs(payload: Column, fields: list[str] = FORM_FIELDS) -> Column:
     """The sorted set of folded field=value pairs of a form, or null where there are none.
 
     A form is a JSON object, or pairs with : or = between field and value, and | or ; or line ends between pairs.
-    Pairs whose field or value folds to nothing are left out... a form left without pairs has no record.
+    Pairs whose field or value folds to nothing are left out; what is left without a pair of one of the ``fields``, such as
+    an error message with a colon, is no form and has no record.
     """
     text = F.trim(F.coalesce(payload, F.lit("")))
     from_json = F.map_entries(F.from_json(text, "map<string,string>"))
@@ -41,7 +47,8 @@ def canonical_pairs(payload: Column) -> Column:
     pairs = F.when(text.startswith("{"), F.coalesce(from_json, F.array().cast("array<struct<key:string,value:string>>"))).otherwise(plain)
     both = F.filter(F.transform(pairs, lambda p: F.struct(folded(p["key"]).alias("k"), folded(p["value"]).alias("v"))), lambda p: (p["k"] != "") & (p["v"] != ""))
     text_of = F.array_sort(F.array_distinct(F.transform(both, lambda p: F.concat(p["k"], F.lit("="), p["v"]))))
-    return F.when(F.size(text_of) > 0, F.array_join(text_of, "\u0001"))
+    is_form = F.exists(both, lambda p: p["k"].isin([re.sub(r"[\W_]+", "", f).upper() for f in fields]))
+    return F.when(is_form, F.array_join(text_of, "\u0001"))
 
 
 def _places(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,10 +59,6 @@ def _places(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return ((u >> np.uint64(20)) % np.uint64(segments)).astype(np.int64), bits.astype(np.int64)
 
 
-def _round_of(h: np.ndarray, rounds: int) -> np.ndarray:
-    return (h.astype(np.uint64) >> np.uint64(7)) % np.uint64(rounds)
-
-
 def _pack(bits: np.ndarray) -> bytes:
     at = np.zeros(SEGMENT_BITS, bool)
     at[bits.ravel()] = True
@@ -66,11 +69,10 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), np.uint8)
 
 
-def _build(segments: int, rounds: int, r: int):
+def _build(segments: int):
     def build(batches):
         h = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]
         h = np.concatenate(h) if h else np.empty(0, np.int64)
-        h = h[_round_of(h, rounds) == r] if rounds > 1 else h
         once, n = np.unique(h, return_counts=True)
         out = []
         seg, bits = _places(once, segments)
@@ -107,31 +109,32 @@ def possible_repeats(records: DataFrame, n_rows: int) -> DataFrame:
     Each input partition makes a Bloom filter of the hashes it saw and one of those it saw repeatedly, in segments.
     Segments are merged: a hash may repeat if a partition saw it repeatedly, or if all its bits are set in the filters of
     two partitions; so no repeat is lost. The merged filter of repeats, at most ROUND_BYTES a round, is broadcast.
+    If that takes several rounds, the rows are first written apart by round, so that every row is still read once.
     """
     total = max(1, -(-n_rows * BITS_PER_ROW // SEGMENT_BITS))
     rounds = max(1, -(-total * SEGMENT_BITS // 8 // ROUND_BYTES))
     segments = -(-total // rounds)
     sc, out = records.sparkSession.sparkContext, None
     schema = StructType([*records.schema.fields, StructField("maybe", BooleanType())])
+    if rounds > 1:
+        apart = cut(records.withColumn("_round", F.pmod(F.shiftrightunsigned("h", 7), F.lit(rounds)).cast("int")), folders="_round")
     for r in range(rounds):
-        parts = records.select("h").mapInArrow(_build(segments, rounds, r), "segment int, once binary, again binary")
+        mine = records if rounds == 1 else apart.filter(F.col("_round") == r).select(*records.columns)
+        parts = mine.select("h").mapInArrow(_build(segments), "segment int, once binary, again binary")
         merged = parts.groupBy("segment").applyInPandas(_merge, "segment int, again binary").collect()
         shared = sc.broadcast({row["segment"]: bytes(row["again"]) for row in merged})
 
-        def test(batches, shared=shared, r=r):
+        def test(batches, shared=shared):
             bits = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
             for s, data in shared.value.items():
                 bits[s] = _unpack(data)
             for b in batches:
                 h = b.column(0).to_numpy(zero_copy_only=False)
-                if rounds > 1:
-                    mine = _round_of(h, rounds) == r
-                    b, h = b.filter(pa.array(mine)), h[mine]
                 seg, at = _places(h, segments)
                 hit = (bits[seg[:, None], at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=1)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit, pa.bool_())], names=[*b.schema.names, "maybe"])
 
-        part = records.mapInArrow(test, schema)
+        part = mine.mapInArrow(test, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
