@@ -44,8 +44,11 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A value that may mean one of several entries keeps them all together: whichever is meant, it is not split.
     meant = mapping.select("value", F.explode(F.coalesce("rivals", F.array("entry"))).alias("entry")).filter("entry is not null")
     spelt = meant.select(F.lit("lncrna").alias("assignment"), F.col("value").alias("a"), F.concat(F.lit("\u0001"), "entry").alias("b"))
+    # Values of no entry belong together if only words of kind or species differ.
+    core = canonical.without_kind_words(F.col("value"))
+    bare = mapping.filter("entry is null and rivals is null").select(F.lit("lncrna").alias("assignment"), F.col("value").alias("a"), core.alias("b")).filter("b <> '' and a <> b")
     same = terms.select(F.lit("disease").alias("assignment"), folded("id").alias("a"), F.explode("alt_id").alias("b"))
-    edges = spelt.unionByName(same.withColumn("b", folded("b")).filter("a <> '' and b <> ''"))
+    edges = spelt.unionByName(bare).unionByName(same.withColumn("b", folded("b")).filter("a <> '' and b <> ''"))
     return splits.grouped_splits(keyed, edges, "rec_id")
 
 
@@ -151,7 +154,8 @@ j AS (SELECT sub_id, k, json_extract_string(t, '$."' || k || '"') AS v FROM (SEL
     SELECT sub_id, unnest(regexp_split_to_array(t, '[|;\r\n]+')) AS x FROM p WHERE t NOT LIKE '{{%') WHERE regexp_matches(x, '[:=]')),
 b AS (SELECT DISTINCT sub_id, {FOLD.format('k')} || '=' || {FOLD.format('v')} AS kv FROM j WHERE {FOLD.format('k')} <> '' AND {FOLD.format('v')} <> ''),
 r AS (SELECT tab, id, array_to_string(f, '|') AS canon FROM a WHERE len(list_filter(f, lambda x: x = '')) = 0
-  UNION ALL SELECT 'raw_submissions', sub_id, string_agg(kv, '|' ORDER BY kv) FROM b GROUP BY sub_id),
+  UNION ALL SELECT 'raw_submissions', sub_id, string_agg(kv, '|' ORDER BY kv) FROM b GROUP BY sub_id
+    HAVING bool_or(regexp_extract(kv, '^([^=]*)=', 1) IN ('RNASYMBOL', 'DOID', 'DISEASENAME', 'PUBMEDID', 'SPECIES'))),
 g AS (SELECT tab, canon, min(id) AS keep_id, count(*) AS copies FROM r GROUP BY 1, 2),
 alls AS (SELECT 'rnadisease' AS tab, rec_id AS id FROM rnadisease UNION ALL SELECT 'website_alldata', row_id FROM website_alldata UNION ALL SELECT 'raw_submissions', sub_id FROM raw_submissions)
 """

@@ -144,6 +144,10 @@ def test_p2_keeps_entities_together(spark, sf):
     for a, c in (("lncrna", "rna_symbol"), ("disease", "do_id")):
         folded = by.filter(F.col("assignment") == a).groupBy(queries.folded(c).alias("k")).agg(F.countDistinct("split").alias("n"))
         assert folded.filter("k <> '' and n > 1").count() == 0
+    unmatched = queries.p1_unmatched(spark, sf).select(F.col("value").alias("v"))
+    bare = by.filter("assignment = 'lncrna'").join(unmatched, queries.folded("rna_symbol") == F.col("v")).withColumn("core", canonical.without_kind_words(F.col("v")))
+    same = bare.filter("core <> ''").groupBy("core").agg(F.countDistinct("split").alias("n"), F.countDistinct("v").alias("spelt"))
+    assert same.filter("n > 1").count() == 0
     share = {(r["assignment"], r["split"]): r["share"] for r in queries.p2_totals(spark, sf).collect()}
     assert all(abs(share[a, s] - w) < 0.005 for a in ("lncrna", "disease") for s, w in (("train", 0.8), ("validation", 0.1), ("test", 0.1)))
 
@@ -187,7 +191,7 @@ def test_forms_in_every_layout(spark):
     df = spark.createDataFrame([(f,) for f in forms + other], "p string").select(formatdups.canonical_pairs(F.col("p")).alias("c"))
     got = [r["c"] for r in df.collect()]
     assert len(set(got[:5])) == 1 and got[0] == "DOID=DOID7\u0001RNASYMBOL=AB1"
-    assert [g for g, f in zip(got[5:], other) if f != "ERROR: empty form"] == [None] * 9
+    assert got[5:] == [None] * 10
 
 
 # --- tokens ----------------------------------------------------------------------------------------------------------
