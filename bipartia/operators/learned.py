@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bipartia.functions.vectors import l2_added
+from bipartia.functions.vectors import dot, l2_added
 from bipartia.operators.scoring import scorer
 from bipartia.operators.split import negatives
 from bipartia.sources.tables import cut
 
 
-def _features(pairs: DataFrame, vec_l: DataFrame, vec_d: DataFrame, product: bool) -> DataFrame:
+def product(a, b):
+    return F.zip_with(a, b, lambda x, y: x * y)
+
+
+def interact(a, b):
+    return F.concat(a, b, product(a, b), F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+
+
+def _features(pairs: DataFrame, vec_l: DataFrame, vec_d: DataFrame, join) -> DataFrame:
     a, b = vec_l.select(F.col("node").alias("l"), l2_added(F.col("vec")).alias("_a")), vec_d.select(F.col("node").alias("d"), l2_added(F.col("vec")).alias("_b"))
     joined = pairs.join(a, "l").join(b, "d")
-    both = F.zip_with("_a", "_b", lambda x, y: x * y) if product else F.concat("_a", "_b")
-    return joined.select(*pairs.columns, array_to_vector(both).alias("x"))
+    return joined.select(*pairs.columns, array_to_vector(join(F.col("_a"), F.col("_b"))).alias("x"))
 
 
-def _fit_each_fold(train: DataFrame, asked: DataFrame, vec_l: DataFrame, vec_d: DataFrame, stages, product: bool = False) -> DataFrame:
+def _fit_each_fold(train: DataFrame, asked: DataFrame, vec_l: DataFrame, vec_d: DataFrame, stages, join=F.concat) -> DataFrame:
     """One model per fold on its training pairs and as many negatives; folds are few, each fit is distributed."""
     labelled = train.withColumn("label", F.lit(1.0)).unionByName(negatives(train, train).withColumn("label", F.lit(0.0)))
-    rows, ask = cut(_features(labelled, vec_l, vec_d, product)), cut(_features(asked.select("fold", "l", "d"), vec_l, vec_d, product))
+    rows, ask = cut(_features(labelled, vec_l, vec_d, join)), cut(_features(asked.select("fold", "l", "d"), vec_l, vec_d, join))
     out = None
     for (fold,) in ask.select("fold").distinct().orderBy("fold").collect():
         model = Pipeline(stages=stages()).fit(rows.filter(F.col("fold") == fold).select("x", "label"))
@@ -50,7 +59,7 @@ def pair_boost(train, asked, vec_l, vec_d):
 @scorer
 def product_logistic(train, asked, vec_l, vec_d):
     """Logistic regression over the elementwise product of both contents: a diagonal bilinear form."""
-    return _fit_each_fold(train, asked, vec_l, vec_d, lambda: [LogisticRegression(featuresCol="x", regParam=0.01, maxIter=30)], product=True)
+    return _fit_each_fold(train, asked, vec_l, vec_d, lambda: [LogisticRegression(featuresCol="x", regParam=0.01, maxIter=30)], product)
 
 
 @scorer
@@ -66,4 +75,56 @@ def factorization(train, asked, vec_l, vec_d, rank: int = 16):
     return out
 
 
-LEARNED = ["pair_forest", "pair_boost", "product_logistic", "factorization"]
+@scorer
+def pair_mlp(train, asked, vec_l, vec_d):
+    """Multilayer perceptron over principal components of both contents, their product and their distance."""
+    stages = lambda: [PCA(k=24, inputCol="x", outputCol="p"), MultilayerPerceptronClassifier(featuresCol="p", layers=[24, 16, 2], maxIter=25, seed=7)]
+    return _fit_each_fold(train, asked, vec_l, vec_d, stages, interact)
+
+
+def _outer_sums(rows: DataFrame) -> dict[int, np.ndarray]:
+    """Sum of outer(a, b) by fold. Every partition gives one matrix per fold, as wide as the contents whatever the rows."""
+
+    def run(batches):
+        total = {}
+        for b in batches:
+            for fold, g in b.groupby("fold"):
+                total[fold] = total.get(fold, 0) + np.stack(g["a"].to_numpy()).T @ np.stack(g["b"].to_numpy())
+        for fold, m in total.items():
+            yield pd.DataFrame({"fold": fold, "place": np.arange(m.size), "width": m.shape[1], "x": m.ravel()})
+
+    sums = rows.select("fold", "a", "b").mapInPandas(run, "fold bigint, place int, width int, x double").groupBy("fold", "place", "width").agg(F.sum("x").alias("x"))
+    out = {}
+    for r in sums.orderBy("fold", "place").collect():
+        out.setdefault(r["fold"], [r["width"]]).append(r["x"])
+    return {k: np.array(v[1:]).reshape(-1, v[0]) for k, v in out.items()}
+
+
+@scorer
+def inductive_ridge(train, asked, vec_l, vec_d, penalty: float = 1.0):
+    """Bilinear form a' W b that fits the whole training block with ridge ``penalty``, all unobserved pairs being 0.
+
+    Minimises |M - A W B'|^2 + penalty |W|^2 exactly: with eigenvectors U, V and values s, t of A'A and B'B,
+    W = U ((U' A'M B V) / (s t + penalty)) V'. The three matrices are summed over partitions and are as wide as the contents.
+    """
+    unit = lambda df, c: df.select(F.col("node").alias(c), l2_added(F.col("vec")).alias("_v"))
+    a, b = cut(unit(vec_l, "l")), cut(unit(vec_d, "d"))
+    own = lambda c, v: train.select("fold", c).distinct().join(v, c).select("fold", F.col("_v").alias("a"), F.col("_v").alias("b"))
+    cross = train.select("fold", "l", "d").join(a.withColumnRenamed("_v", "a"), "l").join(b.withColumnRenamed("_v", "b"), "d")
+    left, right, mixed = _outer_sums(own("l", a)), _outer_sums(own("d", b)), _outer_sums(cross)
+    forms = {}
+    for fold, m in mixed.items():
+        (s, u), (t, v) = np.linalg.eigh(left[fold]), np.linalg.eigh(right[fold])
+        forms[fold] = u @ ((u.T @ m @ v) / (np.outer(s, t) + penalty)) @ v.T
+
+    def turn(batches):
+        for p in batches:
+            p = p[p["fold"].isin(list(forms))]
+            yield pd.DataFrame({"fold": p["fold"], "l": p["l"], "_p": [list(forms[f].T @ x) for f, x in zip(p["fold"], p["_v"])]})
+
+    turned = asked.select("fold", "l").distinct().join(a, "l").select("fold", "l", "_v").mapInPandas(turn, "fold bigint, l string, _p array<double>")
+    both = asked.select("fold", "l", "d").join(turned, ["fold", "l"], "left").join(b, "d", "left")
+    return both.select("fold", "l", "d", F.round(F.coalesce(dot(F.col("_p"), F.col("_v")), F.lit(0.0)), 9).alias("score"))
+
+
+LEARNED = ["pair_forest", "pair_boost", "product_logistic", "factorization", "pair_mlp", "inductive_ridge"]

@@ -96,3 +96,9 @@ def paired(values: DataFrame, by: list[str], pair: str, model: str, a: str, b: s
     s = diff.groupBy(*by).agg(F.count("x").alias("n"), F.avg("x").alias("mean_diff"), F.stddev_samp("x").alias("sd"))
     ok = (F.col("n") > 1) & (F.col("sd") > 0)
     return s.select(*by, "n", "mean_diff", F.when(ok, F.col("mean_diff") / (F.col("sd") / F.sqrt("n"))).alias("t"), F.when(ok, F.col("mean_diff") / F.col("sd")).alias("d"))
+
+
+def golden_compare(actual: DataFrame, expected: DataFrame, on: list[str], digits: int = 3) -> DataFrame:
+    """Where ``value`` of the two differs after rounding, or one side has no row: the keys, actual, expected."""
+    both = actual.select(*on, F.round("value", digits).alias("actual")).join(expected.select(*on, F.round("value", digits).alias("expected")), on, "full")
+    return both.filter(~F.col("actual").eqNullSafe(F.col("expected")))

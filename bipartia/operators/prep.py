@@ -69,12 +69,20 @@ def kmer_spectrum(seqs: DataFrame, k: int) -> DataFrame:
     return n.join(total, "urs").select("urs", "kmer", "n", (F.col("n") / F.col("t")).alias("freq"), (F.col("n") / F.col("len")).alias("unit"))
 
 
-def windows(seqs: DataFrame, size: int, most: int) -> DataFrame:
-    """Consecutive windows of a sequence, at most ``most`` (the feature's definition): urs, win, part."""
-    starts = F.slice(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(size)), 1, most)
+def windows(seqs: DataFrame, size: int) -> DataFrame:
+    """Consecutive windows of whole sequences: urs, win, part."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(size))
     return seqs.select("urs", "seq", F.posexplode(starts).alias("win", "at")).select("urs", F.col("win").cast("bigint").alias("win"), F.expr(f"substring(seq, at + 1, {size})").alias("part"))
 
 
+def pooled_composition(wins: DataFrame) -> DataFrame:
+    """Mean over a sequence's windows of their shares of A, C, G and U: urs, n_windows, vec. Windows of unknown letters only are masked."""
+    share = [F.length(F.regexp_replace("part", f"[^{c}]", "")) for c in "ACGU"]
+    known = sum(share[1:], share[0])
+    per = wins.filter(known > 0).select("urs", *[(s / known).alias(c) for s, c in zip(share, "acgu")])
+    return per.groupBy("urs").agg(F.count(F.lit(1)).alias("n_windows"), F.array(*[F.avg(c) for c in "acgu"]).alias("vec"))
+
+
 def run_features(seqs: DataFrame) -> DataFrame:
     """GC share, changes between GC and AU per letter, mean runs of both kinds: urs, n, gc, changes, mean_gc_run, mean_au_run."""
     gc = F.length(F.regexp_replace("seq", "[^GC]", ""))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bipartia.functions.vectors import as_double, bucket
+from bipartia.sources.tables import cut
 
 # Rows of a block in the block product of queries and corpus.
 QUERY_BLOCK, CORPUS_BLOCK = 512, 8192
@@ -98,6 +99,32 @@ def walks(pairs: DataFrame, is_query, hops: int) -> DataFrame:
     return out
 
 
+def spectral_radius(pairs: DataFrame, rounds: int = 5) -> DataFrame:
+    """Largest eigenvalue of the adjacency of the pairs' graph, by power iteration: rho, one row (null without pairs).
+
+    Each round goes from d to l and back, both ways joins with sums; vectors are written each round.
+    """
+    x = cut(pairs.select("d").distinct().select("d", F.lit(1.0).alias("x")))
+    for i in range(rounds):
+        up = pairs.join(x, "d").groupBy("l").agg(F.sum("x").alias("y"))
+        y = pairs.join(up, "l").groupBy("d").agg(F.sum("y").alias("x"))
+        if i == rounds - 1:
+            before, after = x.agg(F.sum(F.col("x") * F.col("x")).alias("b")), y.agg(F.sum(F.col("x") * F.col("x")).alias("a"))
+            return after.crossJoin(before).select(F.pow(F.col("a") / F.col("b"), 0.25).alias("rho"))
+        y = cut(y)
+        top = y.agg(F.max("x")).first()[0] or 1.0
+        x = y.select("d", (F.col("x") / F.lit(top)).alias("x"))
+
+
+def propagate(graph: DataFrame, seeds: DataFrame, alpha: float, steps: int) -> DataFrame:
+    """Labels spread over a graph (i, j, w): F = alpha A F + (1 - alpha) F0, ``steps`` times from F0 = ``seeds`` (q, node, w)."""
+    now, start = seeds, seeds.select("q", "node", (F.col("w") * (1 - alpha)).alias("w"))
+    for _ in range(steps):
+        moved = now.join(graph.select("i", F.col("j").alias("node"), F.col("w").alias("_a")), "node").select("q", F.col("i").alias("node"), (F.col("w") * F.col("_a") * alpha).alias("w"))
+        now = moved.unionByName(start).groupBy("q", "node").agg(F.sum("w").alias("w"))
+    return now
+
+
 def weighted_rows(neighbours: DataFrame, pairs: DataFrame, weight) -> DataFrame:
     """Neighbours' associations summed with weights that sum to 1 (or 0) for each query: q, d, score.
 

@@ -67,3 +67,13 @@ def matched_negatives(positives: DataFrame, known: DataFrame, degree: DataFrame,
     draw = positives.join(binned, "d").join(F.broadcast(sizes), "bin").withColumn("at", bucket(F.concat_ws("/", F.lit(str(seed)), F.lit("m"), "l", "d"), F.col("nb")))
     out = draw.join(places, ["bin", "at"]).select("l", "d", "neg_d", "bin")
     return out.join(known.select("l", F.col("d").alias("neg_d")), ["l", "neg_d"], "left_anti").select("l", "d", "neg_d", "bin")
+
+
+def edge_negatives(positives: DataFrame, known: DataFrame, seed: int = 2026) -> DataFrame:
+    """For each positive (l, d) the d of a known pair drawn by hash: l, d, neg_d. Any d is drawn in proportion to its degree,
+    without forming pairs of nodes. A draw that is a known pair is left out."""
+    rows = known.select(F.lit(0).alias("_one"), F.col("d").alias("neg_d"), hash_order(seed, "edge", "l", "d").alias("_h"), F.col("l").alias("_l"))
+    places = number_within_key(rows, ["_one"], ["_h", "_l", "neg_d"]).select("neg_d", F.col("_seq").alias("at"))
+    draw = positives.select("l", "d", bucket(F.concat_ws("/", F.lit(str(seed)), F.lit("deg"), "l", "d"), max(1, known.count())).alias("at"))
+    out = draw.join(places, "at").select("l", "d", "neg_d")
+    return out.join(known.select("l", F.col("d").alias("neg_d")), ["l", "neg_d"], "left_anti").select("l", "d", "neg_d")

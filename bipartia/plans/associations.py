@@ -213,10 +213,21 @@ def kmer_spectrum(spark, sf_dir):
     return prep.kmer_spectrum(_seqs(spark, sf_dir), 3).select("urs", "kmer", "n", r("freq", 12).alias("freq"), r("unit", 12).alias("unit"))
 
 
-@query(f"""WITH {_SEQ_SQL} SELECT urs, CAST(i AS BIGINT) AS win, substr(seq, CAST(i * 256 + 1 AS BIGINT), 256) AS part
-FROM (SELECT urs, seq, unnest(range(0, CAST(least(30, greatest(1, ceil(length(seq) / 256.0))) AS BIGINT))) AS i FROM seqs)""")
+_WIN_SQL = f"""{_SEQ_SQL}, wins AS (SELECT urs, CAST(i AS BIGINT) AS win, substr(seq, CAST(i * 1022 + 1 AS BIGINT), 1022) AS part
+FROM (SELECT urs, seq, unnest(range(0, CAST(greatest(1, ceil(length(seq) / 1022.0)) AS BIGINT))) AS i FROM seqs))"""
+
+
+@query(f"WITH {_WIN_SQL} SELECT urs, win, part FROM wins")
 def seq_windows(spark, sf_dir):
-    return prep.windows(_seqs(spark, sf_dir), 256, 30)
+    return prep.windows(_seqs(spark, sf_dir), 1022)
+
+
+@query(f"""WITH {_WIN_SQL}, c AS (SELECT urs, {', '.join(f"length(regexp_replace(part, '[^{x}]', '', 'g')) AS {x.lower()}" for x in 'ACGU')} FROM wins)
+SELECT urs, count(*) AS n_windows, {', '.join(f'round(avg({x}::DOUBLE / (a + c + g + u)), 9) AS {x}' for x in 'acgu')} FROM c WHERE a + c + g + u > 0 GROUP BY urs""")
+def window_pooling(spark, sf_dir):
+    """Mean over a sequence's windows of a vector for each window."""
+    p = prep.pooled_composition(prep.windows(_seqs(spark, sf_dir), 1022))
+    return p.select("urs", "n_windows", *[r(F.col("vec")[i], 9).alias(x) for i, x in enumerate("acgu")])
 
 
 @query(f"""WITH {_SEQ_SQL}, c AS (SELECT urs, length(seq) AS n, length(regexp_replace(seq, '[^GC]', '', 'g')) AS gc,
@@ -335,6 +346,34 @@ def knn_graph_norm(spark, sf_dir):
     return _disease_graph(spark, sf_dir).select("i", "j", r("w").alias("w"))
 
 
+def _propagate_sql(alpha: float, steps: int) -> str:
+    out = [f"f0 AS (SELECT l AS q, d AS node, 1.0::DOUBLE AS w FROM core WHERE {bucket_sql('l', 50)} = 0)"]
+    for i in range(1, steps + 1):
+        moved = f"SELECT q, i AS node, f.w * g.w * {alpha} AS w FROM f{i - 1} AS f JOIN graph AS g ON g.j = f.node"
+        out.append(f"f{i} AS MATERIALIZED (SELECT q, node, sum(w) AS w FROM ({moved} UNION ALL SELECT q, node, w * {1 - alpha} FROM f0) GROUP BY 1, 2)")
+    return ", ".join(out)
+
+
+@query(f"WITH {CORE_SQL}, {CONTENT_SQL}, {_KNN_SQL}, {_propagate_sql(0.5, 3)} SELECT q, node, round(w, 6) AS w FROM f3")
+def label_propagation(spark, sf_dir):
+    """Associations of query l spread over the graph of nearest diseases."""
+    seeds = core_of(spark, sf_dir).filter(is_query("l")).select(F.col("l").alias("q"), F.col("d").alias("node"), F.lit(1.0).alias("w"))
+    return similarity.propagate(cut(_disease_graph(spark, sf_dir)), seeds, 0.5, 3).select("q", "node", r("w").alias("w"))
+
+
+def _power_sql(rounds: int) -> str:
+    out = ["x0 AS (SELECT DISTINCT d, 1.0::DOUBLE AS x FROM core)"]
+    for i in range(1, rounds + 1):
+        out.append(f"y{i} AS MATERIALIZED (SELECT l, sum(x) AS y FROM core JOIN x{i - 1} USING (d) GROUP BY l)")
+        out.append(f"x{i} AS MATERIALIZED (SELECT d, sum(y) AS x FROM core JOIN y{i} USING (l) GROUP BY d)")
+    return ", ".join(out)
+
+
+@query(f"WITH {CORE_SQL}, {_power_sql(5)} SELECT round(power((SELECT sum(x * x) FROM x5) / (SELECT sum(x * x) FROM x4), 0.25), 6) AS rho")
+def spectral_radius(spark, sf_dir):
+    return similarity.spectral_radius(core_of(spark, sf_dir), 5).select(r("rho").alias("rho"))
+
+
 @query(f"""WITH {CORE_SQL}, {CONTENT_SQL}, {_KNN_SQL}, {_GIP_SQL},
 e AS (SELECT 'l-d' AS kind, 1.0::DOUBLE AS w FROM core UNION ALL SELECT 'd-l', 1.0 FROM core UNION ALL SELECT 'd-d', w FROM graph UNION ALL SELECT 'l-l', w FROM gip)
 SELECT kind, count(*) AS n_edges, round(sum(w), 4) AS weight FROM e GROUP BY kind""")
@@ -479,6 +518,14 @@ def degree_matched_negatives(spark, sf_dir):
     return split.matched_negatives(core, core, core.groupBy("d").agg(F.count(F.lit(1)).alias("deg")))
 
 
+@query(f"""WITH {CORE_SQL}, places AS (SELECT d AS neg_d, row_number() OVER (ORDER BY md5(concat_ws('/', '2026', 'edge', l, d)), l, d) - 1 AS place FROM core),
+draw AS (SELECT l, d, {bucket_sql("concat_ws('/', '2026', 'deg', l, d)", '(SELECT count(*) FROM core)')} AS place FROM core)
+SELECT w.l, w.d, neg_d FROM draw AS w JOIN places USING (place) WHERE NOT EXISTS (SELECT 1 FROM core AS c WHERE c.l = w.l AND c.d = neg_d)""")
+def degree_weighted_negatives(spark, sf_dir):
+    core = core_of(spark, sf_dir)
+    return split.edge_negatives(core, core)
+
+
 def scored(spark, sf_dir, protocol):
     """model, fold, l, d, label, score for the evaluated pairs and as many negatives."""
 
@@ -711,6 +758,14 @@ def margin(spark, sf_dir):
     return m.groupBy("protocol").agg(F.max_by("model", other).alias("best_other"), r(F.max(other)).alias("other"), r(mine - F.max(other)).alias("margin"))
 
 
+@query(f"""WITH {_MEANS_SQL}, a AS (SELECT model, round(value, 3) AS actual FROM means WHERE protocol = 'both'), e AS (SELECT model, round(value, 3) AS expected FROM means WHERE protocol = 'lncrna')
+SELECT model, actual, expected FROM a FULL JOIN e USING (model) WHERE actual IS DISTINCT FROM expected""")
+def golden_compare(spark, sf_dir):
+    """Models whose mean on both-cold folds is not, to three digits, that on lncRNA-cold folds."""
+    m = cut(_all_means(spark, sf_dir))
+    return metrics.golden_compare(m.filter("protocol = 'both'"), m.filter("protocol = 'lncrna'"), ["model"])
+
+
 @query(f"{_VALUE_SQL}, done AS (SELECT model, fold FROM val WHERE value >= 0.5) SELECT model, fold FROM (SELECT DISTINCT model FROM val), (SELECT unnest(range(1, 6)) AS fold) ANTI JOIN done USING (model, fold)".replace(", (SELECT unnest(range(1, 6)) AS fold) ANTI", " CROSS JOIN (SELECT unnest(range(1, 6)) AS fold) ANTI"))
 def resume_worklist(spark, sf_dir):
     """Work still to do: model and fold without a finished result (here: a value of at least 0.5)."""

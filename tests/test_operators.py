@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,7 +114,7 @@ def test_sequences(spark):
     assert [(r["urs"], r["seq"]) for r in seqs.collect()] == [("U1", "ACGUN")]
     spectrum = {r["kmer"]: r["freq"] for r in prep.kmer_spectrum(seqs, 3).collect()}
     assert spectrum == {"ACG": 0.5, "CGU": 0.5}
-    assert [r["part"] for r in prep.windows(seqs, 2, 30).orderBy("win").collect()] == ["AC", "GU", "N"]
+    assert [r["part"] for r in prep.windows(seqs, 2).orderBy("win").collect()] == ["AC", "GU", "N"]
 
 
 # --- similarity, splits, metrics -------------------------------------------------------------------------------------
@@ -122,6 +123,38 @@ def test_gip_kernel(spark):
     assert w["a", "a"] == 1 and w["a", "b"] == w["b", "a"] == pytest.approx(2.718281828 ** (-2 / 3))
 
 
+def test_spectral_radius_and_propagation(spark):
+    p = pairs(spark, "ax ay bx by cx")
+    m = np.array([[1, 1], [1, 1], [1, 0]])
+    assert similarity.spectral_radius(p, 12).first()["rho"] == pytest.approx(np.linalg.svd(m)[1][0], abs=1e-6)
+    assert similarity.spectral_radius(p.limit(0), 3).first()["rho"] is None
+    graph = spark.createDataFrame([("x", "y", 0.5), ("y", "x", 0.5), ("x", "x", 0.5)], "i string, j string, w double")
+    seeds = spark.createDataFrame([("q", "x", 1.0)], "q string, node string, w double")
+    got = {r["node"]: r["w"] for r in similarity.propagate(graph, seeds, 0.5, 2).collect()}
+    adjacency, start = np.array([[0.5, 0.5], [0.5, 0.0]]), np.array([1.0, 0.0])
+    want = 0.5 * adjacency @ (0.5 * adjacency @ start + 0.5 * start) + 0.5 * start
+    assert got == pytest.approx({"x": want[0], "y": want[1]})
+
+
+def test_inductive_ridge_against_kronecker(spark):
+    from bipartia.operators import learned
+
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(6, 3)), rng.normal(size=(5, 3))
+    unit = lambda v: v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-8)
+    m = (rng.random((6, 5)) < 0.5).astype(float)
+    m[:, 0] = m[0, :] = 1
+    vec = lambda v, p: spark.createDataFrame([(f"{p}{i}", [float(y) for y in x]) for i, x in enumerate(v)], "node string, vec array<double>")
+    train = spark.createDataFrame([(1, f"l{i}", f"d{j}") for i, j in zip(*m.nonzero())], "fold bigint, l string, d string").repartition(3)
+    asked = spark.createDataFrame([(1, f"l{i}", f"d{j}") for i in range(6) for j in range(5)] + [(1, "gone", "d0"), (2, "l0", "d0")], "fold bigint, l string, d string")
+    x = np.kron(unit(a), unit(b))
+    w = np.linalg.solve(x.T @ x + np.eye(9), x.T @ m.ravel())
+    got = {(r["fold"], r["l"], r["d"]): r["score"] for r in learned.inductive_ridge(train, asked, vec(a, "l"), vec(b, "d")).collect()}
+    assert len(got) == 32 and got[1, "gone", "d0"] == got[2, "l0", "d0"] == 0
+    want = (x @ w).reshape(6, 5)
+    assert all(got[1, f"l{i}", f"d{j}"] == pytest.approx(want[i, j], abs=1e-6) for i in range(6) for j in range(5))
+
+
 def test_top_cosine_in_blocks(spark, monkeypatch):
     rng = random.Random(0)
     df = spark.createDataFrame([(f"n{i:02}", [rng.uniform(-1, 1) for _ in range(4)]) for i in range(40)] + [("zero", [0.0] * 4)], "node string, vec array<double>")
