@@ -32,8 +32,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, mapping, counts = symbol_mapping(spark, sf_dir)
-    return mapping.filter("how = 'none'").join(counts, "value").select("value", F.col("n").alias("n_rows"))
+    rows, mapping, counts = symbol_mapping(spark, sf_dir)
+    # Values such as '-' are not blank but fold to nothing: they belong to no entry, and come as one empty value.
+    nothing = rows.filter((F.col("value") == "") & ~is_blank("rna_symbol")).groupBy("value").agg(F.count(F.lit(1)).alias("n_rows"))
+    return mapping.filter("how = 'none'").join(counts, "value").select("value", F.col("n").alias("n_rows")).unionByName(nothing)
 
 
 def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,16 @@ def mapped(spark, values, genes=GENES, **kw):
     return {r["value"]: (r["symbol"], r["how"]) for r in canonical.map_to_canonical(v, names, **kw).collect()}
 
 
+def test_values_that_fold_to_nothing_are_unmatched(spark, tmp_path):
+    symbols = ["-", " - ", "?", "", "  ", "\u200b", None, "lnc-VU2", "nowhere"]
+    spark.createDataFrame(list(enumerate(symbols)), "rec_id bigint, rna_symbol string").write.parquet(str(tmp_path / "rnadisease.parquet"))
+    spark.createDataFrame(GENES, "hgnc_id string, symbol string, alias_symbol string, prev_symbol string").write.parquet(str(tmp_path / "hgnc_complete_set.parquet"))
+    got = {r["value"]: r["n_rows"] for r in queries.p1_unmatched(spark, str(tmp_path)).collect()}
+    assert got == {"": 3, "NOWHERE": 1}
+    found = {r["rec_id"] for r in queries.p1_found(spark, str(tmp_path)).filter("symbol = ''").collect()}
+    assert found == {0, 1, 2, 8}
+
+
 def test_canonical_rules(spark):
     got = mapped(spark, ["VIRE", "VIRE", "OLDONE", "SAME", "LNCRNAVIRE", "VIREHUMAN", "VIREALIASLNCVU2", "TEKO12SAME", "VRIE", "VIR", "VIREE", "VITE", "TEKO13", "TEK12", "MABE", "BA", "NOTHING", "", None])
     assert got["VIRE"] == ("VIRE", "exact") and got["OLDONE"] == ("VIRE", "exact")
