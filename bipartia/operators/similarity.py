@@ -13,6 +13,8 @@ from bipartia.sources.tables import cut
 
 # Rows of a block in the block product of queries and corpus.
 QUERY_BLOCK, CORPUS_BLOCK = 512, 8192
+# Nodes of a block of which every pair comes out, and columns of a block of profiles.
+PAIR_BLOCK, MAX_COLUMNS = 1024, 2048
 
 
 def content(nodes: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -65,15 +67,60 @@ def cooccurrence(pairs: DataFrame, is_query) -> DataFrame:
     return a.join(pairs.select(F.col("l").alias("b"), "d"), "d").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def gip(pairs: DataFrame, is_query) -> DataFrame:
-    """Gaussian profile kernel of query l with every l that shares a d: a, b, w = exp(-g (deg_a + deg_b - 2 shared)),
-    g = nodes / sum of degrees."""
-    deg = pairs.groupBy("l").agg(F.count(F.lit(1)).alias("deg"))
-    gamma = deg.agg((F.count(F.lit(1)) / (F.sum("deg") + F.lit(1e-8))).alias("gamma"))
-    c = cooccurrence(pairs, is_query)
-    both = c.join(deg.select(F.col("l").alias("a"), F.col("deg").alias("da")), "a").join(deg.select(F.col("l").alias("b"), F.col("deg").alias("db")), "b")
+def profile_pairs(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Every one of ``queries`` with every one of ``corpus`` (both node, train, ds, vec): a, b, train (of both), da, db,
+    n (shared d, also 0), cos.
+
+    ``ds`` are a node's distinct d. Cosine rounded to 9 digits; a node without content (null) counts as the zero vector.
+    In blocks as in ``top_cosine``: a task counts the shared d of two blocks as matrix products over MAX_COLUMNS d at a
+    time, so that no product of nodes is shuffled.
+    """
+    n_q, n_c, wide = queries.count(), corpus.count(), MAX_COLUMNS
+    bq, bc = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_c // PAIR_BLOCK))
+    copies = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    qs = queries.select("node", "train", "ds", "vec", (F.abs(F.xxhash64("node")) % bq).alias("_q"), copies(bc).alias("_c"))
+    # Other names than the queries', so that both may come from one table.
+    cs = corpus.select(F.col("node").alias("name"), F.col("train").alias("also"), F.col("ds").alias("others"), F.col("vec").alias("other"), copies(bq).alias("_bq"), (F.abs(F.xxhash64("node")) % bc).alias("_bc"))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        da, db = a["ds"].map(len).to_numpy(), b["others"].map(len).to_numpy()
+        d_of_a, d_of_b = np.concatenate(a["ds"].to_list()), np.concatenate(b["others"].to_list())
+        columns = pd.Index(pd.unique(d_of_a))
+        sides = [(np.repeat(np.arange(len(deg)), deg), columns.get_indexer(ds), len(deg)) for deg, ds in ((da, d_of_a), (db, d_of_b))]
+        shared = np.zeros((len(a), len(b)))
+        for start in range(0, len(columns), wide):
+            x, y = (np.zeros((size, wide)) for _, _, size in sides)
+            for m, (row, col, _) in zip((x, y), sides):
+                here = (col >= start) & (col < start + wide)
+                m[row[here], col[here] - start] = 1
+            shared += x @ y.T
+        size = max((len(v) for v in [*a["vec"], *b["other"]] if v is not None), default=1)
+        x, y = (np.stack([np.zeros(size) if v is None else v for v in vs]).astype(float) for vs in (a["vec"], b["other"]))
+        nx, ny = np.sqrt((x * x).sum(1)) + 1e-8, np.sqrt((y * y).sum(1)) + 1e-8
+        cos = np.round((x @ y.T) / (nx[:, None] * ny[None, :]), 9) + 0.0
+        i, j = np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a))
+        train = a["train"].to_numpy()[i] & b["also"].to_numpy()[j]
+        return pd.DataFrame({"a": a["node"].to_numpy()[i], "b": b["name"].to_numpy()[j], "train": train, "da": da[i], "db": db[j], "n": shared.ravel().astype("int64"), "cos": cos.ravel()})
+
+    kinds = "a string, b string, train boolean, da bigint, db bigint, n bigint, cos double"
+    none = [k.split()[0] for k in kinds.split(", ")]
+    return qs.groupBy("_q", "_c").cogroup(cs.groupBy("_bq", "_bc")).applyInPandas(lambda a, b: meet(a, b) if len(a) and len(b) else pd.DataFrame(columns=none), kinds)
+
+
+def gip(pairs: DataFrame, is_query, contents: DataFrame | None = None, is_train=None) -> DataFrame:
+    """Gaussian profile kernel of query l with every l, also where no d is shared: a, b, n (shared d), cos,
+    w = exp(-g (deg_a + deg_b - 2 n)), g = nodes / sum of degrees.
+
+    ``contents`` (node, vec) gives the cosine of each pair, else it is 0. With ``is_train``, a condition on l, g is that
+    of the l for which it holds, and w is null unless it holds for a and b.
+    """
+    train = F.lit(True) if is_train is None else is_train
+    gamma = pairs.filter(train).agg((F.countDistinct("l") / (F.count(F.lit(1)) + F.lit(1e-8))).alias("gamma"))
+    nodes = pairs.groupBy("l").agg(F.collect_list("d").alias("ds")).select(F.col("l").alias("node"), "ds", is_query.alias("asked"), train.alias("train"))
+    nodes = cut(nodes.withColumn("vec", F.lit(None).cast("array<double>")) if contents is None else nodes.join(contents.select("node", "vec"), "node", "left"))
+    both = profile_pairs(nodes.filter("asked"), nodes).crossJoin(F.broadcast(gamma))
     far = F.greatest(F.col("da") + F.col("db") - 2 * F.col("n"), F.lit(0))
-    return both.crossJoin(F.broadcast(gamma)).select("a", "b", F.exp(-F.col("gamma") * far).alias("w"))
+    return both.select("a", "b", "n", "cos", F.when(F.col("train"), F.exp(-F.col("gamma") * far)).alias("w"))
 
 
 def normalized_graph(edges: DataFrame, self_loops: bool) -> DataFrame:

@@ -306,26 +306,21 @@ def gip_kernel(spark, sf_dir):
     return similarity.gip(core_of(spark, sf_dir), is_query("l")).select("a", "b", r("w").alias("w"))
 
 
-def _gip_and_cosine(spark, sf_dir):
-    vec = contents(spark, sf_dir, "l")
-    g = similarity.gip(core_of(spark, sf_dir), is_query("l"))
-    both = g.join(vec.select(F.col("node").alias("a"), F.col("vec").alias("va")), "a").join(vec.select(F.col("node").alias("b"), F.col("vec").alias("vb")), "b")
-    return both.select("a", "b", "w", r(V.cosine(F.col("va"), F.col("vb")), 9).alias("cos"))
-
-
 _BLEND_SQL = f"both_sims AS (SELECT g.a, g.b, g.w, {COS_SQL} AS cos FROM gip AS g JOIN content AS a ON a.axis = 'l' AND a.node = g.a JOIN content AS b ON b.axis = 'l' AND b.node = g.b)"
 
 
 @query(f"WITH {CORE_SQL}, {CONTENT_SQL}, {_GIP_SQL}, {_BLEND_SQL} SELECT a, b, round(0.5 * cos + 0.5 * w, 6) AS sim FROM both_sims")
 def integrated_sim(spark, sf_dir):
-    return _gip_and_cosine(spark, sf_dir).select("a", "b", r(0.5 * F.col("cos") + 0.5 * F.col("w")).alias("sim"))
+    """Content and profile kernel of query l with every l; all nodes are in training."""
+    both = similarity.gip(core_of(spark, sf_dir), is_query("l"), contents(spark, sf_dir, "l"))
+    return both.select("a", "b", r(0.5 * F.col("cos") + 0.5 * F.col("w")).alias("sim"))
 
 
 @query(f"WITH {CORE_SQL}, {CONTENT_SQL}, {_GIP_SQL}, {_BLEND_SQL} SELECT a, b, round(0.3 * greatest(cos, 0) + CASE WHEN {bucket_sql('b', 5)} <> 0 AND {bucket_sql('a', 5)} <> 0 THEN 0.7 * w ELSE 0 END, 6) AS sim FROM both_sims")
 def blend_sim_full(spark, sf_dir):
     """Content everywhere, the profile kernel on the training block only; a fifth of the nodes, by hash, is not in it."""
-    train = (V.bucket("a", 5) != 0) & (V.bucket("b", 5) != 0)
-    return _gip_and_cosine(spark, sf_dir).select("a", "b", r(0.3 * F.greatest("cos", F.lit(0.0)) + F.when(train, 0.7 * F.col("w")).otherwise(0.0)).alias("sim"))
+    both = similarity.gip(core_of(spark, sf_dir), is_query("l"), contents(spark, sf_dir, "l"), V.bucket("l", 5) != 0)
+    return both.select("a", "b", r(0.3 * F.greatest("cos", F.lit(0.0)) + F.coalesce(0.7 * F.col("w"), F.lit(0.0))).alias("sim"))
 
 
 _KNN_SQL = f"""knn AS MATERIALIZED (SELECT q AS i, node AS j, sim AS w FROM (SELECT a.node AS q, b.node, {COS_SQL} AS sim,
@@ -381,7 +376,7 @@ def hetero_adjacency(spark, sf_dir):
     core = core_of(spark, sf_dir)
     one = F.lit(1.0).alias("w")
     edges = core.select(F.lit("l-d").alias("kind"), one).unionByName(core.select(F.lit("d-l").alias("kind"), one))
-    edges = edges.unionByName(_disease_graph(spark, sf_dir).select(F.lit("d-d").alias("kind"), "w")).unionByName(similarity.gip(core, is_query("l")).select(F.lit("l-l").alias("kind"), "w"))
+    edges = edges.unionByName(_disease_graph(spark, sf_dir).select(F.lit("d-d").alias("kind"), "w")).unionByName(similarity.gip(core, is_query("l")).filter("n > 0").select(F.lit("l-l").alias("kind"), "w"))
     return edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n_edges"), r(F.sum("w"), 4).alias("weight"))
 
 

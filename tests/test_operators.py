@@ -123,6 +123,30 @@ def test_gip_kernel(spark):
     assert w["a", "a"] == 1 and w["a", "b"] == w["b", "a"] == pytest.approx(2.718281828 ** (-2 / 3))
 
 
+def test_gip_kernel_has_pairs_that_share_nothing(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(similarity, "PAIR_BLOCK", 3)
+    monkeypatch.setattr(similarity, "MAX_COLUMNS", 2)
+    rng = np.random.default_rng(3)
+    names = [f"l{i}" for i in range(9)]
+    ds = {x: set(rng.choice(list("uvwxyz"), size=1 + i % 3, replace=False)) for i, x in enumerate(names)}
+    vec = {x: [float(v) for v in rng.normal(size=4)] for x in names[1:]}
+    p = spark.createDataFrame([(x, str(d)) for x in names for d in ds[x]], "l string, d string")
+    content = spark.createDataFrame(list(vec.items()), "node string, vec array<double>")
+    held_out = ["l1", "l4"]
+    asked = F.col("l").isin("l0", "l1", "l2", "l3", "l5")
+    got = {(r["a"], r["b"]): r for r in similarity.gip(p, asked, content, ~F.col("l").isin(held_out)).collect()}
+    assert set(got) == {(a, b) for a in ("l0", "l1", "l2", "l3", "l5") for b in names}
+    assert any(r["n"] == 0 for r in got.values())
+    train = [x for x in names if x not in held_out]
+    gamma = len(train) / (sum(len(ds[x]) for x in train) + 1e-8)
+    for (a, b), r in got.items():
+        u, v = (np.array(vec.get(x, [0.0] * 4)) for x in (a, b))
+        assert r["n"] == len(ds[a] & ds[b])
+        assert r["cos"] == pytest.approx(u @ v / ((np.linalg.norm(u) + 1e-8) * (np.linalg.norm(v) + 1e-8)), abs=1e-8)
+        assert r["w"] == (None if a in held_out or b in held_out else pytest.approx(np.exp(-gamma * len(ds[a] ^ ds[b]))))
+
+
 def test_spectral_radius_and_propagation(spark):
     p = pairs(spark, "ax ay bx by cx")
     m = np.array([[1, 1], [1, 1], [1, 0]])
