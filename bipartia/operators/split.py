@@ -55,25 +55,59 @@ def negatives(positives: DataFrame, known: DataFrame, tries: int = 3, seed: int
     return number_within_key(cand, ["fold"], ["_h"]).join(F.broadcast(want), "fold").filter("_seq < want").select("fold", "l", "d")
 
 
+# Draws by hash for each positive before the exact draw.
+ROUNDS = 3
+
+
+def _draw_unknown(asked: DataFrame, places: DataFrame, sizes: DataFrame, tag: str, known: DataFrame, fallback: DataFrame, seed: int) -> DataFrame:
+    """For each of ``asked`` (l, d, bin) an unknown pair (l, neg_d) with neg_d among the ``places`` (bin, at, neg_d) of its bin.
+
+    A place is drawn by hash; where it is a known pair it is drawn again, ROUNDS times in all. What is left draws among
+    the unknown neg_d of its bin, numbered in order, and, if there is none, among those of ``fallback`` (d). Only an l
+    that is known with every d gets none.
+    """
+    taken = known.select("l", F.col("d").alias("neg_d"))
+    left, out = asked, None
+    for i in range(ROUNDS):
+        text = F.concat_ws("/", F.lit(str(seed)), F.lit(tag), "l", "d", *([F.lit(str(i))] if i else []))
+        drawn = left.join(F.broadcast(sizes), "bin").withColumn("at", bucket(text, F.col("nb"))).join(places, ["bin", "at"])
+        good = cut(drawn.join(taken, ["l", "neg_d"], "left_anti").select("l", "d", "neg_d", "bin"))
+        out = good if out is None else out.unionByName(good)
+        left = cut(left.join(good, ["l", "d"], "left_anti"))
+    for pool, on in ((places.select("bin", "neg_d").distinct(), ["bin"]), (fallback.select(F.col("d").alias("neg_d")).distinct(), [])):
+        if left.isEmpty():
+            break
+        # Only the l that are left meet the pool.
+        ls = left.select("l", *on).distinct()
+        free = (ls.join(pool, on) if on else ls.crossJoin(pool)).join(taken, ["l", "neg_d"], "left_anti")
+        free = cut(number_within_key(free.withColumn("_h", hash_order(seed, "free", "l", "neg_d")), ["l", *on], ["_h", "neg_d"]).select("l", *on, "neg_d", F.col("_seq").alias("at")))
+        n = free.groupBy("l", *on).agg(F.count(F.lit(1)).alias("nb"))
+        at = bucket(F.concat_ws("/", F.lit(str(seed)), F.lit(tag), "l", "d", F.lit("free")), F.col("nb"))
+        good = cut(left.join(n, ["l", *on]).withColumn("at", at).join(free, ["l", *on, "at"]).select("l", "d", "neg_d", "bin"))
+        out, left = out.unionByName(good), cut(left.join(good, ["l", "d"], "left_anti"))
+    return out
+
+
 def matched_negatives(positives: DataFrame, known: DataFrame, degree: DataFrame, bins: int = 10, seed: int = 2026) -> DataFrame:
     """For each positive (l, d) an unknown pair with a d of the same degree decile, drawn by hash: l, d, neg_d, bin.
 
-    ``degree``: d, deg. Deciles by exact percentiles. A draw that is a known pair is left out.
+    ``degree``: d, deg. Deciles by exact percentiles. A draw that is a known pair is drawn again; where the decile has
+    no unknown d for l, any unknown d is taken. bin is that of the positive.
     """
     edges = degree.agg(F.expr(f"percentile(deg, array({', '.join(str(i / bins) for i in range(1, bins))}))").alias("e"))
-    binned = degree.crossJoin(F.broadcast(edges)).select("d", F.size(F.filter("e", lambda x: F.col("deg") >= x)).cast("bigint").alias("bin"))
+    binned = cut(degree.crossJoin(F.broadcast(edges)).select("d", F.size(F.filter("e", lambda x: F.col("deg") >= x)).cast("bigint").alias("bin")))
     places = cut(number_within_key(binned.withColumn("_h", hash_order(seed, "bin", "d")), ["bin"], ["_h", "d"]).select("bin", F.col("d").alias("neg_d"), F.col("_seq").alias("at")))
     sizes = places.groupBy("bin").agg(F.count(F.lit(1)).alias("nb"))
-    draw = positives.join(binned, "d").join(F.broadcast(sizes), "bin").withColumn("at", bucket(F.concat_ws("/", F.lit(str(seed)), F.lit("m"), "l", "d"), F.col("nb")))
-    out = draw.join(places, ["bin", "at"]).select("l", "d", "neg_d", "bin")
-    return out.join(known.select("l", F.col("d").alias("neg_d")), ["l", "neg_d"], "left_anti").select("l", "d", "neg_d", "bin")
+    asked = cut(positives.select("l", "d").distinct().join(binned, "d").select("l", "d", "bin"))
+    return _draw_unknown(asked, places, sizes, "m", known, degree, seed)
 
 
 def edge_negatives(positives: DataFrame, known: DataFrame, seed: int = 2026) -> DataFrame:
     """For each positive (l, d) the d of a known pair drawn by hash: l, d, neg_d. Any d is drawn in proportion to its degree,
-    without forming pairs of nodes. A draw that is a known pair is left out."""
-    rows = known.select(F.lit(0).alias("_one"), F.col("d").alias("neg_d"), hash_order(seed, "edge", "l", "d").alias("_h"), F.col("l").alias("_l"))
-    places = number_within_key(rows, ["_one"], ["_h", "_l", "neg_d"]).select("neg_d", F.col("_seq").alias("at"))
-    draw = positives.select("l", "d", bucket(F.concat_ws("/", F.lit(str(seed)), F.lit("deg"), "l", "d"), max(1, known.count())).alias("at"))
-    out = draw.join(places, "at").select("l", "d", "neg_d")
-    return out.join(known.select("l", F.col("d").alias("neg_d")), ["l", "neg_d"], "left_anti").select("l", "d", "neg_d")
+    without forming pairs of nodes. A draw that is a known pair is drawn again; what is left after some rounds takes any unknown d."""
+    one = F.lit(0).cast("bigint")
+    rows = known.select(one.alias("bin"), F.col("d").alias("neg_d"), hash_order(seed, "edge", "l", "d").alias("_h"), F.col("l").alias("_l"))
+    places = cut(number_within_key(rows, ["bin"], ["_h", "_l", "neg_d"]).select("bin", "neg_d", F.col("_seq").alias("at")))
+    sizes = places.groupBy("bin").agg(F.count(F.lit(1)).alias("nb"))
+    asked = cut(positives.select("l", "d", one.alias("bin")).distinct())
+    return _draw_unknown(asked, places, sizes, "deg", known, known, seed).select("l", "d", "neg_d")

@@ -196,6 +196,18 @@ def test_folds(spark):
     assert sorted(r["count"] for r in split.folds(df.limit(3), ["l"], "t").groupBy("fold").count().collect()) == [1, 1, 1]
 
 
+def test_every_positive_gets_its_negative(spark):
+    ds = [f"d{i}" for i in range(8)]
+    have = {"hub": ds[:7], "a": ds[:2], "b": ds[2:3], "c": ds[7:], "all": ds}
+    known = spark.createDataFrame([(l, d) for l in have for d in have[l]], "l string, d string")
+    degree = known.groupBy("d").agg(F.count(F.lit(1)).alias("deg"))
+    for got in (split.matched_negatives(known, known, degree), split.edge_negatives(known, known)):
+        rows = [(r["l"], r["d"], r["neg_d"]) for r in got.collect()]
+        # Only an l that is known with every d has no negative.
+        assert sorted(r[:2] for r in rows) == sorted((l, d) for l in have if l != "all" for d in have[l])
+        assert all(n in ds and n not in have[l] for l, _, n in rows)
+
+
 def test_cold_blocks_share_no_node(spark):
     rng = random.Random(1)
     p = spark.createDataFrame(sorted({(f"l{rng.randint(0, 30)}", f"d{rng.randint(0, 12)}") for _ in range(200)}), "l string, d string")
