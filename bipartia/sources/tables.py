@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+log = logging.getLogger(__name__)
+
 # Data sides up to this many bytes may be broadcast; above it, operators shuffle instead.
 BROADCAST_BYTES = 32 << 20
 
@@ -41,12 +44,20 @@ def cut(df: DataFrame, *range_by: str, folders: str | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(folders) if folders else writer).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables made by ``cut`` that no plan reads any more, such as those of an earlier round."""
+    for df in tables:
+        _remove(df.sparkSession, df._cut_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:
-        pass
+    except Exception as e:  # the session may be gone when the program ends
+        log.debug("%s stays: %s", path, e)
