@@ -38,7 +38,8 @@ def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.filter("how = 'none'").join(counts, "value").select("value", F.col("n").alias("n_rows")).unionByName(nothing)
 
 
-def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _related(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Keys of the rows for both assignments, and what links them."""
     rows, mapping, _ = symbol_mapping(spark, sf_dir)
     terms = table(spark, sf_dir, "doid_terms")
     diseases = table(spark, sf_dir, "rnadisease").select("rec_id", F.lit("disease").alias("assignment"), folded("do_id").alias("key"))
@@ -51,7 +52,17 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = mapping.filter("entry is null and rivals is null").select(F.lit("lncrna").alias("assignment"), F.col("value").alias("a"), core.alias("b")).filter("b <> '' and a <> b")
     same = terms.select(F.lit("disease").alias("assignment"), folded("id").alias("a"), F.explode("alt_id").alias("b"))
     edges = spelt.unionByName(bare).unionByName(same.withColumn("b", folded("b")).filter("a <> '' and b <> ''"))
-    return splits.grouped_splits(keyed, edges, "rec_id")
+    return keyed, edges
+
+
+def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.grouped_splits(*_related(spark, sf_dir), "rec_id")
+
+
+def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of components by their rows, for each assignment."""
+    sizes = splits.group_sizes(splits.group_members(*_related(spark, sf_dir), "rec_id")[2])
+    return sizes.groupBy("assignment", F.col("n").alias("n_rows")).agg(F.count(F.lit(1)).alias("n_components"))
 
 
 def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +128,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_unmatched, p2_splits, p2_totals, p4_found, p4_copies, p6_ids, p6_sizes, p7_found, p7_passages, p7_items, p8_found, p8_scores, p8_rates)
+    for f in (p1_found, p1_unmatched, p2_splits, p2_sizes, p2_totals, p4_found, p4_copies, p6_ids, p6_sizes, p7_found, p7_passages, p7_items, p8_found, p8_scores, p8_rates)
 }
 
 FOLD = "upper(regexp_replace(coalesce({0}, ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
@@ -146,6 +157,33 @@ t3 AS (SELECT v, min(symbol) AS symbol FROM ed JOIN od ON ed.dg = od.dg AND abs(
 m AS (SELECT * FROM t01 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3)
 """
 
+# Components by reachability over the links; totals nearest to a tenth by the subset sums of all sizes. A validation total
+# as near as if nothing had been taken before is the best there is.
+_P2 = f"""
+{_P1.replace('WITH h AS', 'WITH RECURSIVE h AS', 1)},
+ref AS (SELECT v, symbol FROM m UNION SELECT v, symbol FROM ed JOIN od ON ed.dg = od.dg AND abs(ed.k - od.k) <= 1 AND damerau_levenshtein(v, n) = 1),
+link AS (SELECT 'lncrna' AS assignment, v AS a, '=' || symbol AS b FROM ref
+  UNION ALL SELECT 'lncrna', v, core FROM v WHERE core <> '' AND core <> v AND v NOT IN (SELECT v FROM ref)
+  UNION ALL SELECT 'disease', {FOLD.format('id')}, {FOLD.format('x')} FROM (SELECT id, unnest(alt_id) AS x FROM doid_terms) WHERE {FOLD.format('id')} <> '' AND {FOLD.format('x')} <> ''),
+both_ways AS MATERIALIZED (SELECT assignment, a, b FROM link UNION SELECT assignment, b, a FROM link),
+reach AS (SELECT assignment, a AS node, a AS seen FROM both_ways UNION SELECT r.assignment, r.node, e.b FROM reach AS r JOIN both_ways AS e ON e.assignment = r.assignment AND e.a = r.seen),
+root AS (SELECT assignment, node, min(seen) AS root FROM reach GROUP BY 1, 2),
+placed AS (SELECT 'lncrna' AS assignment, rec_id, {FOLD.format('rna_symbol')} AS node FROM rnadisease UNION ALL SELECT 'disease', rec_id, {FOLD.format('do_id')} FROM rnadisease),
+comp AS (SELECT assignment, CASE WHEN node = '' THEN '#' || rec_id ELSE coalesce(root, node) END AS g, count(*) AS n FROM placed LEFT JOIN root USING (assignment, node) GROUP BY 1, 2),
+sizes AS MATERIALIZED (SELECT assignment, n AS n_rows, count(*) AS n_components FROM comp GROUP BY 1, 2)
+"""
+
+_P2_TOTALS = """,
+want AS (SELECT assignment, sum(n_rows * n_components)::BIGINT AS total, round(sum(n_rows * n_components) / 10)::BIGINT AS target FROM sizes GROUP BY 1),
+item AS MATERIALIZED (SELECT assignment, w, row_number() OVER (PARTITION BY assignment ORDER BY w DESC) AS i FROM (
+  SELECT assignment, n_rows * least(1 << j, n_components - ((1 << j) - 1)) AS w FROM sizes, (SELECT unnest(range(0, 30))::INTEGER AS j) WHERE (1 << j) - 1 < n_components)),
+sums AS (SELECT assignment, 0::BIGINT AS i, 0::BIGINT AS t FROM want UNION ALL
+  SELECT DISTINCT s.assignment, s.i + 1, s.t + x.add FROM sums AS s JOIN (SELECT assignment, i, 0::BIGINT AS add FROM item UNION ALL SELECT assignment, i, w::BIGINT FROM item) AS x
+  ON x.assignment = s.assignment AND x.i = s.i + 1 JOIN want AS q ON q.assignment = s.assignment WHERE s.t + x.add <= 2 * q.target),
+best AS (SELECT assignment, total, arg_min(t, abs(t - target) + t / 1e12) AS t FROM sums JOIN want USING (assignment) GROUP BY 1, 2),
+totals AS (SELECT assignment, total, 'test' AS split, t AS n_rows FROM best UNION ALL SELECT assignment, total, 'validation', t FROM best UNION ALL SELECT assignment, total, 'train', total - 2 * t FROM best)
+SELECT assignment, split, n_rows, round(n_rows / total, 6) AS share FROM totals WHERE n_rows > 0"""
+
 _P4 = f"""
 WITH a AS (SELECT 'rnadisease' AS tab, rec_id AS id, [{', '.join(FOLD.format(c) for c in ('specise', 'rna_symbol', 'do_id', 'pubmed_id'))}] AS f FROM rnadisease
   UNION ALL SELECT 'website_alldata', row_id, [{', '.join(FOLD.format(c) for c in ('ncrna_category', 'species', 'ncrna_symbol', 'pubmed_id'))},
@@ -163,6 +201,8 @@ alls AS (SELECT 'rnadisease' AS tab, rec_id AS id FROM rnadisease UNION ALL SELE
 """
 
 SQL = {
+    "p2_sizes": _P2 + "SELECT assignment, n_rows, n_components FROM sizes",
+    "p2_totals": _P2 + _P2_TOTALS,
     "p4_found": _P4 + "SELECT r.tab, keep_id, id AS dup_id FROM r JOIN g ON g.tab = r.tab AND g.canon = r.canon WHERE id <> keep_id",
     "p4_copies": _P4
     + """SELECT tab, keep_id, copies FROM g

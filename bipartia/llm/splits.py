@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bipartia.operators.skew import number_within_key
-from bipartia.sources.tables import cut
+from bipartia.operators.skew import join_lookup, number_within_key
+from bipartia.sources.tables import cut, release
 
-# Bits of the subset-sum table; a larger target is first approached by whole components, largest first.
-MAX_BITS = 1 << 18
+def _spread(rows: DataFrame, lookup: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` with one lookup row per ``key``, where a third of the rows may have one key (see join_lookup)."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return join_lookup(rows, lookup, key, counts, "_n", how)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,58 +20,86 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every vertex to the smallest of itself and its neighbours, shortcuts the parent table by joining
     it with itself until all parents are roots, and replaces the edges by edges between different roots. A round at
-    least halves the vertices of each unfinished component. Parent tables are written each round; nothing but
-    counts reaches the driver. Edges that repeat, reversed or from a node to itself are allowed (the latter make a
-    component of one node), edges with a null end are left out, an empty input gives no rows.
+    least halves the vertices of each unfinished component. Parent tables are written each round, the ones they replace are
+    removed; nothing but counts reaches the driver. Joins by root or by parent, of which a giant component has one for
+    most of its rows, broadcast the rows of hot keys (see join_hot) and shuffle the others only. Edges that repeat, reversed
+    or from a node to itself are allowed (the latter make a component of one node), edges with a null end are left
+    out, an empty input gives no rows.
     """
     edges = edges.select(F.col("a").cast("string"), F.col("b").cast("string")).filter("a is not null and b is not null")
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels = cut(nodes.select("node", F.col("node").alias("root")))
-    edges = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    given = cut(edges.distinct())
+    labels = cut(given.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")))
+    edges = cut(given.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    release(given)
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")))
         while True:
             up = parent.select(F.col("a").alias("p"), F.col("p").alias("g"))
-            jumped = cut(parent.join(up, "p", "left").select("a", F.coalesce("g", "p").alias("p"), (F.coalesce("g", "p") != F.col("p")).alias("moved")))
-            parent = jumped.select("a", "p")
+            jumped = cut(_spread(parent, up, "p", "left").select("a", F.coalesce("g", "p").alias("p"), (F.coalesce("g", "p") != F.col("p")).alias("moved")))
+            release(parent)
+            parent = jumped
             if jumped.filter("moved").isEmpty():
                 break
+        old = labels, edges, parent
         to = parent.select(F.col("a").alias("root"), F.col("p").alias("_p"))
-        labels = cut(labels.join(to, "root", "left").select("node", F.coalesce("_p", "root").alias("root")))
+        labels = cut(_spread(labels, to, "root", "left").select("node", F.coalesce("_p", "root").alias("root")))
         pa, pb = parent.select("a", F.col("p").alias("pa")), parent.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        moved = edges.join(pa, "a").join(pb, "b").filter("pa <> pb")
+        half = cut(_spread(edges, pa, "a", "inner"))
+        moved = _spread(half, pb, "b", "inner").filter("pa <> pb")
         edges = cut(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        release(*old, half)
     return labels
 
 
 def closest_subset(sizes: dict[int, int], target: int) -> dict[int, int]:
     """How many components of each size to take so that their total is as near to ``target`` as possible.
 
-    ``sizes``: number of components by size. Their distinct sizes are at most sqrt(2 * rows) many. A target beyond
-    MAX_BITS is approached by the largest components first; the rest is a subset sum over a bitset of
-    reachable totals, with the multiplicities split into powers of two. Of two totals equally near, the lower.
+    ``sizes``: number of components by size. Exact at any size: a subset sum over a bitset of reachable totals, with the
+    multiplicities split into powers of two. Totals farther from the target than the one that taking the largest first
+    gives are left out of the bitset, and it is done as soon as the target itself is reachable. The items of the total are
+    found by halving the list of items and meeting in the middle, so that at most four bitsets of about ``target`` bits (an
+    eighth of a byte for each row of the split) are held at once. Of two totals equally near, the lower.
     """
-    left, take, rest = dict(sizes), {}, target
-    for s in sorted(left, reverse=True):
-        k = min(left[s], -(-max(0, rest - MAX_BITS) // s), rest // s)
-        if k:
-            take[s], left[s], rest = k, left[s] - k, rest - k * s
-    limit = 2 * rest
+    greedy, left = {}, target
+    for s in sorted(sizes, reverse=True):
+        if k := min(sizes[s], left // s):
+            greedy[s], left = k, left - k * s
+    if not left:
+        return greedy
+    limit = target + left
     items = []
-    for s in sorted(left, reverse=True):
-        n, k = min(left[s], limit // s), 1
+    for s in sorted(sizes, reverse=True):
+        n, k = min(sizes[s], limit // s), 1
         while n > 0:
             items.append((s, min(k, n)))
             n, k = n - k, 2 * k
-    mask, reach = (1 << (limit + 1)) - 1, [1]
-    for s, k in items:
-        reach.append((reach[-1] | (reach[-1] << (s * k))) & mask)
-    total = min((t for d in range(rest + 1) for t in (rest - d, rest + d) if reach[-1] >> t & 1), key=lambda t: (abs(t - rest), t), default=0) if not reach[-1] >> rest & 1 else rest
-    for i in range(len(items), 0, -1):
-        if not reach[i - 1] >> total & 1:
-            s, k = items[i - 1]
-            take[s], total = take.get(s, 0) + k, total - s * k
+    mask, reach, used = (1 << (limit + 1)) - 1, 1, 0
+    for used, (s, k) in enumerate(items, 1):
+        reach |= (reach << (s * k)) & mask
+        if reach >> target & 1:
+            break
+    below = (reach & ((1 << (target + 1)) - 1)).bit_length() - 1
+    above = reach >> (target + 1)
+    total = target + (above & -above).bit_length() if above and (above & -above).bit_length() < target - below else below
+    take: dict[int, int] = {}
+    parts = [(0, used, total)]
+    while parts:
+        lo, hi, t = parts.pop()
+        if not t:
+            continue
+        if hi - lo == 1:
+            s, k = items[lo]
+            take[s] = take.get(s, 0) + k
+            continue
+        # What the first half reaches, and what the second half leaves of t: any total in both will do.
+        mid, up, down, within = (lo + hi) // 2, 1, 1 << t, (1 << (t + 1)) - 1
+        for s, k in items[lo:mid]:
+            up |= (up << (s * k)) & within
+        for s, k in items[mid:hi]:
+            down |= down >> (s * k)
+        at = (up & down).bit_length() - 1
+        parts += [(lo, mid, at), (mid, hi, t - at)]
     return take
 
 
@@ -100,26 +130,34 @@ def assign_splits(sizes: DataFrame, shares: dict[str, float], rest: str) -> Data
     return numbered.join(table, ["assignment", "n"], "left").select("assignment", "root", F.when(F.size(hit) > 0, hit[0]["split"]).otherwise(F.lit(rest)).alias("split"))
 
 
+def group_members(rows: DataFrame, edges: DataFrame, row_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with the key they go by (row_id, assignment, k), the rows of each key (assignment, k, n), and each key's
+    component (assignment, k, n, root). See grouped_splits; the last two are written tables."""
+    sep = F.lit("\u0001")
+    whole = F.concat(F.col("assignment"), sep, F.when(F.coalesce("key", F.lit("")) == "", F.concat(F.lit("\u0002"), F.col(row_id).cast("string"))).otherwise(F.col("key")))
+    keyed = rows.select(row_id, "assignment", whole.alias("k"))
+    counts = cut(keyed.groupBy("assignment", "k").agg(F.count(F.lit(1)).alias("n")))
+    named = edges.select(F.concat("assignment", sep, "a").alias("a"), F.concat("assignment", sep, "b").alias("b"))
+    member = counts.join(components(named).withColumnRenamed("node", "k"), "k", "left")
+    return keyed, counts, cut(member.select("assignment", "k", "n", F.coalesce("root", "k").alias("root")))
+
+
+def group_sizes(member: DataFrame) -> DataFrame:
+    """Rows of each component: assignment, root, n."""
+    return member.groupBy("assignment", "root").agg(F.sum("n").alias("n"))
+
+
 def grouped_splits(rows: DataFrame, edges: DataFrame, row_id: str, shares: dict[str, float] | None = None, rest: str = "train") -> DataFrame:
     """One split for each row and assignment: row_id, assignment, split.
 
     ``rows``: row_id, assignment, key. ``edges``: assignment, a, b, links between keys of one entity (keys need not
     occur in rows). All rows whose keys are linked, however far, share a split. Rows with a null or empty key belong to
-    nothing and are placed one by one.
+    nothing and are placed one by one. Each split's total is as near to its share as the components allow that the splits
+    named before it have left.
     """
-    from bipartia.operators.skew import join_lookup
-
-    shares = shares or {"test": 0.1, "validation": 0.1}
-    sep = F.lit("\u0001")
-    whole = F.concat(F.col("assignment"), sep, F.when(F.coalesce("key", F.lit("")) == "", F.concat(F.lit("\u0002"), F.col(row_id).cast("string"))).otherwise(F.col("key")))
-    keyed = rows.select(row_id, "assignment", whole.alias("k"))
-    counts = cut(keyed.groupBy("assignment", "k").agg(F.count(F.lit(1)).alias("n")))
-    named = edges.select(F.concat("assignment", sep, "a").alias("a"), F.concat("assignment", sep, "b").alias("b"))
-    comp = components(named)
-    member = cut(counts.join(comp, counts["k"] == comp["node"], "left").select("assignment", "k", "n", F.coalesce("root", "k").alias("root")))
-    sizes = cut(member.groupBy("assignment", "root").agg(F.sum("n").alias("n")))
-    chosen = assign_splits(sizes, shares, rest)
-    lookup = cut(member.join(chosen.select("root", "split"), "root").select("k", "split"))
+    keyed, counts, member = group_members(rows, edges, row_id)
+    chosen = assign_splits(cut(group_sizes(member)), shares or {"test": 0.1, "validation": 0.1}, rest)
+    lookup = cut(_spread(member, cut(chosen.select("root", "split")), "root", "inner").select("k", "split"))
     return join_lookup(keyed, lookup, "k", counts, "n", "inner").select(row_id, "assignment", "split")
 
 

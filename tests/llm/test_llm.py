@@ -126,6 +126,32 @@ def test_closest_subset_beyond_the_bitset():
     assert sum(s * k for s, k in take.items()) == 1_300_123
 
 
+@pytest.mark.parametrize("sizes, target, total", [({500_000: 1, 300_000: 2}, 600_000, 600_000), ({400_000: 1, 270_000: 2}, 540_000, 540_000), ({200_000: 1, 150_000: 2, 1_200_000: 2}, 300_000, 300_000)])
+def test_largest_first_would_miss_the_total(sizes, target, total):
+    assert sum(s * k for s, k in splits.closest_subset(sizes, target).items()) == total
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(100_000, 900_000), st.integers(1, 3), max_size=4), st.integers(262_145, 2_000_000))
+def test_closest_subset_of_large_components(sizes, target):
+    take = splits.closest_subset(sizes, target)
+    assert all(0 <= k <= sizes[s] for s, k in take.items())
+    reach = {0}
+    for s, k in sizes.items():
+        reach = {t + s * i for t in reach for i in range(k + 1)}
+    assert abs(sum(s * k for s, k in take.items()) - target) == min(abs(t - target) for t in reach)
+
+
+def test_components_with_a_hub_beyond_the_broadcast(spark, monkeypatch):
+    from bipartia.operators import skew
+
+    monkeypatch.setattr(skew.join_lookup, "__defaults__", ("left", 5))
+    edges = [("hub", f"x{i}") for i in range(300)] + [(f"x{i}", f"y{i}") for i in range(0, 300, 7)] + [("b", "c"), ("c", "d")]
+    got = splits.components(spark.createDataFrame(edges, "a string, b string")).collect()
+    sizes = Counter(r["root"] for r in got)
+    assert sorted(sizes.values()) == [3, 344] and sizes["b"] == 3 and sizes["hub"] == 344
+
+
 def test_grouped_splits(spark):
     rows = [(i, "a", f"k{i % 40}" if i % 9 else None, i) for i in range(400)] + [(i, "b", "hot" if i < 150 else f"z{i}", i) for i in range(400)]
     edges = [("a", "k1", "k2"), ("a", "k2", "elsewhere"), ("a", "elsewhere", "k3")]
