@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -14,12 +15,12 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from bipartia.functions.text import folded
 from bipartia.operators.skew import hot_keys, join_hot
-from bipartia.sources.tables import cut
+from bipartia.sources.tables import cut, release
 
 BITS_PER_ROW = 16
 HASHES = 3
 SEGMENT_BITS = 1 << 20
-# Filters of more than this many bytes are made in several rounds, each over one part of the hash range.
+# Filters of more than this many bytes are made one after another, each for one range of the hash.
 ROUND_BYTES = 64 << 20
 
 
@@ -103,46 +104,60 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "again": [zlib.compress(again.tobytes(), 1)]})
 
 
-def possible_repeats(records: DataFrame, n_rows: int) -> DataFrame:
-    """``records`` (first column h, a 64-bit hash) with ``maybe``: whether the hash may occur more than once.
+def possible_repeats(records: DataFrame, n_rows: int, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``records`` (first column h, a 64-bit hash, not null) with ``maybe``: whether the hash may occur more than once.
 
     Each input partition makes a Bloom filter of the hashes it saw and one of those it saw repeatedly, in segments.
     Segments are merged: a hash may repeat if a partition saw it repeatedly, or if all its bits are set in the filters of
-    two partitions; so no repeat is lost. The merged filter of repeats, at most ROUND_BYTES a round, is broadcast.
-    If that takes several rounds, the rows are first written apart by round, so that every row is still read once.
+    two partitions; so no repeat is lost. The merged filter of repeats, at most ROUND_BYTES, is broadcast. Where that is
+    too small for all rows, ranges of the hash take turns, each with a filter of its own: its result is written and its
+    filter is dropped before the next one is made, so that driver and executors never hold more than one. A turn reads
+    only the row groups of its range if the rows of each file are sorted by h. ``keep`` (a filter or selection) is applied
+    before a result is written; with it, the result is a written table.
     """
     total = max(1, -(-n_rows * BITS_PER_ROW // SEGMENT_BITS))
     rounds = max(1, -(-total * SEGMENT_BITS // 8 // ROUND_BYTES))
     segments = -(-total // rounds)
+    edges = [-(2**63) + r * 2**64 // rounds for r in range(rounds)]
     sc, out = records.sparkSession.sparkContext, None
     schema = StructType([*records.schema.fields, StructField("maybe", BooleanType())])
-    if rounds > 1:
-        apart = cut(records.withColumn("_round", F.pmod(F.shiftrightunsigned("h", 7), F.lit(rounds)).cast("int")), folders="_round")
     for r in range(rounds):
-        mine = records if rounds == 1 else apart.filter(F.col("_round") == r).select(*records.columns)
+        mine = records
+        if r:
+            mine = mine.filter(F.col("h") >= F.lit(edges[r]))
+        if r + 1 < rounds:
+            mine = mine.filter(F.col("h") < F.lit(edges[r + 1]))
         parts = mine.select("h").mapInArrow(_build(segments), "segment int, once binary, again binary")
         merged = parts.groupBy("segment").applyInPandas(_merge, "segment int, again binary").collect()
         shared = sc.broadcast({row["segment"]: bytes(row["again"]) for row in merged})
-
-        def test(batches, shared=shared):
-            bits = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-            for s, data in shared.value.items():
-                bits[s] = _unpack(data)
-            for b in batches:
-                h = b.column(0).to_numpy(zero_copy_only=False)
-                seg, at = _places(h, segments)
-                hit = (bits[seg[:, None], at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit, pa.bool_())], names=[*b.schema.names, "maybe"])
-
-        part = mine.mapInArrow(test, schema)
+        part = mine.mapInArrow(_test(segments, shared), schema)
+        if keep is not None:
+            part = keep(part)
+        if keep is not None or rounds > 1:
+            part = cut(part)
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _tested(records: DataFrame) -> DataFrame:
-    key = F.concat_ws("\u0002", "tab", "canon")
-    hashed = records.filter("canon is not null").select(F.xxhash64(key).alias("h"), "tab", F.col("id").cast("bigint").alias("id"), key.alias("key"))
-    return possible_repeats(hashed, records.count())
+def _test(segments: int, shared):
+    def test(batches):
+        bits = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
+        for s, data in shared.value.items():
+            bits[s] = _unpack(data)
+        for b in batches:
+            seg, at = _places(b.column(0).to_numpy(zero_copy_only=False), segments)
+            hit = (bits[seg[:, None], at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit, pa.bool_())], names=[*b.schema.names, "maybe"])
+
+    return test
+
+
+def _hashed(records: DataFrame) -> DataFrame:
+    """h, tab, id, key of every row, written once and sorted by h in each file; h and key are null where canon is."""
+    key = F.when(F.col("canon").isNotNull(), F.concat_ws("\u0002", "tab", "canon"))
+    rows = records.select("tab", F.col("id").cast("bigint").alias("id"), key.alias("key"))
+    return cut(rows.select(F.when(F.col("key").isNotNull(), F.xxhash64("key")).alias("h"), "tab", "id", "key").sortWithinPartitions("h"))
 
 
 def repeats(records: DataFrame) -> DataFrame:
@@ -153,7 +168,9 @@ def repeats(records: DataFrame) -> DataFrame:
     the shuffle and joined apart (see join_hot). Rows with a null canon repeat nothing; empty tables give no rows; ids
     are unique within a tab.
     """
-    maybe = cut(_tested(records).filter("maybe").select("tab", "id", "key"))
+    hashed = _hashed(records)
+    maybe = possible_repeats(hashed.filter("h is not null"), hashed.count(), lambda t: t.filter("maybe").select("tab", "id", "key"))
+    release(hashed)
     groups = cut(maybe.groupBy("tab", "key").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
     total = groups.agg(F.sum("copies")).first()[0] or 0
     members = join_hot(maybe.select("id", "key"), groups, "key", hot_keys(groups, "key", "copies", total), "inner")
@@ -165,8 +182,9 @@ def collapse(records: DataFrame) -> DataFrame:
 
     Rows that the filter of repeats does not hold are emitted as records of one copy, without a shuffle.
     """
-    tested = cut(_tested(records).select("tab", "id", F.when(F.col("maybe"), F.col("key")).alias("key")))
+    hashed = _hashed(records)
+    tested = possible_repeats(hashed.filter("h is not null"), hashed.count(), lambda t: t.select("tab", "id", F.when(F.col("maybe"), F.col("key")).alias("key")))
     single = F.lit(1).cast("bigint").alias("copies")
     groups = tested.filter("key is not null").groupBy("tab", "key").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
-    bare = records.filter("canon is null").select("tab", F.col("id").cast("bigint").alias("keep_id"), single)
-    return groups.select("tab", "keep_id", "copies").unionByName(tested.filter("key is null").select("tab", F.col("id").alias("keep_id"), single)).unionByName(bare)
+    alone = tested.filter("key is null").unionByName(hashed.filter("h is null").select("tab", "id", "key"))
+    return groups.select("tab", "keep_id", "copies").unionByName(alone.select("tab", F.col("id").alias("keep_id"), single))
