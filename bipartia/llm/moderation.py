@@ -5,37 +5,30 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
-import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bipartia.sources.tables import cut, release
+
 CATEGORIES = ("abuse", "hate", "sexual")
 # Labelled rows used for fitting, at most; the ones with the lowest hash of their id are taken.
 MAX_LABELLED = 50_000
 BUCKETS = 1 << 16
 FACTORS = 6
+# Size of the model besides its weights: spellings known, and terms with counts of their own, the most frequent first.
+MAX_WORDS, MAX_TERMS = 50_000, 1 << 20
+# Steps of the fit; sentences that one task sums gradients over, and tasks of a step at most.
+STEPS, SHARD, SHARDS = 30, 2048, 16
 
 # Letters of other scripts that look like Latin ones. Fixed values.
 _LOOKALIKE = str.maketrans("абвгеёзіјкмнорѕстухүһԁԛԝαβεηικνορτυχ", "abbreezijkmhopsctyxyhdqwabenikvoptux")
 # Signs that stand for letters. Fixed values.
 _LEET = str.maketrans("0134578$@", "oieastbsa")
-# Words that often carry the categories, in the languages of most texts. They only say of which kind a word is; how much a
-# kind matters, and beside which other terms, is learned. Fixed values.
-KINDS = {
-    "insult": "idiot idiots stupid moron morons imbecile dumb dimwit cretin loser losers trash garbage scum worthless pathetic useless brainless braindead clown "
-    "fool pig ape vollidiot versager dummkopf depp trottel idiota imbecil inutil estupido imprestavel burro abruti connard stronzo scemo идиот дурак тупой 白痴 笨蛋 バカ",
-    "threat": "kill die dies dead slap punch beat hurt regret burn hang mother vanish ashamed sterben tot morir mourir muere morre",
-    "group": "foreigners foreigner migrants migrant immigrants refugees women men blacks whites jews muslims christians gays disabled old folks elderly believers tribe "
-    "islanders people them they those ausländer frauen extranjeros mujeres étrangers femmes estrangeiros mulheres",
-    "contempt": "vermin rats subhuman filthy liars breed steal poison plague ungeziefer plaga belong typical thrown blood raus echarlos vermine dehors praga",
-    "sexual": "sex sexy nude nudes naked horny porn erotic undress bed bang spank moaned scream cam babe strip kiss touch skirt nackt nacktbilder desnuda desnudo nue nu nua pelada голая",
-    "you": "you your yours u du dich dein deine tu te toi ton ta eres tus você vocês seu ты тебя 你 君",
-}
 _INVISIBLE = re.compile("[­᠎​-‏‪-‮⁠-⁤﻿︀-️]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]{1,3}[^\W_](?![^\W_])){2,}")
 _SENTENCE = re.compile(r"[.!?;。！？؟]+(?=\s|$)|[。！？\r\n]+|(?<=\w)\.(?=\s)")
@@ -44,13 +37,16 @@ _REPEAT = re.compile(r"([^*])\1+")
 _CODE = re.compile(r"^(?=.*\d)[\w]+$")
 
 
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+# Names of tags that are no words of a text. Fixed values.
+_TAG = re.compile(r"</?(?:a|abbr|b|blockquote|br|code|del|div|em|h[1-6]|hr|i|img|kbd|li|ol|p|pre|s|span|strong|sub|sup|table|tbody|td|th|thead|tr|u|ul)(?=[\s/>])|[<>]")
 # Longer sentences are scored in windows of so many words, half overlapping.
 WINDOW = 14
 
 
 def sentences(text: str | None) -> list[str]:
-    """Sentences of a text, without invisible characters; letters set apart are joined."""
+    """Sentences of a text, without invisible characters; letters set apart are joined.
+
+    Names and signs of tags are left out, the words inside a tag are a sentence like others."""
     if not text:
         return []
     text = _TAG.sub("\n", _INVISIBLE.sub("", text))
@@ -76,11 +72,17 @@ def plain_word(word: str) -> str:
 
 
 class Speller:
-    """Plain words of a vocabulary; masked, scrambled or clipped spellings are led back to the word they stand for."""
+    """Plain words of a vocabulary; masked, scrambled or clipped spellings are led back to the word they stand for.
+
+    Only words of up to LONGEST letters have other spellings."""
+
+    LONGEST = 30
 
     def __init__(self, counts: dict[str, int]):
         self.known, self.by = set(counts), {}
         for w in sorted(counts, key=lambda w: (-counts[w], w)):
+            if len(w) > self.LONGEST:
+                continue
             if len(w) >= 4:
                 for key in self._keys(w):
                     self.by.setdefault(key, w)
@@ -103,7 +105,7 @@ class Speller:
         return got
 
     def _seek(self, w: str) -> str:
-        if w in self.known or len(w) < 3 or len(w) > 30:
+        if w in self.known or len(w) < 3:
             return w
         if "*" in w:
             one = _REPEAT.sub(r"\1", w)
@@ -113,24 +115,17 @@ class Speller:
         return w
 
 
-def _bucket(term: str) -> int:
-    return zlib.crc32(term.encode("utf-8", "replace")) & (BUCKETS - 1)
-
-
-def _kinds() -> dict[str, str]:
-    return {plain_word(w): k for k, ws in KINDS.items() for w in ws.split()}
+def _hash(term: str) -> int:
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "replace"))
 
 
-_KIND_OF: dict[str, str] = {}
+def _bucket(term: str) -> int:
+    return _hash(term) & (BUCKETS - 1)
 
 
 def terms(words: list[str]) -> list[str]:
-    """Words, pairs of neighbours, kinds of words and pairs of kinds, each once."""
-    if not _KIND_OF:
-        _KIND_OF.update(_kinds())
-    found = sorted({k for w in words if (k := _KIND_OF.get(w))})
-    kinds = [f"kind of {k}" for k in found] + [f"kinds {a} and {b}" for i, a in enumerate(found) for b in found[i + 1 :]]
-    return list(dict.fromkeys(words + [f"{a} {b}" for a, b in zip(words, words[1:])] + kinds))
+    """Words and pairs of neighbours, each once."""
+    return list(dict.fromkeys(words + [f"{a} {b}" for a, b in zip(words, words[1:])]))
 
 
 def pieces(text: str | None, speller) -> list[tuple[str, ...]]:
@@ -143,62 +138,70 @@ def pieces(text: str | None, speller) -> list[tuple[str, ...]]:
     return out
 
 
+class Sentences:
+    """Hashed terms of many sentences, one after another: ``flat``, with the number of terms of each in ``sizes``."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes, self.starts = flat, sizes, np.cumsum(sizes) - sizes
+        self.x = np.repeat(1 / np.sqrt(sizes), sizes)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.starts, axis=0)
+
+
 class Machine:
-    """score = sigmoid(w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j), x = 1 / sqrt(terms of the sentence)."""
+    """score = sigmoid(w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j), x = 1 / sqrt(terms of the sentence).
 
-    def __init__(self, w0: float, w: np.ndarray, v: np.ndarray):
-        self.w0, self.w, self.v = w0, w, v
+    Fitted by Adam on the logistic loss; ``step`` takes sums of gradients, wherever they were summed."""
+
+    def __init__(self, seed: int = 7):
+        self.p = [np.array(-2.0), np.zeros(BUCKETS), np.random.default_rng(seed).normal(0, 0.05, (BUCKETS, FACTORS))]
+        self.m, self.q, self.t = [0.0] * 3, [0.0] * 3, 0
+
+    def weights(self) -> list[np.ndarray]:
+        return [p.astype(np.float32) for p in self.p]
 
     def score(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        x = np.repeat(1 / np.sqrt(sizes), sizes)
-        lin = np.add.reduceat(self.w[flat] * x, starts)
-        vx = self.v[flat] * x[:, None]
-        s = np.add.reduceat(vx, starts, axis=0)
-        inter = 0.5 * (s * s - np.add.reduceat(vx * vx, starts, axis=0)).sum(axis=1)
-        return 1 / (1 + np.exp(-np.clip(self.w0 + lin + inter, -30, 30)))
-
-
-def fit(rows: list[list[int]], yes: np.ndarray, no: np.ndarray, epochs: int = 12, rate: float = 0.15, decay: float = 2e-5, seed: int = 7) -> Machine:
-    """Logistic loss over distinct sentences with ``yes`` and ``no`` votes each, by AdaGrad over mini-batches."""
-    rng = np.random.default_rng(seed)
-    w0, w, v = -2.0, np.zeros(BUCKETS), rng.normal(0, 0.05, (BUCKETS, FACTORS))
-    g0, gw, gv = 1.0, np.full(BUCKETS, 0.1), np.full((BUCKETS, FACTORS), 0.1)
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate([np.array(r, np.int64) for r in rows])
-    first = np.cumsum(sizes) - sizes
-    # Yes weighs more where it is rare; a sentence that many documents share counts by the root of its votes.
-    votes = np.sqrt(np.maximum(1, yes + no))
-    more = np.sqrt(min(100.0, max(1.0, no.sum() / max(1.0, yes.sum()))))
-    yes, no = yes * more / votes, no / votes
+        return _logistic(self.p, Sentences(flat, sizes))[0]
+
+    def step(self, g0: float, gw: np.ndarray, gv: np.ndarray, n: int, rate: float = 0.2, decay: float = 2e-5) -> None:
+        self.t += 1
+        for i, g in enumerate((np.array(g0), gw, gv)):
+            g = g + (decay * n * self.p[i] if i else 0)
+            self.m[i], self.q[i] = 0.9 * self.m[i] + 0.1 * g, 0.99 * self.q[i] + 0.01 * g * g
+            self.p[i] = self.p[i] - rate * (self.m[i] / (1 - 0.9**self.t)) / (np.sqrt(self.q[i] / (1 - 0.99**self.t)) + 1e-8)
+
+
+def _logistic(p: list[np.ndarray], s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probabilities, and the factors of each term and their sum in its sentence."""
+    w0, w, v = p
+    vx = v[s.flat] * s.x[:, None]
+    total = s.sums(vx)
+    z = w0 + s.sums(w[s.flat] * s.x) + 0.5 * (total * total - s.sums(vx * vx)).sum(axis=1)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30))), vx, total
+
+
+def gradient(p: list[np.ndarray], s: Sentences, yes: np.ndarray, no: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Sums over the sentences of the gradient of the logistic loss by w0, w and v; yes and no are weights of the votes."""
+    prob, vx, total = _logistic(p, s)
+    err = (yes + no) * prob - yes
+    e = np.repeat(err, s.sizes) * s.x
+    by_factor = [np.bincount(s.flat, e * (np.repeat(total[:, f], s.sizes) - vx[:, f]), BUCKETS) for f in range(FACTORS)]
+    return float(err.sum()), np.bincount(s.flat, e, BUCKETS), np.stack(by_factor, axis=1)
+
+
+def _more(yes_total: float, no_total: float) -> float:
+    """How much more a yes weighs where it is rare."""
+    return float(np.sqrt(min(100.0, max(1.0, no_total / max(1.0, yes_total)))))
+
+
+def fit(rows: list[list[int]], yes: np.ndarray, no: np.ndarray, epochs: int = STEPS) -> Machine:
+    """One machine for sentences (their buckets) with ``yes`` and ``no`` votes, in this process."""
+    s = Sentences(np.concatenate([np.array(r, np.int64) for r in rows]), np.array([len(r) for r in rows]))
+    machine, more, votes = Machine(), _more(yes.sum(), no.sum()), np.sqrt(np.maximum(1, yes + no))
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for lo in range(0, len(order), 256):
-            pick = order[lo : lo + 256]
-            n = sizes[pick]
-            starts = np.cumsum(n) - n
-            at = np.repeat(first[pick] - starts, n) + np.arange(n.sum())
-            idx, x = flat[at], np.repeat(1 / np.sqrt(n), n)
-            vx = v[idx] * x[:, None]
-            s = np.add.reduceat(vx, starts, axis=0)
-            z = w0 + np.add.reduceat(w[idx] * x, starts) + 0.5 * (s * s - np.add.reduceat(vx * vx, starts, axis=0)).sum(axis=1)
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            err = (yes[pick] + no[pick]) * p - yes[pick]
-            e = np.repeat(err, n)
-            grad_w = np.bincount(idx, e * x, BUCKETS)
-            used = np.unique(idx)
-            gvx = (e * x)[:, None] * (np.repeat(s, n, axis=0) - vx)
-            grad_v = np.zeros((len(used), FACTORS))
-            np.add.at(grad_v, np.searchsorted(used, idx), gvx)
-            g = grad_w[used] + decay * len(pick) * w[used]
-            gw[used] += g * g
-            w[used] -= rate * g / np.sqrt(gw[used])
-            g = grad_v + decay * len(pick) * v[used]
-            gv[used] += g * g
-            v[used] -= rate * g / np.sqrt(gv[used])
-            g = err.sum()
-            g0 += g * g
-            w0 -= rate * g / np.sqrt(g0)
-    return Machine(w0, w, v)
+        machine.step(*gradient(machine.p, s, yes * more / votes, no / votes), len(rows))
+    return machine
 
 
 def _lower(yes: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -208,138 +211,232 @@ def _lower(yes: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(n > 1, low, 0.0)
 
 
-def learn(texts: list[str | None], labels: np.ndarray, rare: int = 2) -> tuple[Machine | None, Speller]:
-    """Fit one category from labelled documents. Labels hold for documents, but the machine learns sentences.
-
-    A term's rate is the share of the documents with it that have the label; a sentence is as telling as its three
-    best terms. A document with the label votes yes for its most telling sentences and no for the others;
-    if none is telling, the label is taken for an error and left out, as are telling sentences of documents without the
-    label. After a first fit the machine itself says which sentences are telling, and is fitted again.
-    """
-    counts = Counter(plain_word(w) for t in texts for s in sentences(t) for w in _TOKEN.findall(s))
-    speller = Speller({w: 1 for w in _kinds()} | {w: n for w, n in counts.items() if n > rare and "*" not in w})
-    seen: dict[tuple[str, ...], int] = {}
-    docs = [sorted({seen.setdefault(ws, len(seen)) for ws in pieces(t, speller)}) for t in texts]
-    if not seen or not labels.any() or labels.all():
-        return None, speller
-    index: dict[str, int] = {}
-    ids = [[index.setdefault(t, len(index)) for t in terms(list(ws))] for ws in seen]
-    n, yes_n = np.zeros(len(index)), np.zeros(len(index))
-    for d, y in zip(docs, labels):
-        own = list({t for i in d for t in ids[i]})
-        n[own] += 1
-        if y:
-            yes_n[own] += 1
-    names = list(index)
-    # A word seen once, in a document with the label, tells a little: a sentence with three of them is unlike the rest.
-    once = np.array([" " not in t and t.isalpha() for t in names]) & (n == 1) & (yes_n == 1)
-    low = np.where(once, 0.36, _lower(yes_n, np.maximum(n, 1)))
-    telling = np.array([np.sort(low[k])[-3:].mean() for k in ids])
-    keys = [[_bucket(names[t]) for t in k if n[t] > 1 or " " not in names[t] or names[t].startswith("kind")] for k in ids]
-    sizes = np.array([len(k) for k in keys])
-    flat = np.concatenate([np.array(k) for k in keys])
-    machine = None
-    for least in (0.35, 0.3):
-        yes, no = np.zeros(len(seen)), np.zeros(len(seen))
-        for d, y in zip(docs, labels):
-            d = np.array(d, int)
-            if y and len(d) and (best := telling[d].max()) >= least:
-                chosen = telling[d] >= max(least, 0.7 * best)
-                yes[d[chosen]] += 1
-                no[d[~chosen]] += 1
-            elif not y:
-                no[d[telling[d] < 0.6]] += 1
-        if not yes.any():
-            return machine, speller
-        machine = fit(keys, yes, no)
-        telling = machine.score(flat, np.cumsum(sizes) - sizes, sizes)
-    return machine, speller
-
-
-def _train(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["doc_id", "label_id"])
-    machine, speller = learn(pdf["text"].tolist(), pdf["hit"].to_numpy(bool))
-    used = b"" if machine is None else np.concatenate([[machine.w0], machine.w, machine.v.ravel()]).astype(np.float32).tobytes()
-    words = "\n".join(f"{w}" for w in sorted(speller.known))
-    return pd.DataFrame({"category": [pdf["category"].iloc[0]], "weights": [zlib.compress(used, 1)], "words": [words], "by": ["\n".join(f"{k}\t{w}" for k, w in speller.by.items())]})
-
-
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """A model for each category: category, weights, words, by. One task per category, over at most ``max_labelled`` labels.
+def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The texts of at most ``max_labelled`` labels: label_id, said, text.
 
     Category names count without case and spaces around, a misspelt one as the category within two letters of it;
-    others, and null, are no label. Documents read by several annotators vote once for each.
+    others, and null, are no label. Documents read by several annotators vote once for each. The labels, bounded by
+    max_labelled, are broadcast; the documents stay where they are.
     """
     name = F.lower(F.trim("category"))
     nearest = F.array_min(F.array(*[F.struct(F.levenshtein(name, F.lit(c)).alias("d"), F.lit(c).alias("c")) for c in ("none", *CATEGORIES)]))
     known = labels.select("label_id", "doc_id", F.when(nearest["d"] <= F.when(nearest["c"] == "none", 1).otherwise(2), nearest["c"]).alias("said")).filter("said is not null")
     few = known.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
-    read = few.join(docs.select("doc_id", "text"), "doc_id")
-    each = read.select("label_id", "doc_id", "text", "said", F.explode(F.array(*map(F.lit, CATEGORIES))).alias("category"))
-    each = each.select("label_id", "doc_id", "text", "category", (F.col("said") == F.col("category")).alias("hit"))
-    return each.groupBy("category").applyInPandas(_train, "category string, weights binary, words string, by string")
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("label_id", "said", "text")
+
+
+def _vocabulary(read: DataFrame, rare: int = 2) -> Speller:
+    """Words seen more than ``rare`` times in the labelled texts."""
+
+    def count(batches):
+        for b in batches:
+            n = Counter(plain_word(w) for t in b.column(0).to_pylist() for x in sentences(t) for w in _TOKEN.findall(x))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+
+    words = read.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return Speller({r["word"]: r["n"] for r in words.filter((F.col("n") > rare) & ~F.col("word").contains("*")).orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()})
+
+
+def _pieces(read: DataFrame, speller) -> DataFrame:
+    """The distinct sentences of each labelled text in known spelling, words joined by a space: said, pieces."""
+
+    def run(batches):
+        for b in batches:
+            out = [[" ".join(p) for p in dict.fromkeys(pieces(t, speller.value))] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["said", "pieces"])
 
+    return read.select("said", "text").mapInArrow(run, "said string, pieces array<string>")
 
-def _load(model: list[tuple]) -> tuple[Speller | None, list[tuple[str, Machine]]]:
-    machines, speller = [], None
-    for category, weights, words, by in model:
-        if speller is None:
-            speller = Speller({})
-            speller.known = set(words.split("\n"))
-            speller.by = dict(x.split("\t") for x in by.split("\n") if x)
-        raw = np.frombuffer(zlib.decompress(weights), np.float32).astype(np.float64)
-        if len(raw):
-            machines.append((category, Machine(raw[0], raw[1 : BUCKETS + 1], raw[BUCKETS + 1 :].reshape(BUCKETS, FACTORS))))
-    return speller, machines
 
+def _term_rates(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the terms that count, in order, and how surely each tells of each category.
 
-_models: dict = {}
+    A term's rate is the share of the texts with it that have the label, at the lower end of its interval. A word seen
+    once, in a text with the label, tells a little: a sentence with three of them is unlike the rest. Pairs seen once are
+    left out.
+    """
 
+    def count(batches):
+        for b in batches:
+            n: dict[str, list[int]] = {}
+            for said, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for t in {t for p in own for t in terms(p.split(" "))}:
+                    row = n.setdefault(t, [0, 0, 0, 0])
+                    row[0] += 1
+                    if said != "none":
+                        row[1 + CATEGORIES.index(said)] += 1
+            h = np.array([_hash(t) for t in n], np.uint64).astype(np.int64)
+            cols = np.array(list(n.values()), np.int64).reshape(-1, 4)
+            plain = pa.array([" " not in t and t.isalpha() for t in n], pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(h), plain, *[pa.array(cols[:, i]) for i in range(4)]], names=["h", "plain", "n", *CATEGORIES])
+
+    kinds = "h bigint, plain boolean, n bigint, " + ", ".join(f"{c} bigint" for c in CATEGORIES)
+    rates = texts.mapInArrow(count, kinds).groupBy("h").agg(F.max("plain").alias("plain"), *[F.sum(c).alias(c) for c in ("n", *CATEGORIES)])
+    once = (F.col("n") == 1) & F.col("plain") & (F.greatest(*CATEGORIES) == 1)
+    got = rates.filter((F.col("n") > 1) | once).orderBy(F.desc("n"), "h").limit(MAX_TERMS).toPandas().sort_values("h")
+    n, yes = got["n"].to_numpy(float), got[list(CATEGORIES)].to_numpy(float)
+    low = np.where((n == 1)[:, None], 0.36 * yes, _lower(yes, np.maximum(n, 1)[:, None])) if len(got) else np.zeros((0, len(CATEGORIES)))
+    return got["h"].to_numpy(np.int64), low.astype(np.float32)
+
+
+def _votes(texts: DataFrame, rates, least: float = 0.35) -> DataFrame:
+    """Distinct sentences with their votes: keys (buckets of their terms), yes and no for each category.
+
+    Labels hold for documents, but the machine learns sentences. A sentence is as telling as its three best terms. A
+    text with the label votes yes for its most telling sentences and no for the others; if none is telling, the label is
+    taken for an error and left out, as are telling sentences of texts without the label.
+    """
+    names = [f"{v}_{c}" for c in CATEGORIES for v in ("yes", "no")]
 
-def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """Scores between 0 and 1: doc_id, category, score; one row for each document and category.
+    def run(batches):
+        known, low = rates.value
+        for b in batches:
+            votes: dict[str, np.ndarray] = {}
+            keys: dict[str, list[int]] = {}
+            telling: dict[str, np.ndarray] = {}
+            for said, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for p in own:
+                    if p not in keys:
+                        names_ = terms(p.split(" "))
+                        h = np.array([_hash(t) for t in names_], np.uint64)
+                        at = np.searchsorted(known, h.astype(np.int64))
+                        hit = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == h.astype(np.int64)) if len(known) else np.zeros(len(h), bool)
+                        sure = np.where(hit[:, None], low[np.minimum(at, len(known) - 1)], 0) if len(known) else np.zeros((len(h), len(CATEGORIES)))
+                        telling[p] = np.sort(sure, axis=0)[-3:].mean(axis=0)
+                        solo = np.array([" " not in t for t in names_])
+                        keys[p] = (h[hit | solo] & np.uint64(BUCKETS - 1)).astype(np.int64).tolist()
+                        votes[p] = np.zeros(len(names))
+                if not own:
+                    continue
+                t = np.stack([telling[p] for p in own])
+                for c, category in enumerate(CATEGORIES):
+                    if said != category:
+                        yes, no = np.zeros(len(own), bool), t[:, c] < 0.6
+                    elif t[:, c].max() >= least:
+                        yes = t[:, c] >= max(least, 0.7 * t[:, c].max())
+                        no = ~yes
+                    else:
+                        continue
+                    for p, y, n in zip(own, yes, no):
+                        votes[p][2 * c] += y
+                        votes[p][2 * c + 1] += n
+            all_ = np.array(list(votes.values())).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.string()), pa.array(list(keys.values()), pa.list_(pa.int64())), *[pa.array(all_[:, i]) for i in range(len(names))]], names=["piece", "keys", *names])
+
+    kinds = "piece string, keys array<bigint>, " + ", ".join(f"{n} double" for n in names)
+    return texts.mapInArrow(run, kinds).groupBy("piece").agg(F.first("keys").alias("keys"), *[F.sum(n).alias(n) for n in names])
+
+
+def _gradients(weights, more: list[float]):
+    """Sums of a partition's gradients, one row for each category that has votes; only buckets that occur are sent."""
+
+    def run(batches):
+        sums: dict[int, list] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(0)
+            s = Sentences(keys.flatten().to_numpy(zero_copy_only=False), np.diff(keys.offsets.to_numpy()))
+            for c, p in enumerate(weights.value):
+                if p is None:
+                    continue
+                yes, no = (b.column(1 + 2 * c + i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                votes = np.sqrt(np.maximum(1, yes + no))
+                g = gradient(p, s, yes * more[c] / votes, no / votes)
+                sums[c] = [a + x for a, x in zip(sums[c], g)] if c in sums else list(g)
+        rows = []
+        for c, (g0, gw, gv) in sums.items():
+            at = np.flatnonzero(gw)
+            rows.append((c, g0, at.astype(np.int32).tobytes(), np.column_stack([gw[at], gv[at]]).tobytes()))
+        cols = list(zip(*rows)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["c", "g0", "at", "g"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[Speller, list[list[np.ndarray] | None]]:
+    """The spellings and, for each category, the weights of its machine (None without a telling label).
+
+    Every step sums the gradients of all categories over the partitions of the labelled sentences; what reaches the driver
+    is as large as the model, at most SHARDS times. No text or list of sentences does.
+    """
+    sc = docs.sparkSession.sparkContext
+    read = cut(labelled(docs, labels, max_labelled))
+    speller = _vocabulary(read)
+    spelt = sc.broadcast(speller)
+    texts = cut(_pieces(read, spelt))
+    rates = sc.broadcast(_term_rates(texts))
+    votes = cut(_votes(texts, rates).drop("piece"))
+    names = votes.columns[1:]
+    n, *totals = votes.agg(F.count(F.lit(1)), *[F.sum(c) for c in names]).first()
+    sets = cut(votes.repartition(max(1, min(SHARDS, n // SHARD)), F.xxhash64("keys")))
+    release(read, texts, votes)
+    machines = [Machine() if n and totals[2 * c] > 0 and totals[2 * c + 1] > 0 else None for c in range(len(CATEGORIES))]
+    more = [_more(totals[2 * c] or 0, totals[2 * c + 1] or 0) for c in range(len(CATEGORIES))]
+    for _ in range(STEPS if any(machines) else 0):
+        weights = sc.broadcast([m and m.weights() for m in machines])
+        parts = sets.mapInArrow(_gradients(weights, more), "c int, g0 double, at binary, g binary").collect()
+        sums = {c: [0.0, np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS))] for c, m in enumerate(machines) if m}
+        for r in sorted(parts, key=lambda r: (r["c"], r["g0"])):
+            g = np.frombuffer(r["g"]).reshape(-1, 1 + FACTORS)
+            at, total = np.frombuffer(r["at"], np.int32), sums[r["c"]]
+            total[0] += r["g0"]
+            total[1][at] += g[:, 0]
+            total[2][at] += g[:, 1:]
+        for c, total in sums.items():
+            machines[c].step(*total, n)
+        weights.destroy()
+    release(sets)
+    return speller, [m and m.weights() for m in machines]
+
+
+_caches: dict = {}
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scores between 0 and 1: doc_id, category, score, and the columns ``keep``; one row for each document and category.
 
     A document's score is that of its most telling sentence. All sentences of whole texts are scored, in any script.
     Null, empty and wordless texts score 0; without labels of a category all its scores are 0.
     """
-    model = [tuple(r) for r in train(docs, labels, max_labelled).select("category", "weights", "words", "by").collect()]
-    shared = docs.sparkSession.sparkContext.broadcast([(c, bytes(w), x, y) for c, w, x, y in sorted(model, key=lambda m: m[0])])
-
-    key = uuid.uuid4().hex
+    shared, key = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_labelled)), uuid.uuid4().hex
 
     def run(batches):
-        if key not in _models:
-            _models.clear()
-            _models[key] = (*_load(shared.value), {})
-        speller, machines, cache = _models[key]
+        speller, machines = shared.value
+        if key not in _caches:
+            _caches.clear()
+            _caches[key] = {}
+        cache = _caches[key]
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
                 rows, owner = [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
-                    for ws in pieces(text, speller) if speller else ():
+                    for ws in pieces(text, speller) if any(machines) else ():
                         if (k := cache.get(ws)) is None:
                             if len(cache) > 100_000:
                                 cache.clear()
                             k = cache[ws] = np.array([_bucket(t) for t in terms(list(ws))], np.int64)
                         rows.append(k)
                         owner.append(i)
-                scores = {c: np.zeros(part.num_rows) for c in CATEGORIES}
+                scores = np.zeros((len(CATEGORIES), part.num_rows))
                 if rows:
-                    n = np.array([len(r) for r in rows])
-                    flat, starts, own = np.concatenate(rows), np.cumsum(n) - n, np.array(owner)
-                    for c, m in machines:
-                        np.maximum.at(scores[c], own, m.score(flat, starts, n))
-                for c in CATEGORIES:
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c] * part.num_rows), pa.array(scores[c])], names=["doc_id", "category", "score"])
+                    s, own = Sentences(np.concatenate(rows), np.array([len(r) for r in rows])), np.array(owner)
+                    for c, p in enumerate(machines):
+                        if p is not None:
+                            np.maximum.at(scores[c], own, _logistic(p, s)[0])
+                for c, category in enumerate(CATEGORIES):
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([category] * part.num_rows), pa.array(scores[c]), *part.columns[2:]], names=["doc_id", "category", "score", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, category string, score double")
+    kinds = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id bigint, category string, score double{kinds}")
 
 
 def rates(docs: DataFrame, scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     """For each source and category: documents, documents at or above ``threshold``, and their share. Sources count
-    without spaces around; null and blank ones are one source, null."""
+    without spaces around; null and blank ones are one source, null. Scores that have kept their source need no join."""
     hit = (F.col("score") >= threshold).cast("bigint")
-    both = scores.join(docs.select("doc_id", F.nullif(F.trim("source"), F.lit("")).alias("source")), "doc_id")
-    out = both.groupBy("source", "category").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(hit).alias("n_found"))
+    both = scores if "source" in scores.columns else scores.join(docs.select("doc_id", "source"), "doc_id")
+    source = F.nullif(F.trim("source"), F.lit("")).alias("source")
+    out = both.groupBy(source, "category").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(hit).alias("n_found"))
     return out.withColumn("rate", F.col("n_found") / F.col("n_docs"))

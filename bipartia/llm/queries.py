@@ -123,7 +123,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return moderation.rates(table(spark, sf_dir, "documents"), p8_scores(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents")
+    return moderation.rates(docs, moderation.score_documents(docs, table(spark, sf_dir, "moderation_labels"), keep=("source",)))
 
 
 QUERIES = {

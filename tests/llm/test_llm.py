@@ -349,28 +349,61 @@ def test_gradient_of_the_machine():
     assert ((p > 0.5) == (yes > 0.5)).all()
 
 
-def test_held_out_accuracy(spark, sf):
-    """A machine fitted on one set is held against documents of another that two annotators agree on."""
+@pytest.mark.parametrize("fit_on, held_out, least", [("sf0.1", "check_s", 0.8), ("check_s", "sf0.1", 0.9), ("check_l", "check_s", 0.9), ("check_l", "sf0.1", 0.9)])
+def test_held_out_accuracy(spark, sf, monkeypatch, fit_on, held_out, least):
+    """The operator, fitted on one set, is held against documents of another that two annotators agree on."""
     root = Path(sf).parent
-
-    def read(name):
-        docs, labels = spark.read.parquet(f"{root}/{name}/documents.parquet"), spark.read.parquet(f"{root}/{name}/moderation_labels.parquet")
-        return labels.join(docs, "doc_id").select("doc_id", "text", F.lower(F.trim("category")).alias("c")).filter("c is not null").collect()
-
-    fit_on, rows = read("sf0.1"), read("check_s" if (root / "check_s").exists() else "sf0.01")
-    texts, said = {r["doc_id"]: r["text"] for r in rows}, defaultdict(list)
-    for r in rows:
+    if not (root / fit_on).exists() or not (root / held_out).exists():
+        pytest.skip("no such tables")
+    read = lambda n, t: spark.read.parquet(f"{root}/{n}/{t}.parquet")
+    model = moderation.train(read(fit_on, "documents"), read(fit_on, "moderation_labels"))
+    monkeypatch.setattr(moderation, "train", lambda *_: model)
+    docs, labels = read(held_out, "documents"), read(held_out, "moderation_labels")
+    found, said = defaultdict(set), defaultdict(list)
+    for r in moderation.score_documents(docs.join(labels.select("doc_id").distinct(), "doc_id"), labels).filter("score >= 0.5").collect():
+        found[r["category"]].add(r["doc_id"])
+    for r in labels.select("doc_id", F.lower(F.trim("category")).alias("c")).filter("c is not null").collect():
         said[r["doc_id"]].append(r["c"])
     for category in moderation.CATEGORIES:
-        machine, speller = moderation.learn([r["text"] for r in fit_on], np.array([r["c"] == category for r in fit_on]))
-        hit = {}
-        for d in said:
-            keys = [np.array([moderation._bucket(t) for t in moderation.terms(list(ws))]) for ws in moderation.pieces(texts[d], speller)]
-            n = np.array([len(k) for k in keys])
-            hit[d] = bool(keys) and machine.score(np.concatenate(keys), np.cumsum(n) - n, n).max() >= 0.5
-        agreed = [hit[d] for d in said if said[d].count(category) > 1]
-        wrong = np.mean([hit[d] for d in said if category not in said[d]])
-        assert np.mean(agreed or [1]) > 0.7 and wrong < 0.02, (category, np.mean(agreed), wrong)
+        agreed = [d in found[category] for d in said if said[d].count(category) > 1]
+        wrong = np.mean([d in found[category] for d in said if category not in said[d]])
+        assert np.mean(agreed) >= least and wrong < 0.01, (category, np.mean(agreed), wrong)
+
+
+def test_words_in_tags_are_scored():
+    assert moderation.sentences("hello <you are a worthless idiot> bye <b>now</b> a <c") == ["hello ", "you are a worthless idiot", " bye ", "now", " a ", "c"]
+    assert moderation.sentences("<" + "xyz " * 300 + ">")[0].split() == ["xyz"] * 300
+
+
+def test_long_words_are_led_back():
+    s = moderation.Speller({"a" * 20 + "bcdef": 5})
+    assert s("A" * 45) == "a" and s("abcd*f" * 9) == "abcdf" * 9
+
+
+def test_gradient_against_differences():
+    rng = np.random.default_rng(3)
+    s = moderation.Sentences(np.array([1, 2, 3, 2, 9]), np.array([3, 2]))
+    p = [np.array(0.3), rng.normal(0, 1, moderation.BUCKETS), rng.normal(0, 1, (moderation.BUCKETS, moderation.FACTORS))]
+    yes, no = np.array([2.0, 0.5]), np.array([1.0, 3.0])
+
+    def loss(q):
+        z = moderation._logistic(q, s)[0]
+        return -(yes * np.log(z) + no * np.log(1 - z)).sum()
+
+    g0, gw, gv = moderation.gradient(p, s, yes, no)
+    for i, place, want in ((0, (), g0), (1, (2,), gw[2]), (1, (9,), gw[9]), (2, (3, 1), gv[3, 1]), (2, (2, 5), gv[2, 5])):
+        q = [np.array(x, copy=True) for x in p]
+        q[i][place] += 1e-5
+        assert abs((loss(q) - loss(p)) / 1e-5 - want) < 1e-3
+    assert gw[5] == 0 and not gv[5].any()
+
+
+def test_rates_with_and_without_a_join(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "moderation_labels"))
+    plain = moderation.score_documents(docs, labels)
+    with_source = plain.join(docs.select("doc_id", "source"), "doc_id")
+    both = [sorted(map(str, moderation.rates(docs, x).drop("rate", "n_found").collect())) for x in (plain, with_source)]
+    assert both[0] == both[1]
 
 
 def test_moderation_edges(spark):
