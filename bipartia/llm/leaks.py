@@ -20,8 +20,8 @@ _built: dict = {}
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters and digits, lower case."""
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters and digits of the text as it is, each in lower case (which may add marks within a word, but no word)."""
+    return " ".join(_WORD.findall(text)).lower().split(" ") if text and _WORD.search(text) else []
 
 
 class LeakIndex:
@@ -83,10 +83,8 @@ class LeakIndex:
                 hits.append((k, "part", *span))
         if not hits:
             return []
-        # Lower case may change a text's length; offsets come from the text as it is.
+        # Lower case may change a text's length; offsets come from the words of the text as it is.
         spans = [m.span() for m in _WORD.finditer(text)]
-        if len(spans) != len(found):
-            spans = [(0, len(text))] * len(found)
         return sorted((self.items[k][0], kind, spans[a][0], spans[b][1]) for k, kind, a, b in hits)
 
     def _in_order(self, found: list[str], k: int) -> tuple[int, int] | None:
@@ -114,9 +112,10 @@ class LeakIndex:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 12, part: float = 0.75, spread: int = 2) -> DataFrame:
-    """Every document and item found in it: doc_id, item_id, kind (run or part), begin, end.
+    """Every document and item found in it: doc_id, item_id, kind (run or part), begin, end, passage.
 
-    One row for each pair; begin and end are character offsets of the first passage found in the document as it is.
+    One row for each pair; begin and end are character offsets of the first passage found in the document as it is,
+    and passage is the text between them.
     Items are the bounded side: they are read on the driver and go to all workers in blocks of BLOCK_CHARS characters,
     one scan of the documents for each block. Null, empty and wordless texts and items match nothing; equal items
     are all found; an empty table gives no rows. Texts are scanned whole.
@@ -129,7 +128,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             chars = 0
         blocks[-1].append((r[0], r[1]))
         chars += len(r[1])
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, item_id bigint, kind string, begin int, `end` int"
+    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, item_id bigint, kind string, begin int, `end` int, passage string"
     out = None
     for block in blocks:
         shared, key = sc.broadcast(block), uuid.uuid4().hex
@@ -142,10 +141,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             for b in batches:
                 ids, hits = b.column(0).to_pylist(), []
                 for i, text in enumerate(b.column(1).to_pylist()):
-                    hits += [(ids[i], *h) for h in index.find(text)]
+                    hits += [(ids[i], *h, text[h[2] : h[3]]) for h in index.find(text)]
                 if hits:
                     cols = list(zip(*hits))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32())], names=[id_col, "item_id", "kind", "begin", "end"])
+                    kinds = [b.column(0).type, pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[id_col, "item_id", "kind", "begin", "end", "passage"])
 
         part_ = docs.select(id_col, text_col).mapInArrow(scan, schema)
         out = part_ if out is None else out.unionByName(part_)

@@ -93,9 +93,9 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = tokens.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
-    both = ids.join(table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("chars")), "doc_id")
-    return both.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("ids")).alias("n_tokens"), F.sum("chars").alias("n_chars"))
+    docs = table(spark, sf_dir, "documents").withColumn("chars", F.length("text"))
+    ids = tokens.encode_texts(docs, "doc_id", "text", keep=("source", "chars"))
+    return ids.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("ids")).alias("n_tokens"), F.sum("chars").alias("n_chars"))
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +110,12 @@ def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
+def p7_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 12 words of an item in a row, with the first such passage in capitals and single spaces."""
+    words = F.array_join(F.filter(F.split(F.upper("passage"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ")
+    return _leaks(spark, sf_dir).filter("kind = 'run'").select("doc_id", "item_id", words.alias("passage"))
+
+
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leak_report(_leaks(spark, sf_dir))
 
@@ -129,7 +135,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_unmatched, p2_splits, p2_sizes, p2_totals, p4_found, p4_copies, p6_ids, p6_sizes, p7_found, p7_passages, p7_items, p8_found, p8_scores, p8_rates)
+    for f in (p1_found, p1_unmatched, p2_splits, p2_sizes, p2_totals, p4_found, p4_copies, p6_ids, p6_sizes, p7_found, p7_passages, p7_runs, p7_items, p8_found, p8_scores, p8_rates)
 }
 
 FOLD = "upper(regexp_replace(coalesce({0}, ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
@@ -201,7 +207,14 @@ g AS (SELECT tab, canon, min(id) AS keep_id, count(*) AS copies FROM r GROUP BY
 alls AS (SELECT 'rnadisease' AS tab, rec_id AS id FROM rnadisease UNION ALL SELECT 'website_alldata', row_id FROM website_alldata UNION ALL SELECT 'raw_submissions', sub_id FROM raw_submissions)
 """
 
+# Windows of 12 words of documents and items that are the same, the first one of each document and item.
+_WINDOWS = """SELECT {id}, i, array_to_string(w[i:i + 11], ' ') AS passage FROM (SELECT {id}, w, unnest(range(1, len(w) - 10)) AS i FROM (
+  SELECT {id}, list_filter(regexp_split_to_array(upper(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {tab}))"""
+_P7_RUNS = f"""WITH a AS ({_WINDOWS.format(id='doc_id', text='text', tab='documents')}), b AS (SELECT DISTINCT item_id, passage FROM ({_WINDOWS.format(id='item_id', text='item_text', tab='eval_items')}))
+SELECT doc_id, item_id, arg_min(passage, i) AS passage FROM a JOIN b USING (passage) GROUP BY 1, 2"""
+
 SQL = {
+    "p7_runs": _P7_RUNS,
     "p2_sizes": _P2 + "SELECT assignment, n_rows, n_components FROM sizes",
     "p2_totals": _P2 + _P2_TOTALS,
     "p4_found": _P4 + "SELECT r.tab, keep_id, id AS dup_id FROM r JOIN g ON g.tab = r.tab AND g.canon = r.canon WHERE id <> keep_id",

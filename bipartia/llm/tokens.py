@@ -32,10 +32,15 @@ class SpeculativeBpe:
 
     @classmethod
     def load(cls, path: str) -> SpeculativeBpe:
-        if path not in _loaded:
-            with open(path, "rb") as f:
-                _loaded[path] = cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
-        return _loaded[path]
+        with open(path, "rb") as f:
+            return cls.parse(path, f.read())
+
+    @classmethod
+    def parse(cls, name: str, ranks: bytes) -> SpeculativeBpe:
+        """From lines of a token in base 64 and its id; kept under ``name`` in this process."""
+        if name not in _loaded:
+            _loaded[name] = cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())})
+        return _loaded[name]
 
     def merged(self, word: bytes) -> list[int]:
         """Exact merging: of all adjacent parts the pair with the lowest rank is joined, the leftmost first."""
@@ -115,16 +120,20 @@ class SpeculativeBpe:
         return out
 
 
-def encode_texts(docs: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``id_col`` and ids (array of int), one row per row of ``docs``; null and empty texts get an empty array.
+def encode_texts(docs: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, the columns ``keep`` and ids (array of int), one row per row of ``docs``; null and empty texts get an
+    empty array.
 
     Whole texts are encoded, blank ones to the tokens of their spaces; no special token is added or recognised. The
     work is one pass over the documents, each row on its own, so that no repeated text or word needs a shuffle;
-    workers remember words. ``vocabulary`` is a path that all executors can read.
+    workers remember words. ``vocabulary`` is a path that the driver can read; the file, of some hundred kilobytes, is
+    broadcast.
     """
+    with open(vocabulary, "rb") as f:
+        raw = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        bpe = SpeculativeBpe.load(vocabulary)
+        bpe = SpeculativeBpe.parse(vocabulary, raw.value)
         for b in batches:
             # Some hundred texts at a time, so that one batch's words never fill the memory.
             for lo in range(0, b.num_rows, 512):
@@ -133,7 +142,7 @@ def encode_texts(docs: DataFrame, id_col: str, text_col: str, vocabulary: str =
                 lengths = [sum(map(len, d)) for d in docs_]
                 flat = np.fromiter(chain.from_iterable(chain.from_iterable(docs_)), np.int32, sum(lengths))
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[id_col, "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[id_col, *keep, "ids"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
+    return docs.select(id_col, text_col, *keep).mapInArrow(run, f"{kinds}, ids array<int>")

@@ -83,6 +83,37 @@ def test_canonical_edits_against_brute_force(spark):
             assert got[v][0] == (close[0] if len(close) == 1 else ""), v
 
 
+def test_no_candidate_is_pruned(spark):
+    """One common gram that three thousand names share is all that Q1 and A1 have in common."""
+    names = [f"N{chr(65 + i // 676)}{chr(65 + i // 26 % 26)}{chr(65 + i % 26)}Z1" for i in range(3000)] + ["A1"]
+    got = mapped(spark, ["Q1", "NAAAZ1"], [(f"H:{i}", n, None, None) for i, n in enumerate(names)])
+    assert got == {"Q1": ("A1", "edit"), "NAAAZ1": ("NAAAZ1", "exact")}
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_edits_in_a_list_of_many_names(spark, monkeypatch, limit):
+    """Against all single edits of each value; with the index broadcast and joined by shuffle with salted grams."""
+    if limit is not None:
+        monkeypatch.setattr(canonical, "BROADCAST_INDEX", limit)
+        monkeypatch.setattr(canonical, "SALT", 20)
+    rng, letters = random.Random(8), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    size = 100_000 if limit is None else 3000
+    names = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(4, 9))) + str(rng.randint(0, 99)) for _ in range(size)})
+    known, values = set(names), set()
+    for n in rng.sample(names, 800):
+        i = rng.randrange(len(n) - 2)
+        values.add(rng.choice([n[:i] + n[i + 1 :], n[:i] + rng.choice(letters) + n[i:], n[:i] + n[i + 1] + n[i] + n[i + 2 :], n[:i] + rng.choice(letters) + n[i + 1 :]]))
+    values = sorted(values - known)
+    got = mapped(spark, values, [(f"H:{i}", n, None, None) for i, n in enumerate(names)])
+    digits = lambda s: "".join(c for c in s if c.isdigit())
+    for v in values:
+        near = {v[:i] + v[i + 1 :] for i in range(len(v))} | {v[:i] + c + v[j:] for i in range(len(v) + 1) for j in (i, i + 1) for c in letters + "0123456789"}
+        near |= {v[:i] + v[i + 1] + v[i] + v[i + 2 :] for i in range(len(v) - 1)}
+        close = [n for n in near & known if digits(n) == digits(v)]
+        if got[v][1] in ("edit", "none"):
+            assert got[v][0] == (close[0] if len(close) == 1 else ""), v
+
+
 # --- splits ----------------------------------------------------------------------------------------------------------
 def test_components_against_union_find(spark):
     rng = random.Random(1)
@@ -318,6 +349,15 @@ def test_leak_offsets_and_edges(spark):
     assert leaks.find_leaks(docs, items.limit(0)).count() == leaks.find_leaks(docs.limit(0), items).count() == 0
 
 
+def test_leak_offsets_where_lower_case_is_longer(spark):
+    item = " ".join(f"Wort{i}" for i in range(14))
+    text = "\u0130stanbul, \u0130zmir: " + item + " \u0130"
+    ((_, kind, begin, end),) = leaks.LeakIndex([(1, item)]).find(text)
+    assert kind == "run" and text[begin:end] == " ".join(item.split()[:12])
+    ((_, kind, begin, end),) = leaks.LeakIndex([(1, "\u0130stanbul Ankara Bursa")]).find(text.lower() + " and \u0130STANBUL ankara BURSA.")
+    assert kind == "part" and (end - begin) == len("\u0130STANBUL ankara BURSA")
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(leaks, "BLOCK_CHARS", 60)
     items = spark.createDataFrame([(i, f"one{i} two three{i} four five{i} six") for i in range(6)], "item_id bigint, item_text string")
