@@ -6,6 +6,7 @@ import re
 import unicodedata
 import uuid
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -115,21 +116,45 @@ class Speller:
         return w
 
 
-def _hash(term: str) -> int:
-    return xxhash.xxh64_intdigest(term.encode("utf-8", "replace"))
+class Reader:
+    """The number that stands for a word as it is written: a hash of its known spelling, odd if that is all letters."""
 
+    def __init__(self, speller: Speller):
+        self.speller, self.cache = speller, {}
 
-def _bucket(term: str) -> int:
-    return _hash(term) & (BUCKETS - 1)
+    def __call__(self, word: str) -> int:
+        if (got := self.cache.get(word)) is None:
+            if len(self.cache) > 500_000:
+                self.cache.clear()
+            known = self.speller(word)
+            got = self.cache[word] = xxhash.xxh64_intdigest(known.encode("utf-8", "replace")) & ~1 | known.isalpha()
+        return got
+
+
+def terms(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words and of the pairs of neighbours of many sentences, sentence by sentence: the words of all
+    sentences and the number of words of each, to hashes, terms of each sentence, and which hashes are words."""
+    first = np.cumsum(sizes) - sizes
+    inner = np.ones(len(words), bool)
+    inner[first] = False
+    right = np.flatnonzero(inner)
+    pair = words[right - 1] * np.uint64(0x9E3779B97F4A7C15) + (words[right] << np.uint64(23) | words[right] >> np.uint64(41))
+    pair = (pair ^ pair >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) & ~np.uint64(1)
+    owner, many = np.repeat(np.arange(len(sizes)), sizes), 2 * sizes - 1
+    begin = np.cumsum(many) - many
+    place = np.arange(len(words)) - first[owner] + begin[owner]
+    out, single = np.empty(int(many.sum()), np.uint64), np.zeros(int(many.sum()), bool)
+    out[place], single[place] = words, True
+    out[place[right] + sizes[owner[right]] - 1] = pair
+    return out, many, single
 
 
-def terms(words: list[str]) -> list[str]:
-    """Words and pairs of neighbours, each once."""
-    return list(dict.fromkeys(words + [f"{a} {b}" for a, b in zip(words, words[1:])]))
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(8) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def pieces(text: str | None, speller) -> list[tuple[str, ...]]:
-    """The sentences of a text in plain words, long ones in windows."""
+def pieces(text: str | None, speller) -> list[tuple]:
+    """The sentences of a text, each word as ``speller`` has it, long ones in windows."""
     out = []
     for s in sentences(text):
         if ws := [speller(w) for w in _TOKEN.findall(s)]:
@@ -138,56 +163,92 @@ def pieces(text: str | None, speller) -> list[tuple[str, ...]]:
     return out
 
 
+# Rows of a model that are no term's: an empty place in a sentence, and w0.
+_NO_TERM, _W0 = BUCKETS, BUCKETS + 1
+
+
 class Sentences:
-    """Hashed terms of many sentences, one after another: ``flat``, with the number of terms of each in ``sizes``."""
+    """Buckets of the terms of many sentences, one after another: ``flat``, with the number of terms of each in ``sizes``;
+    in blocks of bounded size, as matrices with a row for each sentence."""
 
-    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
-        self.flat, self.sizes, self.starts = flat, sizes, np.cumsum(sizes) - sizes
-        self.x = np.repeat(1 / np.sqrt(sizes), sizes)
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, block: int = 20_000):
+        self.flat, self.sizes, self.block = flat, sizes, block
 
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(values, self.starts, axis=0)
+    def blocks(self):
+        """Places of a block's sentences, their terms, and x = 1 / sqrt(terms of the sentence)."""
+        ends = np.cumsum(self.sizes)
+        for lo in range(0, len(self.sizes), self.block):
+            n = self.sizes[lo : lo + self.block]
+            begin = ends[lo : lo + self.block] - n
+            rows = np.full((len(n), int(n.max())), _NO_TERM)
+            rows[np.arange(rows.shape[1]) < n[:, None]] = self.flat[begin[0] : begin[0] + int(n.sum())]
+            yield slice(lo, lo + len(n)), rows, 1 / np.sqrt(n)
 
 
 class Machine:
     """score = sigmoid(w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j), x = 1 / sqrt(terms of the sentence).
 
-    Fitted by Adam on the logistic loss; ``step`` takes sums of gradients, wherever they were summed."""
-
-    def __init__(self, seed: int = 7):
-        self.p = [np.array(-2.0), np.zeros(BUCKETS), np.random.default_rng(seed).normal(0, 0.05, (BUCKETS, FACTORS))]
-        self.m, self.q, self.t = [0.0] * 3, [0.0] * 3, 0
+    ``p`` holds w and v of ``n`` machines side by side, a row for each bucket, and w0 in a row of its own. Fitted by Adam on
+    the logistic loss; ``step`` takes sums of gradients, wherever they were summed."""
 
-    def weights(self) -> list[np.ndarray]:
-        return [p.astype(np.float32) for p in self.p]
+    def __init__(self, n: int = 1, seed: int = 7):
+        self.p = np.zeros((BUCKETS + 2, n, 1 + FACTORS))
+        self.p[:BUCKETS, :, 1:] = np.random.default_rng(seed).normal(0, 0.05, (BUCKETS, 1, FACTORS))
+        self.p[_W0, :, 0] = -2.0
+        self.m, self.q, self.t = 0.0, 0.0, 0
 
     def score(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return _logistic(self.p, Sentences(flat, sizes))[0]
+        return probabilities(self.p, Sentences(flat, sizes))[:, 0]
 
-    def step(self, g0: float, gw: np.ndarray, gv: np.ndarray, n: int, rate: float = 0.2, decay: float = 2e-5) -> None:
+    def step(self, g: np.ndarray, n: int, rate: float = 0.2, decay: float = 2e-5) -> None:
         self.t += 1
-        for i, g in enumerate((np.array(g0), gw, gv)):
-            g = g + (decay * n * self.p[i] if i else 0)
-            self.m[i], self.q[i] = 0.9 * self.m[i] + 0.1 * g, 0.99 * self.q[i] + 0.01 * g * g
-            self.p[i] = self.p[i] - rate * (self.m[i] / (1 - 0.9**self.t)) / (np.sqrt(self.q[i] / (1 - 0.99**self.t)) + 1e-8)
+        g = g + decay * n * self.p
+        g[_W0] -= decay * n * self.p[_W0]
+        self.m, self.q = 0.9 * self.m + 0.1 * g, 0.99 * self.q + 0.01 * g * g
+        self.p = self.p - rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.q / (1 - 0.99**self.t)) + 1e-8)
 
 
-def _logistic(p: list[np.ndarray], s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Probabilities, and the factors of each term and their sum in its sentence."""
-    w0, w, v = p
-    vx = v[s.flat] * s.x[:, None]
-    total = s.sums(vx)
-    z = w0 + s.sums(w[s.flat] * s.x) + 0.5 * (total * total - s.sums(vx * vx)).sum(axis=1)
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30))), vx, total
+def _squares(p: np.ndarray) -> np.ndarray:
+    return (p[:, :, 1:] ** 2).sum(axis=2)
 
 
-def gradient(p: list[np.ndarray], s: Sentences, yes: np.ndarray, no: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Sums over the sentences of the gradient of the logistic loss by w0, w and v; yes and no are weights of the votes."""
-    prob, vx, total = _logistic(p, s)
-    err = (yes + no) * prob - yes
-    e = np.repeat(err, s.sizes) * s.x
-    by_factor = [np.bincount(s.flat, e * (np.repeat(total[:, f], s.sizes) - vx[:, f]), BUCKETS) for f in range(FACTORS)]
-    return float(err.sum()), np.bincount(s.flat, e, BUCKETS), np.stack(by_factor, axis=1)
+def _block(p: np.ndarray, squares: np.ndarray, rows: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities (a column for each machine), and the sums of the terms' weights and factors times x."""
+    total = np.einsum("stcf->scf", p[rows]) * x[:, None, None]
+    own = squares[rows].sum(axis=1) * (x * x)[:, None]
+    z = p[_W0, :, 0] + total[:, :, 0] + 0.5 * ((total[:, :, 1:] ** 2).sum(axis=2) - own)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30))), total
+
+
+def probabilities(p: np.ndarray, s: Sentences) -> np.ndarray:
+    """A row for each sentence, a column for each machine."""
+    squares, out = _squares(p), np.empty((len(s.sizes), p.shape[1]))
+    for at, rows, x in s.blocks():
+        out[at] = _block(p, squares, rows, x)[0]
+    return out
+
+
+def gradient(p: np.ndarray, s: Sentences, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
+    """Sums over the sentences of the gradient of the logistic loss, shaped like ``p``; yes and no are weights of the votes,
+    a column for each machine.
+
+    A term's factors get error times x times (sum of the sentence's factors times x, less its own): the first part is summed
+    over the term's sentences, the second is its factors times the sum of error times x squared.
+    """
+    squares, g = _squares(p), np.zeros(p.shape)
+    for at, rows, x in s.blocks():
+        prob, total = _block(p, squares, rows, x)
+        err = (yes[at] + no[at]) * prob - yes[at]
+        each = total * (err * x[:, None])[:, :, None]
+        each[:, :, 0] = err * x[:, None]
+        flat, owner = rows[rows != _NO_TERM], np.repeat(np.arange(len(rows)), (rows != _NO_TERM).sum(axis=1))
+        add = lambda values: np.bincount(flat, values[owner], len(p))
+        for c in range(p.shape[1]):
+            for f in range(1 + FACTORS):
+                g[:, c, f] += add(each[:, c, f])
+            g[:, c, 1:] -= p[:, c, 1:] * add(err[:, c] * x * x)[:, None]
+        g[_W0, :, 0] += err.sum(axis=0)
+    return g
 
 
 def _more(yes_total: float, no_total: float) -> float:
@@ -200,7 +261,7 @@ def fit(rows: list[list[int]], yes: np.ndarray, no: np.ndarray, epochs: int = ST
     s = Sentences(np.concatenate([np.array(r, np.int64) for r in rows]), np.array([len(r) for r in rows]))
     machine, more, votes = Machine(), _more(yes.sum(), no.sum()), np.sqrt(np.maximum(1, yes + no))
     for _ in range(epochs):
-        machine.step(*gradient(machine.p, s, yes * more / votes, no / votes), len(rows))
+        machine.step(gradient(machine.p, s, (yes * more / votes)[:, None], (no / votes)[:, None]), len(rows))
     return machine
 
 
@@ -230,7 +291,9 @@ def _vocabulary(read: DataFrame, rare: int = 2) -> Speller:
 
     def count(batches):
         for b in batches:
-            n = Counter(plain_word(w) for t in b.column(0).to_pylist() for x in sentences(t) for w in _TOKEN.findall(x))
+            n: Counter[str] = Counter()
+            for w, k in Counter(w for t in b.column(0).to_pylist() for x in sentences(t) for w in _TOKEN.findall(x)).items():
+                n[plain_word(w)] += k
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
     words = read.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -238,14 +301,24 @@ def _vocabulary(read: DataFrame, rare: int = 2) -> Speller:
 
 
 def _pieces(read: DataFrame, speller) -> DataFrame:
-    """The distinct sentences of each labelled text in known spelling, words joined by a space: said, pieces."""
+    """The distinct sentences of each labelled text: said, sizes (words of each sentence), words (their numbers)."""
 
     def run(batches):
+        reader = Reader(speller.value)
         for b in batches:
-            out = [[" ".join(p) for p in dict.fromkeys(pieces(t, speller.value))] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["said", "pieces"])
+            own = [list(dict.fromkeys(pieces(t, reader))) for t in b.column(1).to_pylist()]
+            sizes = pa.array([[len(p) for p in ps] for ps in own], pa.list_(pa.int64()))
+            words = [np.fromiter(chain.from_iterable(ps), np.uint64).astype(np.int64) for ps in own]
+            yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array(words, pa.list_(pa.int64()))], names=["said", "sizes", "words"])
 
-    return read.select("said", "text").mapInArrow(run, "said string, pieces array<string>")
+    return read.select("said", "text").mapInArrow(run, "said string, sizes array<bigint>, words array<bigint>")
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of texts: category (-1 for none) and sentences of each, and words of each sentence, one after another."""
+    said = np.array([CATEGORIES.index(c) if c in CATEGORIES else -1 for c in batch.column(0).to_pylist()], np.int64)
+    sizes, words = batch.column(1), batch.column(2)
+    return said, np.diff(sizes.offsets.to_numpy()), sizes.flatten().to_numpy(), words.flatten().to_numpy().astype(np.uint64)
 
 
 def _term_rates(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -258,25 +331,27 @@ def _term_rates(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def count(batches):
         for b in batches:
-            n: dict[str, list[int]] = {}
-            for said, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for t in {t for p in own for t in terms(p.split(" "))}:
-                    row = n.setdefault(t, [0, 0, 0, 0])
-                    row[0] += 1
-                    if said != "none":
-                        row[1 + CATEGORIES.index(said)] += 1
-            h = np.array([_hash(t) for t in n], np.uint64).astype(np.int64)
-            cols = np.array(list(n.values()), np.int64).reshape(-1, 4)
-            plain = pa.array([" " not in t and t.isalpha() for t in n], pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(h), plain, *[pa.array(cols[:, i]) for i in range(4)]], names=["h", "plain", "n", *CATEGORIES])
-
-    kinds = "h bigint, plain boolean, n bigint, " + ", ".join(f"{c} bigint" for c in CATEGORIES)
-    rates = texts.mapInArrow(count, kinds).groupBy("h").agg(F.max("plain").alias("plain"), *[F.sum(c).alias(c) for c in ("n", *CATEGORIES)])
-    once = (F.col("n") == 1) & F.col("plain") & (F.greatest(*CATEGORIES) == 1)
-    got = rates.filter((F.col("n") > 1) | once).orderBy(F.desc("n"), "h").limit(MAX_TERMS).toPandas().sort_values("h")
-    n, yes = got["n"].to_numpy(float), got[list(CATEGORIES)].to_numpy(float)
-    low = np.where((n == 1)[:, None], 0.36 * yes, _lower(yes, np.maximum(n, 1)[:, None])) if len(got) else np.zeros((0, len(CATEGORIES)))
-    return got["h"].to_numpy(np.int64), low.astype(np.float32)
+            said, many, sizes, words = _flat(b)
+            if not len(words):
+                continue
+            h, n_terms, _ = terms(words, sizes)
+            text = np.repeat(np.repeat(np.arange(len(said)), many), n_terms)
+            order = np.lexsort((text, h))
+            h, text = h[order], text[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])]
+            h, label = h[new], said[text[new]]
+            at, begin = np.unique(h, return_index=True)
+            sums = [np.add.reduceat(x, begin) for x in (np.ones(len(h), np.int64), *[(label == c).astype(np.int64) for c in range(len(CATEGORIES))])]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), *map(pa.array, sums)], names=["h", "n", *CATEGORIES])
+
+    kinds = "h bigint, n bigint, " + ", ".join(f"{c} bigint" for c in CATEGORIES)
+    rates = texts.mapInArrow(count, kinds).groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n", *CATEGORIES)])
+    once = (F.col("n") == 1) & (F.col("h") % 2 != 0) & (F.greatest(*CATEGORIES) == 1)
+    got = rates.filter((F.col("n") > 1) | once).orderBy(F.desc("n"), "h").limit(MAX_TERMS).toPandas()
+    h, n, yes = got["h"].to_numpy(np.int64).astype(np.uint64), got["n"].to_numpy(float), got[list(CATEGORIES)].to_numpy(float)
+    low = np.where((n == 1)[:, None], 0.36 * yes, _lower(yes, np.maximum(n, 1)[:, None]))
+    order = np.argsort(h)
+    return h[order], low[order]
 
 
 def _votes(texts: DataFrame, rates, least: float = 0.35) -> DataFrame:
@@ -290,72 +365,63 @@ def _votes(texts: DataFrame, rates, least: float = 0.35) -> DataFrame:
 
     def run(batches):
         known, low = rates.value
+        known, low = np.r_[known, np.uint64(2**64 - 1)], np.vstack([low, np.zeros(len(CATEGORIES))])
         for b in batches:
-            votes: dict[str, np.ndarray] = {}
-            keys: dict[str, list[int]] = {}
-            telling: dict[str, np.ndarray] = {}
-            for said, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for p in own:
-                    if p not in keys:
-                        names_ = terms(p.split(" "))
-                        h = np.array([_hash(t) for t in names_], np.uint64)
-                        at = np.searchsorted(known, h.astype(np.int64))
-                        hit = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == h.astype(np.int64)) if len(known) else np.zeros(len(h), bool)
-                        sure = np.where(hit[:, None], low[np.minimum(at, len(known) - 1)], 0) if len(known) else np.zeros((len(h), len(CATEGORIES)))
-                        telling[p] = np.sort(sure, axis=0)[-3:].mean(axis=0)
-                        solo = np.array([" " not in t for t in names_])
-                        keys[p] = (h[hit | solo] & np.uint64(BUCKETS - 1)).astype(np.int64).tolist()
-                        votes[p] = np.zeros(len(names))
-                if not own:
-                    continue
-                t = np.stack([telling[p] for p in own])
-                for c, category in enumerate(CATEGORIES):
-                    if said != category:
-                        yes, no = np.zeros(len(own), bool), t[:, c] < 0.6
-                    elif t[:, c].max() >= least:
-                        yes = t[:, c] >= max(least, 0.7 * t[:, c].max())
-                        no = ~yes
-                    else:
-                        continue
-                    for p, y, n in zip(own, yes, no):
-                        votes[p][2 * c] += y
-                        votes[p][2 * c + 1] += n
-            all_ = np.array(list(votes.values())).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.string()), pa.array(list(keys.values()), pa.list_(pa.int64())), *[pa.array(all_[:, i]) for i in range(len(names))]], names=["piece", "keys", *names])
-
-    kinds = "piece string, keys array<bigint>, " + ", ".join(f"{n} double" for n in names)
+            said, many, sizes, words = _flat(b)
+            if not len(words):
+                continue
+            h, n_terms, single = terms(words, sizes)
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[at] == h
+            owner, begin = np.repeat(np.arange(len(sizes)), n_terms), np.cumsum(n_terms) - n_terms
+            best = np.zeros((len(sizes), 2 * WINDOW, len(CATEGORIES)))
+            best[owner, np.arange(len(h)) - begin[owner]] = np.where(hit[:, None], low[at], 0)
+            telling = np.partition(best, -3, axis=1)[:, -3:].sum(axis=1) / np.minimum(3, n_terms)[:, None]
+            # Texts without a sentence have no place among the sentences.
+            has = np.flatnonzero(many)
+            top = np.zeros((len(said), len(CATEGORIES)))
+            top[has] = np.maximum.reduceat(telling, (np.cumsum(many) - many)[has], axis=0)
+            text = np.repeat(np.arange(len(said)), many)
+            votes = np.zeros((len(sizes), len(names)))
+            for c in range(len(CATEGORIES)):
+                mine, t, most = said[text] == c, telling[:, c], top[text, c]
+                yes = mine & (most >= least) & (t >= np.maximum(least, 0.7 * most))
+                votes[:, 2 * c], votes[:, 2 * c + 1] = yes, np.where(mine, (most >= least) & ~yes, t < 0.6)
+            first = np.cumsum(sizes) - sizes
+            place = np.arange(len(words)) - np.repeat(first, sizes)
+            piece = np.add.reduceat((words ^ words >> np.uint64(29)) * (np.uint64(0x94D049BB133111EB) * (2 * place.astype(np.uint64) + 1)), first)
+            used = hit | single
+            offsets = np.r_[0, np.cumsum(np.add.reduceat(used.astype(np.int64), begin))].astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(buckets(h[used])))
+            yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int64)), keys, *[pa.array(votes[:, i].copy()) for i in range(len(names))]], names=["piece", "keys", *names])
+
+    kinds = "piece bigint, keys array<bigint>, " + ", ".join(f"{n} double" for n in names)
     return texts.mapInArrow(run, kinds).groupBy("piece").agg(F.first("keys").alias("keys"), *[F.sum(n).alias(n) for n in names])
 
 
-def _gradients(weights, more: list[float]):
-    """Sums of a partition's gradients, one row for each category that has votes; only buckets that occur are sent."""
+def _gradients(weights, more: np.ndarray):
+    """The sum of a partition's gradients; only buckets that occur are sent."""
 
     def run(batches):
-        sums: dict[int, list] = {}
+        total = 0
         for b in batches:
             if not b.num_rows:
                 continue
             keys = b.column(0)
-            s = Sentences(keys.flatten().to_numpy(zero_copy_only=False), np.diff(keys.offsets.to_numpy()))
-            for c, p in enumerate(weights.value):
-                if p is None:
-                    continue
-                yes, no = (b.column(1 + 2 * c + i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                votes = np.sqrt(np.maximum(1, yes + no))
-                g = gradient(p, s, yes * more[c] / votes, no / votes)
-                sums[c] = [a + x for a, x in zip(sums[c], g)] if c in sums else list(g)
-        rows = []
-        for c, (g0, gw, gv) in sums.items():
-            at = np.flatnonzero(gw)
-            rows.append((c, g0, at.astype(np.int32).tobytes(), np.column_stack([gw[at], gv[at]]).tobytes()))
-        cols = list(zip(*rows)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["c", "g0", "at", "g"])
+            s = Sentences(keys.flatten().to_numpy(), np.diff(keys.offsets.to_numpy()))
+            both = np.stack([b.column(1 + i).to_numpy() for i in range(2 * len(more))], axis=1)
+            yes, no = both[:, ::2], both[:, 1::2]
+            votes = np.sqrt(np.maximum(1, yes + no))
+            total = total + gradient(weights.value, s, yes * more / votes, no / votes)
+        if not np.isscalar(total):
+            at = np.flatnonzero(np.abs(total).sum(axis=(1, 2)))
+            yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([total[at].astype(np.float32).tobytes()], pa.binary())], names=["at", "g"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[Speller, list[list[np.ndarray] | None]]:
-    """The spellings and, for each category, the weights of its machine (None without a telling label).
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[Speller, np.ndarray, list[bool]]:
+    """The spellings, the weights of the machines, and which categories have a machine (those with a telling label).
 
     Every step sums the gradients of all categories over the partitions of the labelled sentences; what reaches the driver
     is as large as the model, at most SHARDS times. No text or list of sentences does.
@@ -363,34 +429,27 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     sc = docs.sparkSession.sparkContext
     read = cut(labelled(docs, labels, max_labelled))
     speller = _vocabulary(read)
-    spelt = sc.broadcast(speller)
-    texts = cut(_pieces(read, spelt))
-    rates = sc.broadcast(_term_rates(texts))
-    votes = cut(_votes(texts, rates).drop("piece"))
+    texts = cut(_pieces(read, sc.broadcast(speller)))
+    votes = cut(_votes(texts, sc.broadcast(_term_rates(texts))).drop("piece"))
     names = votes.columns[1:]
     n, *totals = votes.agg(F.count(F.lit(1)), *[F.sum(c) for c in names]).first()
     sets = cut(votes.repartition(max(1, min(SHARDS, n // SHARD)), F.xxhash64("keys")))
     release(read, texts, votes)
-    machines = [Machine() if n and totals[2 * c] > 0 and totals[2 * c + 1] > 0 else None for c in range(len(CATEGORIES))]
-    more = [_more(totals[2 * c] or 0, totals[2 * c + 1] or 0) for c in range(len(CATEGORIES))]
-    for _ in range(STEPS if any(machines) else 0):
-        weights = sc.broadcast([m and m.weights() for m in machines])
-        parts = sets.mapInArrow(_gradients(weights, more), "c int, g0 double, at binary, g binary").collect()
-        sums = {c: [0.0, np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS))] for c, m in enumerate(machines) if m}
-        for r in sorted(parts, key=lambda r: (r["c"], r["g0"])):
-            g = np.frombuffer(r["g"]).reshape(-1, 1 + FACTORS)
-            at, total = np.frombuffer(r["at"], np.int32), sums[r["c"]]
-            total[0] += r["g0"]
-            total[1][at] += g[:, 0]
-            total[2][at] += g[:, 1:]
-        for c, total in sums.items():
-            machines[c].step(*total, n)
+    taught = [bool(n and totals[2 * c] > 0 and totals[2 * c + 1] > 0) for c in range(len(CATEGORIES))]
+    more = np.array([_more(totals[2 * c] or 0, totals[2 * c + 1] or 0) for c in range(len(CATEGORIES))])
+    machine = Machine(len(CATEGORIES))
+    for _ in range(STEPS if any(taught) else 0):
+        weights = sc.broadcast(machine.p.astype(np.float32))
+        g = np.zeros(machine.p.shape)
+        for r in sorted(sets.mapInArrow(_gradients(weights, more), "at binary, g binary").collect()):
+            g[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["g"], np.float32).reshape(-1, *g.shape[1:])
+        machine.step(g, n)
         weights.destroy()
     release(sets)
-    return speller, [m and m.weights() for m in machines]
+    return speller, machine.p.astype(np.float32), taught
 
 
-_caches: dict = {}
+_readers: dict = {}
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -402,31 +461,24 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     shared, key = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_labelled)), uuid.uuid4().hex
 
     def run(batches):
-        speller, machines = shared.value
-        if key not in _caches:
-            _caches.clear()
-            _caches[key] = {}
-        cache = _caches[key]
+        speller, p, taught = shared.value
+        if key not in _readers:
+            _readers.clear()
+            _readers[key] = Reader(speller)
+        reader = _readers[key]
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
-                rows, owner = [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    for ws in pieces(text, speller) if any(machines) else ():
-                        if (k := cache.get(ws)) is None:
-                            if len(cache) > 100_000:
-                                cache.clear()
-                            k = cache[ws] = np.array([_bucket(t) for t in terms(list(ws))], np.int64)
-                        rows.append(k)
-                        owner.append(i)
-                scores = np.zeros((len(CATEGORIES), part.num_rows))
-                if rows:
-                    s, own = Sentences(np.concatenate(rows), np.array([len(r) for r in rows])), np.array(owner)
-                    for c, p in enumerate(machines):
-                        if p is not None:
-                            np.maximum.at(scores[c], own, _logistic(p, s)[0])
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                own = [pieces(t, reader) if any(taught) else [] for t in part.column(1).to_pylist()]
+                scores = np.zeros((part.num_rows, len(CATEGORIES)))
+                many = np.array([len(ps) for ps in own])
+                if many.any():
+                    sizes = np.array([len(p) for ps in own for p in ps])
+                    h, n_terms, _ = terms(np.fromiter(chain.from_iterable(chain.from_iterable(own)), np.uint64, int(sizes.sum())), sizes)
+                    has = np.flatnonzero(many)
+                    scores[has] = np.maximum.reduceat(probabilities(p, Sentences(buckets(h), n_terms)), (np.cumsum(many) - many)[has], axis=0)
                 for c, category in enumerate(CATEGORIES):
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([category] * part.num_rows), pa.array(scores[c]), *part.columns[2:]], names=["doc_id", "category", "score", *keep])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([category] * part.num_rows), pa.array(scores[:, c] * taught[c]), *part.columns[2:]], names=["doc_id", "category", "score", *keep])
 
     kinds = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     return docs.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id bigint, category string, score double{kinds}")

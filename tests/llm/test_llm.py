@@ -422,20 +422,33 @@ def test_long_words_are_led_back():
 
 def test_gradient_against_differences():
     rng = np.random.default_rng(3)
-    s = moderation.Sentences(np.array([1, 2, 3, 2, 9]), np.array([3, 2]))
-    p = [np.array(0.3), rng.normal(0, 1, moderation.BUCKETS), rng.normal(0, 1, (moderation.BUCKETS, moderation.FACTORS))]
-    yes, no = np.array([2.0, 0.5]), np.array([1.0, 3.0])
-
-    def loss(q):
-        z = moderation._logistic(q, s)[0]
-        return -(yes * np.log(z) + no * np.log(1 - z)).sum()
-
-    g0, gw, gv = moderation.gradient(p, s, yes, no)
-    for i, place, want in ((0, (), g0), (1, (2,), gw[2]), (1, (9,), gw[9]), (2, (3, 1), gv[3, 1]), (2, (2, 5), gv[2, 5])):
-        q = [np.array(x, copy=True) for x in p]
-        q[i][place] += 1e-5
-        assert abs((loss(q) - loss(p)) / 1e-5 - want) < 1e-3
-    assert gw[5] == 0 and not gv[5].any()
+    m = moderation.Machine(2)
+    p = m.p
+    p[: moderation.BUCKETS] = rng.normal(0, 1, p[: moderation.BUCKETS].shape)
+    yes, no = np.array([[2.0, 0.5], [1.0, 0.0], [0.0, 1.0]]), np.array([[1.0, 3.0], [0.5, 2.0], [1.0, 1.0]])
+    want = None
+    for block in (1, 2, 10):
+        s = moderation.Sentences(np.array([1, 2, 3, 2, 9, 4]), np.array([3, 2, 1]), block)
+
+        def loss(q):
+            z = moderation.probabilities(q, s)
+            return -(yes * np.log(z) + no * np.log(1 - z)).sum()
+
+        g = moderation.gradient(p, s, yes, no)
+        assert want is None or np.allclose(g, want)
+        want = g
+        for place in ((moderation._W0, 0, 0), (2, 0, 0), (9, 1, 0), (3, 0, 2), (2, 1, 6), (4, 1, 3)):
+            q = p.copy()
+            q[place] += 1e-5
+            assert abs((loss(q) - loss(p)) / 1e-5 - g[place]) < 1e-3
+        assert not g[5].any() and not g[moderation._NO_TERM].any()
+
+
+def test_terms_of_sentences():
+    words = np.array([3, 5, 7, 5, 3, 5], np.uint64)
+    h, many, single = moderation.terms(words, np.array([3, 1, 2]))
+    assert many.tolist() == [5, 1, 3] and single.tolist() == [True, True, True, False, False, True, True, True, False]
+    assert h[single].tolist() == words.tolist() and h[3] == h[8] != h[4] and not (h[~single] & np.uint64(1)).any()
 
 
 def test_rates_with_and_without_a_join(spark, sf):
