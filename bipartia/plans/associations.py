@@ -292,8 +292,12 @@ def cosine_topk(spark, sf_dir):
 
 
 _COOC_SQL = f"cooc AS MATERIALIZED (SELECT a.l AS a, b.l AS b, count(*) AS n FROM core AS a JOIN core AS b ON a.d = b.d WHERE {bucket_sql('a.l', 50)} = 0 GROUP BY 1, 2)"
-_GIP_SQL = f"""{_COOC_SQL}, deg AS (SELECT l, count(*) AS deg FROM core GROUP BY l), gamma AS (SELECT count(*) / (sum(deg) + 1e-8) AS g FROM deg),
-gip AS MATERIALIZED (SELECT a, b, exp(-(SELECT g FROM gamma) * greatest(x.deg + y.deg - 2 * n, 0)) AS w FROM cooc JOIN deg AS x ON x.l = a JOIN deg AS y ON y.l = b)"""
+# Every query l with every l; n is 0 where they share no d.
+_PROFILE_SQL = f"""{_COOC_SQL}, deg AS (SELECT l, count(*) AS deg FROM core GROUP BY l),
+met AS MATERIALIZED (SELECT x.l AS a, y.l AS b, greatest(x.deg + y.deg - 2 * coalesce(n, 0), 0) AS far, coalesce(n, 0) AS n
+  FROM deg AS x CROSS JOIN deg AS y LEFT JOIN cooc AS c ON c.a = x.l AND c.b = y.l WHERE {bucket_sql('x.l', 50)} = 0)"""
+_GIP_SQL = f"""{_PROFILE_SQL}, gamma AS (SELECT count(*) / (sum(deg) + 1e-8) AS g FROM deg),
+gip AS MATERIALIZED (SELECT a, b, n, exp(-(SELECT g FROM gamma) * far) AS w FROM met)"""
 
 
 @query(f"WITH {CORE_SQL}, {_COOC_SQL} SELECT a, b, n FROM cooc")
@@ -316,10 +320,21 @@ def integrated_sim(spark, sf_dir):
     return both.select("a", "b", r(0.5 * F.col("cos") + 0.5 * F.col("w")).alias("sim"))
 
 
-@query(f"WITH {CORE_SQL}, {CONTENT_SQL}, {_GIP_SQL}, {_BLEND_SQL} SELECT a, b, round(0.3 * greatest(cos, 0) + CASE WHEN {bucket_sql('b', 5)} <> 0 AND {bucket_sql('a', 5)} <> 0 THEN 0.7 * w ELSE 0 END, 6) AS sim FROM both_sims")
+def in_training(name: str):
+    """Four fifths of the nodes, by another hash than that of the query set."""
+    return V.bucket(F.concat(F.lit("blend/"), name), 5) != 0
+
+
+def _in_training_sql(x: str) -> str:
+    return f"{bucket_sql(f"'blend/' || {x}", 5)} <> 0"
+
+
+@query(f"""WITH {CORE_SQL}, {CONTENT_SQL}, {_PROFILE_SQL}, gamma AS (SELECT count(*) / (sum(deg) + 1e-8) AS g FROM deg WHERE {_in_training_sql('l')})
+SELECT met.a, met.b, round(0.3 * greatest({COS_SQL}, 0) + CASE WHEN {_in_training_sql('met.a')} AND {_in_training_sql('met.b')} THEN 0.7 * exp(-(SELECT g FROM gamma) * far) ELSE 0 END, 6) AS sim
+FROM met JOIN content AS a ON a.axis = 'l' AND a.node = met.a JOIN content AS b ON b.axis = 'l' AND b.node = met.b""")
 def blend_sim_full(spark, sf_dir):
     """Content everywhere, the profile kernel on the training block only; a fifth of the nodes, by hash, is not in it."""
-    both = similarity.gip(core_of(spark, sf_dir), is_query("l"), contents(spark, sf_dir, "l"), V.bucket("l", 5) != 0)
+    both = similarity.gip(core_of(spark, sf_dir), is_query("l"), contents(spark, sf_dir, "l"), in_training("l"))
     return both.select("a", "b", r(0.3 * F.greatest("cos", F.lit(0.0)) + F.coalesce(0.7 * F.col("w"), F.lit(0.0))).alias("sim"))
 
 
@@ -370,7 +385,7 @@ def spectral_radius(spark, sf_dir):
 
 
 @query(f"""WITH {CORE_SQL}, {CONTENT_SQL}, {_KNN_SQL}, {_GIP_SQL},
-e AS (SELECT 'l-d' AS kind, 1.0::DOUBLE AS w FROM core UNION ALL SELECT 'd-l', 1.0 FROM core UNION ALL SELECT 'd-d', w FROM graph UNION ALL SELECT 'l-l', w FROM gip)
+e AS (SELECT 'l-d' AS kind, 1.0::DOUBLE AS w FROM core UNION ALL SELECT 'd-l', 1.0 FROM core UNION ALL SELECT 'd-d', w FROM graph UNION ALL SELECT 'l-l', w FROM gip WHERE n > 0)
 SELECT kind, count(*) AS n_edges, round(sum(w), 4) AS weight FROM e GROUP BY kind""")
 def hetero_adjacency(spark, sf_dir):
     core = core_of(spark, sf_dir)
@@ -502,20 +517,35 @@ def uniform_negatives(spark, sf_dir):
     return split.negatives(blocks(spark, sf_dir, "both")[1], core_of(spark, sf_dir))
 
 
+def _draw_sql(tag: str) -> str:
+    """Draws from ``places`` (bin, at, neg_d) for ``want`` (l, d, bin): three by hash, then one among the unknown of the bin,
+    then one among all unknown."""
+    out = ["w0 AS (SELECT l, d, bin FROM want)", "sizes AS (SELECT bin, count(*) AS nb FROM places GROUP BY bin)"]
+    for i in range(3):
+        text = ", ".join([f"'2026', '{tag}', w.l, w.d", *([f"'{i}'"] if i else [])])
+        out.append(f"""g{i} AS MATERIALIZED (SELECT w.l, w.d, neg_d, w.bin FROM w{i} AS w JOIN sizes AS s ON s.bin = w.bin JOIN places AS p ON p.bin = w.bin AND p.at = {bucket_sql(f"concat_ws('/', {text})", 'nb')}
+  ANTI JOIN core AS c ON c.l = w.l AND c.d = neg_d)""")
+        out.append(f"w{i + 1} AS MATERIALIZED (SELECT * FROM w{i} ANTI JOIN g{i} USING (l, d))")
+    for i, (cols, pool) in enumerate((("l, bin", "SELECT DISTINCT bin, neg_d FROM places"), ("l", "SELECT DISTINCT d AS neg_d FROM core")), 3):
+        met = "JOIN pool USING (bin)" if i == 3 else "CROSS JOIN pool"
+        out.append(f"""free{i} AS MATERIALIZED (WITH pool AS ({pool}), x AS (SELECT DISTINCT {cols} FROM w{i}), y AS (SELECT x.*, neg_d FROM x {met})
+  SELECT y.*, row_number() OVER (PARTITION BY {cols} ORDER BY md5(concat_ws('/', '2026', 'free', y.l, neg_d)), neg_d) - 1 AS at, count(*) OVER (PARTITION BY {cols}) AS nb FROM y ANTI JOIN core AS c ON c.l = y.l AND c.d = neg_d)""")
+        out.append(f"""g{i} AS MATERIALIZED (SELECT w.l, w.d, neg_d, w.bin FROM w{i} AS w JOIN free{i} AS f ON f.l = w.l {'AND f.bin = w.bin ' if i == 3 else ''}AND f.at = {bucket_sql(f"concat_ws('/', '2026', '{tag}', w.l, w.d, 'free')", 'f.nb')})""")
+        out.append(f"w{i + 1} AS MATERIALIZED (SELECT * FROM w{i} ANTI JOIN g{i} USING (l, d))")
+    return ",\n".join(out) + ",\ndrawn AS (" + " UNION ALL ".join(f"SELECT l, d, neg_d, bin FROM g{i}" for i in range(5)) + ")"
+
+
 @query(f"""WITH {CORE_SQL}, deg AS (SELECT d, count(*) AS deg FROM core GROUP BY d), e AS (SELECT unnest(quantile_cont(deg, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM deg),
-b AS (SELECT d, (SELECT count(*) FROM e WHERE deg >= e) AS bin FROM deg),
-places AS (SELECT bin, d AS neg_d, row_number() OVER (PARTITION BY bin ORDER BY md5(concat_ws('/', '2026', 'bin', d)), d) - 1 AS place, count(*) OVER (PARTITION BY bin) AS nb FROM b),
-sizes AS (SELECT DISTINCT bin, nb FROM places),
-draw AS (SELECT l, d, bin, {bucket_sql("concat_ws('/', '2026', 'm', l, d)", 'nb')} AS place FROM core JOIN b USING (d) JOIN sizes USING (bin))
-SELECT w.l, w.d, neg_d, w.bin FROM draw AS w JOIN places USING (bin, place) WHERE NOT EXISTS (SELECT 1 FROM core AS c WHERE c.l = w.l AND c.d = neg_d)""")
+b AS MATERIALIZED (SELECT d, (SELECT count(*) FROM e WHERE deg >= e) AS bin FROM deg),
+places AS MATERIALIZED (SELECT bin, d AS neg_d, row_number() OVER (PARTITION BY bin ORDER BY md5(concat_ws('/', '2026', 'bin', d)), d) - 1 AS at FROM b),
+want AS (SELECT l, d, bin FROM core JOIN b USING (d)), {_draw_sql('m')} SELECT l, d, neg_d, bin FROM drawn""")
 def degree_matched_negatives(spark, sf_dir):
     core = core_of(spark, sf_dir)
     return split.matched_negatives(core, core, core.groupBy("d").agg(F.count(F.lit(1)).alias("deg")))
 
 
-@query(f"""WITH {CORE_SQL}, places AS (SELECT d AS neg_d, row_number() OVER (ORDER BY md5(concat_ws('/', '2026', 'edge', l, d)), l, d) - 1 AS place FROM core),
-draw AS (SELECT l, d, {bucket_sql("concat_ws('/', '2026', 'deg', l, d)", '(SELECT count(*) FROM core)')} AS place FROM core)
-SELECT w.l, w.d, neg_d FROM draw AS w JOIN places USING (place) WHERE NOT EXISTS (SELECT 1 FROM core AS c WHERE c.l = w.l AND c.d = neg_d)""")
+@query(f"""WITH {CORE_SQL}, places AS MATERIALIZED (SELECT 0 AS bin, d AS neg_d, row_number() OVER (ORDER BY md5(concat_ws('/', '2026', 'edge', l, d)), l, d) - 1 AS at FROM core),
+want AS (SELECT l, d, 0 AS bin FROM core), {_draw_sql('deg')} SELECT l, d, neg_d FROM drawn""")
 def degree_weighted_negatives(spark, sf_dir):
     core = core_of(spark, sf_dir)
     return split.edge_negatives(core, core)
