@@ -222,5 +222,5 @@ SQL = {
     + """SELECT tab, keep_id, copies FROM g
   UNION ALL SELECT tab, id, 1 FROM alls WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.tab = alls.tab AND r.id = alls.id)""",
     "p1_found": _P1 + "SELECT rec_id, coalesce(m.symbol, '') AS symbol FROM r LEFT JOIN m ON m.v = r.v WHERE rna_symbol NOT IN (SELECT symbol FROM hgnc_complete_set)",
-    "p1_unmatched": _P1 + f"SELECT v AS value, count(*) AS n_rows FROM (SELECT {FOLD.format('rna_symbol')} AS v FROM rnadisease) WHERE v <> '' AND v NOT IN (SELECT v FROM m) GROUP BY v",
+    "p1_unmatched": _P1 + f"SELECT v AS value, count(*) AS n_rows FROM (SELECT {FOLD.format('rna_symbol')} AS v FROM rnadisease WHERE NOT ({BLANK.format('rna_symbol')})) WHERE v NOT IN (SELECT v FROM m) GROUP BY v",
 }
