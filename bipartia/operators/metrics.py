@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+
+from bipartia.operators.skew import running_sums
 
 
 def _thresholds(scored: DataFrame, by: list[str]) -> DataFrame:
-    """Positives and rows at each distinct score, so that windows run over scores, never over rows."""
+    """Positives and rows at each distinct score, so that sums run over scores, never over rows."""
     return scored.groupBy(*by, "score").agg(F.sum("label").cast("double").alias("tp"), F.count(F.lit(1)).cast("double").alias("n"))
 
 
@@ -21,9 +21,7 @@ def average_precision(scored: DataFrame, by: list[str]) -> DataFrame:
 
     Scores that are equal are one threshold. Null where a group has no positive (or, for auroc, no negative).
     """
-    t = _thresholds(scored, by)
-    down = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    t = t.withColumns({"ctp": F.sum("tp").over(down), "cn": F.sum("n").over(down)})
+    t = running_sums(_thresholds(scored, by).withColumn("_down", -F.col("score")), by, ["_down"], ["tp", "n"]).withColumnsRenamed({"_to_tp": "ctp", "_to_n": "cn"})
     total = t.groupBy(*by).agg(
         F.sum("tp").alias("p"), F.sum("n").alias("all"), F.sum(F.col("tp") * F.col("ctp") / F.col("cn")).alias("ap"),
         F.sum((F.col("n") - F.col("tp")) * (F.col("ctp") - F.col("tp") / 2)).alias("above"),
@@ -36,14 +34,40 @@ def average_precision(scored: DataFrame, by: list[str]) -> DataFrame:
 
 
 def mann_whitney(scored: DataFrame, by: list[str]) -> DataFrame:
-    """AUC from average ranks, with z of the normal approximation without tie correction: by, auc, z."""
-    t = _thresholds(scored, by)
-    up = W.partitionBy(*by).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    t = t.withColumn("rank", F.coalesce(F.sum("n").over(up), F.lit(0.0)) + (F.col("n") + 1) / 2)
+    """AUC from average ranks, with z of the normal approximation without tie correction and its two-sided p: by, auc, z, p."""
+    t = running_sums(_thresholds(scored, by), by, ["score"], ["n"])
+    t = t.withColumn("rank", F.col("_to_n") - F.col("n") + (F.col("n") + 1) / 2)
     s = t.groupBy(*by).agg(F.sum("tp").alias("p"), (F.sum("n") - F.sum("tp")).alias("m"), F.sum(F.col("tp") * F.col("rank")).alias("r")).filter("p > 0 and m > 0")
     u = F.col("r") - F.col("p") * (F.col("p") + 1) / 2
     sd = F.sqrt(F.col("p") * F.col("m") * (F.col("p") + F.col("m") + 1) / 12)
-    return s.select(*by, (u / (F.col("p") * F.col("m"))).alias("auc"), ((u - F.col("p") * F.col("m") / 2) / sd).alias("z"))
+    z = (u - F.col("p") * F.col("m") / 2) / sd
+    return s.select(*by, (u / (F.col("p") * F.col("m"))).alias("auc"), z.alias("z"), erfc(F.abs(z) / F.lit(math.sqrt(2))).alias("p"))
+
+
+# Coefficients of a rational approximation of erfc, error below 1.5e-7. Fixed values.
+_ERFC = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function of x >= 0."""
+    t = 1 / (1 + F.lit(0.3275911) * x)
+    series = F.lit(0.0)
+    for c in reversed(_ERFC):
+        series = (series + F.lit(c)) * t
+    return series * F.exp(-x * x)
+
+
+def t_two_sided(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t with a whole number of degrees of freedom, by the finite series in cos(atan(t / sqrt(df)))."""
+    cos2, sin = df / (df + t * t), F.abs(t) / F.sqrt(df + t * t)
+    odd = df % 2 != 0
+    # Terms c^0, 1/2 c^2, 1 3/(2 4) c^4, ... for even, c, 2/3 c^3, 2 4/(3 5) c^5, ... for odd numbers of degrees.
+    ratio = lambda j: F.when(odd, 2 * j / (2 * j + 1)).otherwise((2 * j - 1) / (2 * j)) * cos2
+    first = F.when(odd, F.sqrt(cos2)).otherwise(1.0)
+    steps = F.filter(F.sequence(F.lit(0), (df / 2).cast("int")), lambda j: (j > 0) & (2 * j < F.when(odd, df - 1).otherwise(df)))
+    series = F.aggregate(steps, F.struct(first.alias("x"), first.alias("s")), lambda a, j: F.struct((a["x"] * ratio(j)).alias("x"), (a["s"] + a["x"] * ratio(j)).alias("s")), lambda a: a["s"])
+    series = F.when(df == 1, 0.0).otherwise(series)
+    return 1 - F.when(odd, F.lit(2 / math.pi) * (F.atan(F.abs(t) / F.sqrt(df)) + sin * series)).otherwise(sin * series)
 
 
 def top_ranked(scored: DataFrame, by: list[str], k: int, tie: str) -> DataFrame:
@@ -72,15 +96,23 @@ def personalization(scored: DataFrame, by: list[str], item: str) -> DataFrame:
     return scored.groupBy(*by, item).agg(F.stddev_pop("score").alias("s")).groupBy(*by).agg(F.avg("s").alias("personalization"))
 
 
-@F.pandas_udf(DoubleType())
-def hypergeom_tail(k: pd.Series, big_n: pd.Series, good: pd.Series, drawn: pd.Series) -> pd.Series:
-    """P(at least k of ``drawn`` without replacement from big_n, of which ``good`` are good), exact in integers."""
+def log_factorial(n: Column) -> Column:
+    """ln(n!) of a whole number: summed logarithms up to 20, beyond that Stirling's series (error below 1e-13)."""
+    x = n.cast("double")
+    small = F.element_at(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(21)]), (F.least(n, F.lit(20)) + 1).cast("int"))
+    y = F.greatest(x, F.lit(1.0))
+    large = (y + 0.5) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5.0)))
+    return F.when(n <= 20, small).otherwise(large)
 
-    def one(k, n, g, m):
-        total = math.comb(n, m)
-        return sum(math.comb(g, i) * math.comb(n - g, m - i) for i in range(k, min(g, m) + 1)) / total if total else None
 
-    return pd.Series([one(*map(int, x)) for x in zip(k, big_n, good, drawn)], dtype="float64")
+def hypergeom_tail(k: Column | str, big_n: Column | str, good: Column | str, drawn: Column | str) -> Column:
+    """P(at least k of ``drawn`` without replacement from big_n, of which ``good`` are good), from log-factorials."""
+    k, n, g, m = ((F.col(c) if isinstance(c, str) else c).cast("bigint") for c in (k, big_n, good, drawn))
+    choose = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
+    low, high = F.greatest(k, m - (n - g), F.lit(0)), F.least(g, m)
+    one = lambda i: F.exp(choose(g, i) + choose(n - g, m - i) - choose(n, m))
+    total = F.aggregate(F.sequence(low, F.greatest(low, high)), F.lit(0.0), lambda s, i: s + one(i))
+    return F.when(m <= n, F.when(low <= high, F.least(total, F.lit(1.0))).otherwise(0.0))
 
 
 def summarize(values: DataFrame, by: list[str]) -> DataFrame:
@@ -89,13 +121,14 @@ def summarize(values: DataFrame, by: list[str]) -> DataFrame:
 
 
 def paired(values: DataFrame, by: list[str], pair: str, model: str, a: str, b: str) -> DataFrame:
-    """Paired t against 0 and Cohen's d of model a minus model b: by, n, mean_diff, t, d."""
+    """Paired t against 0 with its two-sided p, and Cohen's d, of model a minus model b: by, n, mean_diff, t, d, p."""
     va = values.filter(F.col(model) == a).select(*by, pair, F.col("value").alias("va"))
     vb = values.filter(F.col(model) == b).select(*by, pair, F.col("value").alias("vb"))
     diff = va.join(vb, [*by, pair]).withColumn("x", F.col("va") - F.col("vb"))
     s = diff.groupBy(*by).agg(F.count("x").alias("n"), F.avg("x").alias("mean_diff"), F.stddev_samp("x").alias("sd"))
     ok = (F.col("n") > 1) & (F.col("sd") > 0)
-    return s.select(*by, "n", "mean_diff", F.when(ok, F.col("mean_diff") / (F.col("sd") / F.sqrt("n"))).alias("t"), F.when(ok, F.col("mean_diff") / F.col("sd")).alias("d"))
+    t = F.col("mean_diff") / (F.col("sd") / F.sqrt("n"))
+    return s.select(*by, "n", "mean_diff", F.when(ok, t).alias("t"), F.when(ok, F.col("mean_diff") / F.col("sd")).alias("d"), F.when(ok, t_two_sided(t, F.col("n") - 1)).alias("p"))
 
 
 def golden_compare(actual: DataFrame, expected: DataFrame, on: list[str], digits: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bipartia.functions.vectors import uniform
-from bipartia.operators.similarity import top_cosine
+from bipartia.operators.similarity import nearest
 
 # A scorer: (train pairs, asked pairs, contents of l, contents of d), each by fold, to fold, l, d, score.
 Scorer = Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame]
@@ -51,14 +51,14 @@ def knn_content(train: DataFrame, asked: DataFrame, vec_l: DataFrame, vec_d: Dat
     def near(axis: str, vecs: DataFrame) -> DataFrame:
         node = vecs.withColumnRenamed("node", axis)
         of = lambda df: df.select("fold", axis).distinct().join(node, axis).select("fold", F.col(axis).alias("node"), "vec")
-        top = top_cosine(of(asked), of(train), k, ["fold"])
+        top = nearest(of(asked), of(train), k, ["fold"])
         top = top.withColumn("w", F.greatest("sim", F.lit(0.0)))
         total = top.groupBy("fold", "q").agg(F.sum("w").alias("t"))
         return top.join(total, ["fold", "q"]).filter("w > 0").select("fold", F.col("q").alias(axis), F.col("node").alias(f"n{axis}"), (F.col("w") / (F.col("t") + F.lit(1e-8))).alias(f"w{axis}"))
 
-    through = asked.select("fold", "l", "d").distinct().join(near("l", vec_l), ["fold", "l"]).join(near("d", vec_d), ["fold", "d"])
-    hit = through.join(train.select("fold", F.col("l").alias("nl"), F.col("d").alias("nd")), ["fold", "nl", "nd"])
-    s = hit.groupBy("fold", "l", "d").agg(F.sum(F.col("wl") * F.col("wd")).alias("score"))
+    # From the training pairs outwards, so that the work grows with them and not with the pairs asked for.
+    to_d = train.select("fold", F.col("l").alias("nl"), F.col("d").alias("nd")).join(near("d", vec_d), ["fold", "nd"]).groupBy("fold", "nl", "d").agg(F.sum("wd").alias("wd"))
+    s = to_d.join(near("l", vec_l), ["fold", "nl"]).groupBy("fold", "l", "d").agg(F.sum(F.col("wl") * F.col("wd")).alias("score"))
     return asked.select("fold", "l", "d").join(s, ["fold", "l", "d"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
 
 
@@ -67,7 +67,7 @@ def neighbour_popularity(train: DataFrame, asked: DataFrame, vec_l: DataFrame, v
     """Mean training degree of the 10 nearest training l, times the degree of d plus 1."""
     node = vec_l.withColumnRenamed("node", "l")
     of = lambda df: df.select("fold", "l").distinct().join(node, "l").select("fold", F.col("l").alias("node"), "vec")
-    top = top_cosine(of(asked), of(train), 10, ["fold"])
+    top = nearest(of(asked), of(train), 10, ["fold"])
     dl = train.groupBy("fold", F.col("l").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
     dd = train.groupBy("fold", "d").agg(F.count(F.lit(1)).alias("dd"))
     mean = top.join(dl, ["fold", "node"]).groupBy("fold", F.col("q").alias("l")).agg(F.avg("deg").alias("m"))

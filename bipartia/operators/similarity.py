@@ -26,6 +26,63 @@ def content(nodes: DataFrame, embeddings: DataFrame) -> DataFrame:
     return nodes.select("node", bucket("node", n + n // 10).alias("_v")).join(vecs, "_v", "left").select("node", F.coalesce("vec", zero).alias("vec"))
 
 
+# Vectors of a list of the index; lists up to which it is not worth one; vectors its centres are fitted on at most.
+LIST_SIZE, FEW_LISTS, SAMPLE = 4096, 16, 100_000
+# Queries on which recall is measured when the index is made, and the recall that decides how many lists are probed.
+TRIALS, RECALL = 200, 0.95
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, group: list[str], digits: int = 9, positive: bool = False) -> DataFrame:
+    """Like ``top_cosine``, for query sets that grow with the corpus: an index of lists around centres.
+
+    Every vector of the corpus is in the list of its nearest centre, one for LIST_SIZE vectors; a query looks in the lists of
+    its nearest centres. Centres are vectors drawn by hash from at most SAMPLE, refined by three rounds of means; they are
+    broadcast, LIST_SIZE times fewer than vectors. How many lists are probed is measured: TRIALS queries are held
+    against the whole corpus, and the least number is taken that finds RECALL of their neighbours; vectors that do not
+    cluster take many. With up to FEW_LISTS lists the search is exact.
+    """
+    lists = -(-corpus.select("node").distinct().count() // LIST_SIZE)
+    if lists <= FEW_LISTS:
+        return top_cosine(queries, corpus, k, group, digits, positive)
+    sample = corpus.select("node", "vec").groupBy("node").agg(F.first("vec").alias("vec")).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vec").toPandas()
+    x = np.stack(sample["vec"].to_numpy()).astype(float)
+    x /= np.sqrt((x * x).sum(1))[:, None] + 1e-8
+    centres = x[:lists]
+    for _ in range(3):
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.stack([np.bincount(own, x[:, j], len(centres)) for j in range(x.shape[1])], axis=1)
+        centres = np.where(np.bincount(own, minlength=len(centres))[:, None] > 0, sums, centres)
+        centres /= np.sqrt((centres * centres).sum(1))[:, None] + 1e-8
+    shared = corpus.sparkSession.sparkContext.broadcast(centres)
+
+    def place(probes: int):
+        def run(batches):
+            for p in batches:
+                if len(p):
+                    far = -(np.stack(p["vec"].to_numpy()).astype(float) @ shared.value.T)
+                    best = np.argpartition(far, min(probes, far.shape[1]) - 1, axis=1)[:, :probes] if probes > 1 else far.argmin(axis=1)[:, None]
+                    p["_list"] = [list(map(int, b)) for b in best]
+                    yield p
+
+        return run
+
+    def placed(df: DataFrame, probes: int) -> DataFrame:
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+        return cut(df.mapInPandas(place(probes), f"{kinds}, _list array<int>").withColumn("_list", F.explode("_list")))
+
+    columns = [*group, "node", "vec"]
+    listed = placed(corpus.select(*columns), 1)
+    tried = queries.select(*columns).orderBy(F.xxhash64("node"), *group).limit(TRIALS)
+    truth = top_cosine(cut(tried), corpus.select(*columns), k, group, digits, positive)
+    truth = truth.join(listed.select(*group, "node", "_list"), [*group, "node"]).select("q", "_list").toPandas()
+    vecs = {r["node"]: np.array(r["vec"]) for r in tried.select("node", "vec").collect()}
+    places = [int((x @ centres.T > (x @ centres[own])).sum()) for x, own in ((vecs[q], own) for q, own in zip(truth["q"], truth["_list"]))]
+    probes = int(np.quantile(places, RECALL, method="higher")) + 1 if places else 1
+    hits = top_cosine(placed(queries.select(*columns), probes), listed, k, [*group, "_list"], digits, positive)
+    rank = F.row_number().over(W.partitionBy(*group, "q").orderBy(F.desc("sim"), "node"))
+    return hits.drop("_list").withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= k)
+
+
 def top_cosine(queries: DataFrame, corpus: DataFrame, k: int, group: list[str], digits: int = 9, positive: bool = False) -> DataFrame:
     """The k nearest of ``corpus`` (group, node, vec) for each of ``queries`` (group, node, vec): group, q, node, sim, rank.
 

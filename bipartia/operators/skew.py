@@ -41,6 +41,22 @@ def _offsets(df: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFram
     return rows, offsets
 
 
+def running_sums(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """``df`` with ``_to_<value>``: for each of ``values``, its sum over the rows of the key up to and including this one.
+
+    As in number_within_key, rows are range-partitioned by key and order and written; sums by key and file, prefix-summed,
+    are what precedes a file, so that windows over rows never go beyond one file and a hot key is as good as any other.
+    Keys are not null; ties in ``order`` come in any order.
+    """
+    rows = cut(df, *keys, *order).select("*", F.col("_metadata.file_name").alias("_part"), F.col("_metadata.row_index").alias("_pos"))
+    per_file = rows.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
+    before = W.partitionBy(*keys).orderBy(F.length("_part"), "_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = per_file.select(*keys, "_part", *[F.coalesce(F.sum(f"_s_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values])
+    within = W.partitionBy(*keys, "_part").orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
+    local = rows.select("*", *[F.sum(v).over(within).alias(f"_w_{v}") for v in values])
+    return local.join(offsets, [*keys, "_part"]).select(*df.columns, *[(F.col(f"_w_{v}") + F.col(f"_o_{v}")).alias(f"_to_{v}") for v in values])
+
+
 def per_key_profile(df: DataFrame, field: str, key: str, partner: str, at: str, tie: str, chunk_rows: int = 100_000) -> DataFrame:
     """Rows, distinct partners, first and last ``at`` for every (``field``, ``key``), by exact offset chunking.
 

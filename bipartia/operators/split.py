@@ -38,11 +38,24 @@ def scenario(pairs: DataFrame, fold_l: DataFrame, fold_d: DataFrame, name: str)
     return each.filter(train).select("fold", "l", "d"), each.filter(test).select("fold", "l", "d")
 
 
+def candidate_blocks(queries: DataFrame, candidates: DataFrame, on: list[str], block: int = 512) -> DataFrame:
+    """Every one of ``queries`` (q and other columns) with every one of ``candidates`` (on, c) that agrees in ``on``.
+
+    ``queries`` is a stated query set. It is cut into blocks of about ``block`` rows; each candidate goes once to each block,
+    and the pairs of a block are made where its rows meet, by an equi-join on the block.
+    """
+    n = max(1, -(-queries.count() // block))
+    qs = queries.withColumn("_b", F.pmod(F.xxhash64("q"), F.lit(n)))
+    cs = candidates.select(*on, "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("_b"))
+    return qs.join(cs, [*on, "_b"]).drop("_b")
+
+
 def negatives(positives: DataFrame, known: DataFrame, tries: int = 3, seed: int = 2026) -> DataFrame:
-    """As many unknown pairs as positives in each fold: fold, l, d.
+    """As many unknown pairs as positives in each fold, or all there are if there are fewer: fold, l, d.
 
     Every positive's l proposes ``tries`` d of the fold's evaluated d, drawn by hash; proposals that are known pairs or
-    come twice go, the first of the rest in hash order stay. No grid of all pairs is formed.
+    come twice go, the first of the rest in hash order stay. A fold that is so dense that proposals do not suffice takes the
+    rest from its unknown pairs of evaluated l and d, in hash order; only such a fold's grid is formed, in blocks.
     """
     pool = positives.select("fold", "d").distinct()
     n_pool = pool.groupBy("fold").agg(F.count(F.lit(1)).alias("np"))
@@ -50,9 +63,19 @@ def negatives(positives: DataFrame, known: DataFrame, tries: int = 3, seed: int
     draw = positives.join(F.broadcast(n_pool), "fold").select("fold", "l", "d", "np", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t"))
     at = bucket(F.concat_ws("/", F.lit(str(seed)), "fold", "l", "d", F.col("t").cast("string")), F.col("np"))
     cand = draw.select("fold", "l", at.alias("at")).join(places, ["fold", "at"]).select("fold", "l", F.col("nd").alias("d")).distinct()
-    cand = cand.join(known.select("l", "d"), ["l", "d"], "left_anti").select("fold", "l", "d", hash_order(seed, "neg", F.col("fold").cast("string"), "l", "d").alias("_h"))
-    want = positives.groupBy("fold").agg(F.count(F.lit(1)).alias("want"))
-    return number_within_key(cand, ["fold"], ["_h"]).join(F.broadcast(want), "fold").filter("_seq < want").select("fold", "l", "d")
+    tag = hash_order(seed, "neg", F.col("fold").cast("string"), "l", "d").alias("_h")
+    cand = cand.join(known.select("l", "d"), ["l", "d"], "left_anti").select("fold", "l", "d", tag)
+    want = cut(positives.groupBy("fold").agg(F.count(F.lit(1)).alias("want")))
+    got = cut(number_within_key(cand, ["fold"], ["_h"]).join(F.broadcast(want), "fold").filter("_seq < want").select("fold", "l", "d"))
+    short = want.join(got.groupBy("fold").agg(F.count(F.lit(1)).alias("have")), "fold", "left").select("fold", (F.col("want") - F.coalesce("have", F.lit(0))).alias("lack"))
+    short = cut(short.filter("lack > 0"))
+    if short.isEmpty():
+        return got
+    ls = positives.join(F.broadcast(short), "fold", "left_semi").select("fold", F.col("l").alias("q")).distinct()
+    grid = candidate_blocks(ls, pool.select("fold", F.col("d").alias("c")), ["fold"]).select("fold", F.col("q").alias("l"), F.col("c").alias("d"))
+    rest = grid.join(known.select("l", "d"), ["l", "d"], "left_anti").join(got, ["fold", "l", "d"], "left_anti").select("fold", "l", "d", tag)
+    more = number_within_key(rest, ["fold"], ["_h"]).join(F.broadcast(short), "fold").filter("_seq < lack").select("fold", "l", "d")
+    return got.unionByName(more)
 
 
 # Draws by hash for each positive before the exact draw.

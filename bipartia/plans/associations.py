@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bipartia.functions import vectors as V
 from bipartia.functions.text import folded, is_blank, squeezed, word_bag
-from bipartia.operators import metrics, prep, similarity, split
+from bipartia.operators import metrics, prep, similarity, skew, split
 from bipartia.operators.scoring import score_all
 from bipartia.sources.tables import cut, table
 
@@ -347,7 +347,7 @@ graph AS MATERIALIZED (SELECT f.i, f.j, f.w / sqrt(p.deg * q.deg) AS w FROM full
 
 def _disease_graph(spark, sf_dir):
     vec = contents(spark, sf_dir, "d")
-    top = similarity.top_cosine(vec, vec, 6, [], positive=True)
+    top = similarity.nearest(vec, vec, 6, [], positive=True)
     return similarity.normalized_graph(top.select(F.col("q").alias("i"), F.col("node").alias("j"), F.col("sim").alias("w")), True)
 
 
@@ -495,10 +495,15 @@ def _blocks_sql(protocol: str) -> str:
 
 
 _NEG_SQL = f"""pool AS (SELECT fold, d AS nd, row_number() OVER (PARTITION BY fold ORDER BY md5(concat_ws('/', '2026', 'pool', d)), d) - 1 AS place, count(*) OVER (PARTITION BY fold) AS np FROM (SELECT DISTINCT fold, d FROM pos)),
+want AS (SELECT fold, count(*) AS want FROM pos GROUP BY fold),
 draw AS (SELECT fold, l, {bucket_sql("concat_ws('/', '2026', fold, l, d, t)", 'np')} AS place FROM pos JOIN (SELECT DISTINCT fold, np FROM pool) USING (fold), (SELECT unnest(range(0, 3)) AS t)),
 cand AS (SELECT DISTINCT fold, l, nd AS d FROM draw JOIN pool USING (fold, place)),
-neg AS MATERIALIZED (SELECT fold, l, d FROM (SELECT fold, l, d, row_number() OVER (PARTITION BY fold ORDER BY md5(concat_ws('/', '2026', 'neg', fold, l, d))) AS rn FROM cand ANTI JOIN core USING (l, d))
-  WHERE rn <= (SELECT count(*) FROM pos WHERE pos.fold = fold_of(fold)))""".replace("pos.fold = fold_of(fold))", "pos.fold = x.fold)").replace("USING (l, d))\n  WHERE", "USING (l, d)) AS x\n  WHERE")
+got AS MATERIALIZED (SELECT fold, l, d FROM (SELECT fold, l, d, row_number() OVER (PARTITION BY fold ORDER BY md5(concat_ws('/', '2026', 'neg', fold, l, d))) AS rn FROM cand ANTI JOIN core USING (l, d)) JOIN want USING (fold) WHERE rn <= want),
+short AS (SELECT fold, want - (SELECT count(*) FROM got WHERE got.fold = want.fold) AS lack FROM want),
+more AS (SELECT fold, l, d FROM (SELECT fold, l, nd AS d, row_number() OVER (PARTITION BY fold ORDER BY md5(concat_ws('/', '2026', 'neg', fold, l, nd))) AS rn
+  FROM (SELECT DISTINCT fold, l FROM pos) JOIN pool USING (fold) ANTI JOIN core AS c ON c.l = pos.l AND c.d = nd ANTI JOIN got AS g ON g.fold = pos.fold AND g.l = pos.l AND g.d = nd) JOIN short USING (fold) WHERE rn <= lack),
+neg AS MATERIALIZED (SELECT * FROM got UNION ALL SELECT * FROM more)"""
+_NEG_SQL = _NEG_SQL.replace("FROM (SELECT DISTINCT fold, l FROM pos) JOIN pool", "FROM (SELECT pos.fold, pos.l, nd FROM (SELECT DISTINCT fold, l FROM pos) AS pos JOIN pool USING (fold) WHERE pos.fold IN (SELECT fold FROM short WHERE lack > 0)) AS pos ANTI").replace("ANTI USING (fold) ANTI JOIN core", "ANTI JOIN core")
 
 
 @query(f"WITH {CORE_SQL}, {FOLDS_SQL}\n" + "\nUNION ALL ".join(f"SELECT protocol, fold, part, count(*) AS n_pairs, count(DISTINCT l) AS n_l, count(DISTINCT d) AS n_d FROM (WITH {_blocks_sql(p)} SELECT '{p}' AS protocol, fold, 'train' AS part, l, d FROM train UNION ALL SELECT '{p}', fold, 'eval', l, d FROM pos) GROUP BY 1, 2, 3" for p in PROTOCOLS))
@@ -551,6 +556,16 @@ def degree_weighted_negatives(spark, sf_dir):
     return split.edge_negatives(core, core)
 
 
+@query(f"""WITH {CORE_SQL}, {FOLDS_SQL}, {_blocks_sql('both')}, n AS (SELECT fold, count(*) AS n_pos, count(DISTINCT l) * count(DISTINCT d) AS cells FROM pos GROUP BY fold),
+k AS (SELECT p.fold, count(*) AS n_known FROM (SELECT DISTINCT fold, l FROM pos) AS p JOIN (SELECT DISTINCT fold, d FROM pos) AS q USING (fold) JOIN core USING (l, d) GROUP BY 1)
+SELECT fold, n_pos, least(n_pos, cells - n_known) AS n_neg FROM n JOIN k USING (fold)""")
+def negative_counts(spark, sf_dir):
+    """Negatives of each fold: as many as positives, or as many unknown pairs as there are."""
+    pos = cut(blocks(spark, sf_dir, "both")[1])
+    n = split.negatives(pos, core_of(spark, sf_dir)).groupBy("fold").agg(F.count(F.lit(1)).alias("n_neg"))
+    return pos.groupBy("fold").agg(F.count(F.lit(1)).alias("n_pos")).join(n, "fold", "left").select("fold", "n_pos", F.coalesce("n_neg", F.lit(0)).cast("bigint").alias("n_neg"))
+
+
 def scored(spark, sf_dir, protocol):
     """model, fold, l, d, label, score for the evaluated pairs and as many negatives."""
 
@@ -564,6 +579,45 @@ def scored(spark, sf_dir, protocol):
     return kept(f"scored_{protocol}", spark, sf_dir, make)
 
 
+# Of each protocol, the side whose query set is ranked for: its candidates are all nodes of the other side in the block.
+QUERY_SIDE = {"lncrna": "l", "disease": "d", "both": "d", "warm": "d"}
+# The query set: every 50th l by hash, and, as diseases are a list of fixed length, every 10th d.
+QUERY_SHARE = {"l": 50, "d": 10}
+
+
+def ranked(spark, sf_dir, protocol):
+    """model, fold, q, c, l, d, label, score of every candidate for the protocol's query set, whatever their number.
+
+    lncrna: cold l of the query set with all d; disease: cold d with all l; both: cold d with the fold's cold l; warm: d with
+    all l, but for pairs of the training block.
+    """
+
+    def make():
+        core = core_of(spark, sf_dir)
+        train, _ = blocks(spark, sf_dir, protocol)
+        train, side = cut(train), QUERY_SIDE[protocol]
+        other = "l" if side == "d" else "d"
+        if protocol == "warm":
+            folds_ = F.broadcast(_fold(spark, sf_dir, ["l", "d"], "pair").select("fold").distinct())  # one row per fold
+            queries = core.select(F.col(side).alias("q")).distinct().crossJoin(folds_)
+        else:
+            queries = _fold(spark, sf_dir, [side], side).select("fold", F.col(side).alias("q"))
+        queries = queries.filter(V.bucket("q", QUERY_SHARE[side]) == 0)
+        if protocol == "both":
+            grid = split.candidate_blocks(queries, _fold(spark, sf_dir, [other], other).select("fold", F.col(other).alias("c")), ["fold"])
+        else:
+            grid = split.candidate_blocks(queries, core.select(F.col(other).alias("c")).distinct(), [])
+        grid = grid.select("fold", F.col("q").alias(side), F.col("c").alias(other))
+        if protocol == "warm":
+            grid = grid.join(train, ["fold", "l", "d"], "left_anti")
+        label = F.coalesce(F.col("_known"), F.lit(0)).alias("label")
+        asked = cut(grid.join(core.withColumn("_known", F.lit(1)), ["l", "d"], "left").select("fold", "l", "d", label))
+        out = score_all(train, asked, contents(spark, sf_dir, "l"), contents(spark, sf_dir, "d"), MODELS)
+        return out.select("model", "fold", F.col(side).alias("q"), F.col(other).alias("c"), "l", "d", "label", "score")
+
+    return kept(f"ranked_{protocol}", spark, sf_dir, make)
+
+
 def _near_fold_sql(name: str, axis: str, k: int = 10) -> str:
     return f"""{name} AS MATERIALIZED (SELECT fold, q, node, greatest(sim, 0) AS w FROM (SELECT e.fold, e.node AS q, t.node, {COS_SQL} AS sim,
   row_number() OVER (PARTITION BY e.fold, e.node ORDER BY {COS_SQL} DESC, t.node) AS rank
@@ -571,9 +625,23 @@ def _near_fold_sql(name: str, axis: str, k: int = 10) -> str:
   JOIN content AS a ON a.axis = '{axis}' AND a.node = e.node JOIN content AS b ON b.axis = '{axis}' AND b.node = t.node) WHERE rank <= {k})"""
 
 
-def scored_sql(protocol: str) -> str:
-    return f"""{CORE_SQL}, {CONTENT_SQL}, {FOLDS_SQL}, {_blocks_sql(protocol)}, {_NEG_SQL},
-asked AS MATERIALIZED (SELECT fold, l, d, 1 AS label FROM pos UNION ALL SELECT fold, l, d, 0 FROM neg),
+_DRAWN_SQL = f"{_NEG_SQL},\nasked AS MATERIALIZED (SELECT fold, l, d, 1 AS label FROM pos UNION ALL SELECT fold, l, d, 0 FROM neg)"
+
+
+def _whole_sql(protocol: str) -> str:
+    """All candidates of the protocol's query set."""
+    side = QUERY_SIDE[protocol]
+    pairs = {
+        "lncrna": "FROM fl, (SELECT DISTINCT d FROM core)", "disease": "FROM fd, (SELECT DISTINCT l FROM core)", "both": "FROM fd JOIN fl USING (fold)",
+        "warm": "FROM (SELECT DISTINCT d FROM core), (SELECT DISTINCT l FROM core), (SELECT unnest(range(1, 6)) AS fold) ANTI JOIN train AS t ON t.fold = g.fold AND t.l = g.l AND t.d = g.d",
+    }[protocol]
+    if protocol == "warm":
+        pairs = "FROM (SELECT fold, l, d FROM (SELECT DISTINCT d FROM core), (SELECT DISTINCT l FROM core), (SELECT unnest(range(1, 6)) AS fold)) AS g ANTI JOIN train USING (fold, l, d)"
+    return f"asked AS MATERIALIZED (SELECT fold, l, d, CASE WHEN k.one IS NULL THEN 0 ELSE 1 END AS label FROM (SELECT fold, l, d {pairs} WHERE {bucket_sql(side, QUERY_SHARE[side])} = 0) LEFT JOIN (SELECT l, d, 1 AS one FROM core) AS k USING (l, d))"
+
+
+def scored_sql(protocol: str, asked: str = _DRAWN_SQL) -> str:
+    return f"""{CORE_SQL}, {CONTENT_SQL}, {FOLDS_SQL}, {_blocks_sql(protocol)}, {asked},
 dl AS (SELECT fold, l, count(*) AS dl FROM train GROUP BY 1, 2), dd AS (SELECT fold, d, count(*) AS dd FROM train GROUP BY 1, 2),
 {_near_fold_sql('nl', 'l')}, {_near_fold_sql('nd', 'd')},
 nlw AS (SELECT fold, q, node, w / (sum(w) OVER (PARTITION BY fold, q) + 1e-8) AS w FROM nl), ndw AS (SELECT fold, q, node, w / (sum(w) OVER (PARTITION BY fold, q) + 1e-8) AS w FROM nd),
@@ -589,6 +657,7 @@ scored AS MATERIALIZED (
 
 
 SCORED_SQL = {p: scored_sql(p) for p in PROTOCOLS}
+RANKED_SQL = {p: f"{scored_sql(p, _whole_sql(p))},\nranked AS MATERIALIZED (SELECT *, {s} AS q, {'l' if s == 'd' else 'd'} AS c FROM scored)" for p, s in QUERY_SIDE.items()}
 
 
 def _add_scores(name: str, model: str):
@@ -620,72 +689,106 @@ for _p in PROTOCOLS:
     _add_eval("eval_warm" if _p == "warm" else f"eval_cold_{_p}", _p)
 
 
+def _add_native(protocol: str):
+    def f(spark, sf_dir):
+        e = metrics.average_precision(ranked(spark, sf_dir, protocol), ["model", "fold"])
+        return e.select("model", "fold", "n_pos", "n_neg", r("ap").alias("ap"), r("auroc").alias("auroc"))
+
+    f.__name__ = f"native_{protocol}"
+    f.__doc__ = "Average precision at native prevalence: all candidates of the query set."
+    query(f"WITH {RANKED_SQL[protocol]}, {_EVAL_SQL.replace('FROM scored', 'FROM ranked')} SELECT model, fold, n_pos, n_neg, round(ap, 6) AS ap, round(auroc, 6) AS auroc FROM ev")(f)
+
+
+for _p in PROTOCOLS:
+    _add_native(_p)
+
+
 # --- Metrics and reports ---------------------------------------------------------------------------------------------
-_TOP_SQL = "tops AS (SELECT *, row_number() OVER (PARTITION BY model, fold, d ORDER BY score DESC, l) AS rank FROM scored)"
+_TOP_SQL = "tops AS (SELECT *, row_number() OVER (PARTITION BY model, fold, q ORDER BY score DESC, c) AS rank FROM ranked)"
+_RECALL_SQL = ", ".join(f"sum(CASE WHEN rank <= {k} THEN label ELSE 0 END) AS h{k}" for k in (10, 20, 50))
+_RECALLS_SQL = " UNION ALL ".join(f"SELECT model, fold, CAST({k} AS BIGINT) AS k, count(*) AS n_queries, round(avg(h{k} / p), 6) AS recall FROM h GROUP BY 1, 2" for k in (10, 20, 50))
 
 
-@query(f"""WITH {SCORED_SQL['lncrna']}, {_TOP_SQL}, h AS (SELECT model, fold, d, sum(label) AS p, sum(CASE WHEN rank <= 5 THEN label ELSE 0 END) AS h5, sum(CASE WHEN rank <= 10 THEN label ELSE 0 END) AS h10 FROM tops GROUP BY 1, 2, 3 HAVING sum(label) > 0)
-SELECT model, fold, CAST(5 AS BIGINT) AS k, count(*) AS n_queries, round(avg(h5 / p), 6) AS recall FROM h GROUP BY 1, 2 UNION ALL SELECT model, fold, 10, count(*), round(avg(h10 / p), 6) FROM h GROUP BY 1, 2""")
-def recall_at_k(spark, sf_dir):
-    return metrics.recall_at(scored(spark, sf_dir, "lncrna"), ["model", "fold"], "d", "l", [5, 10]).select("model", "fold", "k", "n_queries", r("recall").alias("recall"))
+def _add_recall(name: str, protocol: str, doc: str):
+    def f(spark, sf_dir):
+        return metrics.recall_at(ranked(spark, sf_dir, protocol), ["model", "fold"], "q", "c", [10, 20, 50]).select("model", "fold", "k", "n_queries", r("recall").alias("recall"))
+
+    f.__name__, f.__doc__ = name, doc
+    query(f"WITH {RANKED_SQL[protocol]}, {_TOP_SQL}, h AS (SELECT model, fold, q, sum(label) AS p, {_RECALL_SQL} FROM tops GROUP BY 1, 2, 3 HAVING sum(label) > 0) {_RECALLS_SQL}")(f)
+
+
+_add_recall("recall_at_k", "lncrna", "Of each cold l of the query set, the share of its d among the 10, 20 and 50 best of all d.")
+_add_recall("recall_at_k_disease", "disease", "Of each cold d of the query set, the share of its l among the best of all l.")
+_add_recall("recall_warm", "warm", "Of each d of the query set, the share of its held-out l among the best of all l but those of the training block.")
 
 
-@query(f"""WITH {SCORED_SQL['both']}, t AS (SELECT *, row_number() OVER (PARTITION BY model, fold ORDER BY score DESC, l || '/' || d) AS rank FROM scored)
+@query(f"""WITH {RANKED_SQL['lncrna']}, t AS (SELECT *, row_number() OVER (PARTITION BY model, fold ORDER BY score DESC, l || '/' || d) AS rank FROM ranked)
 SELECT model, fold, count(*) AS n, round(avg(label), 6) AS precision FROM t WHERE rank <= 20 GROUP BY 1, 2""")
 def precision_at_k(spark, sf_dir):
-    tied = scored(spark, sf_dir, "both").withColumn("tie", F.concat_ws("/", "l", "d"))
+    """Share of known pairs among the 20 best of all candidates of the query set together."""
+    tied = ranked(spark, sf_dir, "lncrna").withColumn("tie", F.concat_ws("/", "l", "d"))
     return metrics.precision_at(tied, ["model", "fold"], 20, "tie").select("model", "fold", "n", r("precision").alias("precision"))
 
 
-@query(f"WITH {SCORED_SQL['lncrna']}, s AS (SELECT model, fold, l, stddev_pop(score) AS s FROM scored GROUP BY 1, 2, 3) SELECT model, fold, round(avg(s), 6) AS personalization FROM s GROUP BY 1, 2")
+@query(f"WITH {RANKED_SQL['lncrna']}, s AS (SELECT model, fold, c, stddev_pop(score) AS s FROM ranked GROUP BY 1, 2, 3) SELECT model, fold, round(avg(s), 6) AS personalization FROM s GROUP BY 1, 2")
 def personalization(spark, sf_dir):
-    return metrics.personalization(scored(spark, sf_dir, "lncrna"), ["model", "fold"], "l").select("model", "fold", r("personalization").alias("personalization"))
+    return metrics.personalization(ranked(spark, sf_dir, "lncrna"), ["model", "fold"], "c").select("model", "fold", r("personalization").alias("personalization"))
 
 
 _TAIL_SQL = "list_sum(list_transform(range({k}, least({g}, {m}) + 1), lambda i: exp(lgamma({g} + 1) - lgamma(i + 1) - lgamma({g} - i + 1) + CASE WHEN {m} - i <= {n} - {g} THEN lgamma({n} - {g} + 1) - lgamma({m} - i + 1) - lgamma({n} - {g} - {m} + i + 1) - (lgamma({n} + 1) - lgamma({m} + 1) - lgamma({n} - {m} + 1)) ELSE -1000 END)))"
 
 
-@query(f"""WITH {SCORED_SQL['lncrna']}, {_TOP_SQL}, a AS (SELECT model, d, fold, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS g, least(count(*), 20)::DOUBLE AS m, sum(CASE WHEN rank <= 20 THEN label ELSE 0 END)::DOUBLE AS k FROM tops GROUP BY 1, 2, 3)
-SELECT model, fold, d, CAST(k AS BIGINT) AS hits, round(m * g / n, 6) AS expected, round({_TAIL_SQL.format(k='CAST(k AS BIGINT)', g='CAST(g AS BIGINT)', m='CAST(m AS BIGINT)', n='CAST(n AS BIGINT)')}, 6) AS p FROM a WHERE g > 0""")
+@query(f"""WITH {RANKED_SQL['lncrna']}, tops AS (SELECT *, row_number() OVER (PARTITION BY model, fold, q ORDER BY score DESC, md5('2026/' || c), c) AS rank FROM ranked),
+a AS (SELECT model, q, fold, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS g, least(count(*), 20)::DOUBLE AS m, sum(CASE WHEN rank <= 20 THEN label ELSE 0 END)::DOUBLE AS k, count(DISTINCT score) AS n_scores FROM tops GROUP BY 1, 2, 3)
+SELECT model, fold, q, CAST(k AS BIGINT) AS hits, round(k / m, 6) AS precision, n_scores, n_scores <= 1 AS degenerate, round(m * g / n, 6) AS expected,
+round({_TAIL_SQL.format(k='CAST(k AS BIGINT)', g='CAST(g AS BIGINT)', m='CAST(m AS BIGINT)', n='CAST(n AS BIGINT)')}, 6) AS p FROM a WHERE g > 0""")
 def hits_at_k(spark, sf_dir):
-    s = scored(spark, sf_dir, "lncrna")
-    top = metrics.top_ranked(s, ["model", "fold", "d"], 20, "l").groupBy("model", "fold", "d").agg(F.sum("label").alias("hits"))
-    size = s.groupBy("model", "fold", "d").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("g")).withColumn("m", F.least("n", F.lit(20))).filter("g > 0")
-    both = size.join(top, ["model", "fold", "d"])
-    return both.select("model", "fold", "d", "hits", r(F.col("m") * F.col("g") / F.col("n")).alias("expected"), r(metrics.hypergeom_tail("hits", "n", "g", "m")).alias("p"))
+    """Hits among the 20 best of all candidates of each query, ties by hash; a scorer with one score for all is degenerate."""
+    s = ranked(spark, sf_dir, "lncrna").withColumn("tie", F.concat(F.md5(F.concat(F.lit("2026/"), "c")), "c"))
+    top = metrics.top_ranked(s, ["model", "fold", "q"], 20, "tie").groupBy("model", "fold", "q").agg(F.sum("label").alias("hits"))
+    size = s.groupBy("model", "fold", "q").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("g"), F.countDistinct("score").alias("n_scores")).withColumn("m", F.least("n", F.lit(20))).filter("g > 0")
+    both = size.join(top, ["model", "fold", "q"])
+    return both.select(
+        "model", "fold", "q", "hits", r(F.col("hits") / F.col("m")).alias("precision"), "n_scores", (F.col("n_scores") <= 1).alias("degenerate"),
+        r(F.col("m") * F.col("g") / F.col("n")).alias("expected"), r(metrics.hypergeom_tail("hits", "n", "g", "m")).alias("p"),
+    )
 
 
 @query(f"""WITH {SCORED_SQL['both']}, th AS (SELECT model, fold, score, sum(label)::DOUBLE AS tp, count(*)::DOUBLE AS n FROM scored GROUP BY 1, 2, 3),
 rk AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY model, fold ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS rank FROM th),
-s AS (SELECT model, fold, sum(tp) AS p, sum(n) - sum(tp) AS m, sum(tp * rank) - sum(tp) * (sum(tp) + 1) / 2 AS u FROM rk GROUP BY 1, 2)
-SELECT model, fold, round(u / (p * m), 6) AS auc, round((u - p * m / 2) / sqrt(p * m * (p + m + 1) / 12), 6) AS z FROM s WHERE p > 0 AND m > 0""")
+s AS (SELECT model, fold, sum(tp) AS p, sum(n) - sum(tp) AS m, sum(tp * rank) - sum(tp) * (sum(tp) + 1) / 2 AS u FROM rk GROUP BY 1, 2),
+x AS (SELECT model, fold, u / (p * m) AS auc, (u - p * m / 2) / sqrt(p * m * (p + m + 1) / 12) AS z FROM s WHERE p > 0 AND m > 0), y AS (SELECT *, abs(z) / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM x)
+SELECT model, fold, round(auc, 6) AS auc, round(z, 6) AS z, round(t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x), 6) AS p FROM y""")
 def auroc_mannwhitney(spark, sf_dir):
-    return metrics.mann_whitney(scored(spark, sf_dir, "both"), ["model", "fold"]).select("model", "fold", r("auc").alias("auc"), r("z").alias("z"))
+    return metrics.mann_whitney(scored(spark, sf_dir, "both"), ["model", "fold"]).select("model", "fold", *[r(c).alias(c) for c in ("auc", "z", "p")])
 
 
-@query(f"""WITH {SCORED_SQL['lncrna']}, deg AS (SELECT fold, d, count(*) AS deg FROM train GROUP BY 1, 2), m AS (SELECT model, fold, d, avg(score) AS s FROM scored GROUP BY 1, 2, 3),
-x AS (SELECT model, m.fold, row_number() OVER (PARTITION BY model, m.fold ORDER BY round(s, 9), d) AS a, row_number() OVER (PARTITION BY model, m.fold ORDER BY coalesce(deg, 0), d) AS b FROM m LEFT JOIN deg USING (fold, d))
+@query(f"""WITH {RANKED_SQL['lncrna']}, deg AS (SELECT fold, d AS c, count(*) AS deg FROM train GROUP BY 1, 2), m AS (SELECT model, fold, c, avg(score) AS s FROM ranked GROUP BY 1, 2, 3),
+x AS (SELECT model, m.fold, row_number() OVER (PARTITION BY model, m.fold ORDER BY round(s, 9), c) AS a, row_number() OVER (PARTITION BY model, m.fold ORDER BY coalesce(deg, 0), c) AS b FROM m LEFT JOIN deg USING (fold, c))
 SELECT model, fold, round(corr(a, b), 6) AS rho FROM x GROUP BY 1, 2""")
 def spearman_degree(spark, sf_dir):
-    """Rank correlation, ties by name, of a disease's mean score with its training degree."""
-    from pyspark.sql import Window as W
-
-    deg = blocks(spark, sf_dir, "lncrna")[0].groupBy("fold", "d").agg(F.count(F.lit(1)).alias("deg"))
-    m = scored(spark, sf_dir, "lncrna").groupBy("model", "fold", "d").agg(F.avg("score").alias("s")).join(deg, ["fold", "d"], "left")
-    w = W.partitionBy("model", "fold")
-    x = m.select("model", "fold", F.row_number().over(w.orderBy(F.round("s", 9), "d")).alias("a"), F.row_number().over(w.orderBy(F.coalesce("deg", F.lit(0)), "d")).alias("b"))
-    return x.groupBy("model", "fold").agg(r(F.corr("a", "b")).alias("rho"))
-
-
-@query(f"""WITH {SCORED_SQL['disease']}, deg AS (SELECT fold, l, count(*) AS deg FROM train GROUP BY 1, 2), s AS (SELECT c.* FROM scored AS c LEFT JOIN deg USING (fold, l) WHERE coalesce(deg, 0) <= 5),
-t AS (SELECT *, row_number() OVER (PARTITION BY model, fold ORDER BY score DESC, l || '/' || d) AS rank FROM s)
-SELECT model, fold, count(*) AS n_pool, sum(label)::BIGINT AS n_pos, sum(CASE WHEN rank <= 20 THEN label ELSE 0 END)::BIGINT AS hits FROM t GROUP BY 1, 2""")
+    """Rank correlation, ties by name, of a candidate's mean score over the query set with its training degree."""
+    deg = blocks(spark, sf_dir, "lncrna")[0].groupBy("fold", F.col("d").alias("c")).agg(F.count(F.lit(1)).alias("deg"))
+    m = ranked(spark, sf_dir, "lncrna").groupBy("model", "fold", "c").agg(F.round(F.avg("score"), 9).alias("s")).join(deg, ["fold", "c"], "left")
+    m = m.select("model", "fold", "c", "s", F.coalesce("deg", F.lit(0)).alias("deg"))
+    a = skew.number_within_key(m, ["model", "fold"], ["s", "c"]).select("model", "fold", "c", F.col("_seq").alias("a"))
+    b = skew.number_within_key(m, ["model", "fold"], ["deg", "c"]).select("model", "fold", "c", F.col("_seq").alias("b"))
+    return a.join(b, ["model", "fold", "c"]).groupBy("model", "fold").agg(r(F.corr("a", "b")).alias("rho"))
+
+
+@query(f"""WITH {RANKED_SQL['disease']}, deg AS (SELECT fold, l, count(*) AS deg FROM train GROUP BY 1, 2), s AS (SELECT x.* FROM ranked AS x LEFT JOIN deg USING (fold, l) WHERE coalesce(deg, 0) <= 5),
+one AS (SELECT l FROM core WHERE {bucket_sql('d', QUERY_SHARE['d'])} = 0 GROUP BY l HAVING count(*) = 1), t AS (SELECT s.*, one.l IS NOT NULL AS only_one, row_number() OVER (PARTITION BY model, fold, q ORDER BY score DESC, c) AS rank FROM s LEFT JOIN one USING (l))
+SELECT model, fold, q, count(*) AS n_pool, sum(label)::BIGINT AS n_pos, sum(CASE WHEN rank <= 20 THEN label ELSE 0 END)::BIGINT AS hits, sum(CASE WHEN only_one THEN label ELSE 0 END)::BIGINT AS n_only, sum(CASE WHEN rank <= 20 AND only_one THEN label ELSE 0 END)::BIGINT AS hits_only
+FROM t GROUP BY 1, 2, 3""")
 def pop_control(spark, sf_dir):
-    """Hits among the 20 best when hubs (training degree over 5) are out of the pool."""
+    """For each d of the query set, hits among the 20 best l when hubs (training degree over 5) are out of the pool; and those
+    hits that have no other d of the query set."""
     deg = blocks(spark, sf_dir, "disease")[0].groupBy("fold", "l").agg(F.count(F.lit(1)).alias("deg"))
-    s = cut(scored(spark, sf_dir, "disease").join(deg, ["fold", "l"], "left").filter("coalesce(deg, 0) <= 5").withColumn("tie", F.concat_ws("/", "l", "d")))
-    hits = metrics.top_ranked(s, ["model", "fold"], 20, "tie").groupBy("model", "fold").agg(F.sum("label").alias("hits"))
-    return s.groupBy("model", "fold").agg(F.count(F.lit(1)).alias("n_pool"), F.sum("label").alias("n_pos")).join(hits, ["model", "fold"])
+    one = core_of(spark, sf_dir).filter(V.bucket("d", QUERY_SHARE["d"]) == 0).groupBy("l").agg(F.count(F.lit(1)).alias("k")).filter("k = 1").select("l", F.lit(1).alias("only_one"))
+    s = ranked(spark, sf_dir, "disease").join(deg, ["fold", "l"], "left").filter("coalesce(deg, 0) <= 5").join(one, "l", "left").fillna(0, ["only_one"])
+    s = cut(s.withColumn("only", F.col("label") * F.col("only_one")))
+    hits = metrics.top_ranked(s, ["model", "fold", "q"], 20, "c").groupBy("model", "fold", "q").agg(F.sum("label").alias("hits"), F.sum("only").alias("hits_only"))
+    return s.groupBy("model", "fold", "q").agg(F.count(F.lit(1)).alias("n_pool"), F.sum("label").alias("n_pos"), F.sum("only").alias("n_only")).join(hits, ["model", "fold", "q"])
 
 
 def _bag_sql(x: str) -> str:
@@ -713,11 +816,11 @@ def external_agreement(spark, sf_dir):
     return x.select("d", F.col("g").alias("n_ours"), F.col("m").alias("n_ext"), F.col("k").alias("n_both"), (F.col("m") - F.col("k")).alias("n_novel"), r(F.col("m") * F.col("g") / F.col("n")).alias("expected"), r(metrics.hypergeom_tail("k", "n", "g", "m")).alias("p"))
 
 
-@query(f"""WITH {SCORED_SQL['lncrna']}, {_EXT_SQL}, c AS (SELECT DISTINCT d, l, score FROM scored WHERE model = 'knn_content' AND label = 0 AND score > 0), t AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY score DESC, l) AS rank FROM (SELECT d, l, max(score) AS score FROM c GROUP BY 1, 2))
+@query(f"""WITH {RANKED_SQL['disease']}, {_EXT_SQL}, t AS (SELECT d, l, score, row_number() OVER (PARTITION BY d ORDER BY score DESC, l) AS rank FROM ranked WHERE model = 'knn_content' AND label = 0 AND score > 0)
 SELECT t.d, t.l, round(score, 6) AS score, rank, ext.l IS NOT NULL AS in_second FROM t LEFT JOIN ext ON ext.d = t.d AND ext.l = t.l WHERE rank <= 20""")
 def novel_candidates(spark, sf_dir):
-    """The 20 best-scored unknown pairs of each disease, and whether the second corpus has them."""
-    c = scored(spark, sf_dir, "lncrna").filter("model = 'knn_content' and label = 0 and score > 0").groupBy("d", "l").agg(F.max("score").alias("score"))
+    """The 20 best-scored of all unknown pairs of each d of the query set, and whether the second corpus has them."""
+    c = ranked(spark, sf_dir, "disease").filter("model = 'knn_content' and label = 0 and score > 0")
     ext = external_pairs(spark, sf_dir).withColumn("in_second", F.lit(True))
     top = metrics.top_ranked(c, ["d"], 20, "l").join(ext, ["l", "d"], "left")
     return top.select("d", "l", r("score").alias("score"), "rank", F.coalesce("in_second", F.lit(False)).alias("in_second"))
@@ -736,14 +839,15 @@ def fold_summary(spark, sf_dir):
 
 
 @query(f"""{_VALUE_SQL}, df AS (SELECT b.model, a.value - b.value AS x FROM val AS a JOIN val AS b USING (fold) WHERE a.model = 'knn_content' AND b.model <> 'knn_content')
-SELECT model, count(x) AS n, round(avg(x), 6) AS mean_diff, round(CASE WHEN stddev_samp(x) > 0 THEN avg(x) / (stddev_samp(x) / sqrt(count(x))) END, 4) AS t, round(CASE WHEN stddev_samp(x) > 0 THEN avg(x) / stddev_samp(x) END, 4) AS d FROM df GROUP BY model""")
+SELECT model, count(x) AS n, round(avg(x), 6) AS mean_diff, round(CASE WHEN stddev_samp(x) > 0 THEN avg(x) / (stddev_samp(x) / sqrt(count(x))) END, 4) AS t, round(CASE WHEN stddev_samp(x) > 0 THEN avg(x) / stddev_samp(x) END, 4) AS d,
+CASE WHEN stddev_samp(x) > 0 AND count(x) = 5 THEN round(1 - 1.5 * abs(avg(x)) / sqrt(4 * var_samp(x) / 5 + avg(x) ** 2) * (1 - avg(x) ** 2 / (4 * var_samp(x) / 5 + avg(x) ** 2) / 3), 6) END AS p FROM df GROUP BY model""")
 def paired_stats(spark, sf_dir):
     v, out = evaluated(spark, sf_dir, "both"), None
     for other in MODELS:
         if other != "knn_content":
             one = metrics.paired(v, [], "fold", "model", "knn_content", other).withColumn("model", F.lit(other))
             out = one if out is None else out.unionByName(one)
-    return out.filter("n > 0").select("model", "n", r("mean_diff").alias("mean_diff"), r("t", 4).alias("t"), r("d", 4).alias("d"))
+    return out.filter("n > 0").select("model", "n", r("mean_diff").alias("mean_diff"), r("t", 4).alias("t"), r("d", 4).alias("d"), F.when(F.col("n") == 5, r("p")).alias("p"))
 
 
 @query(f"""{_VALUE_SQL}, o AS (SELECT model, value, row_number() OVER (PARTITION BY model ORDER BY fold) - 1 AS place, count(*) OVER (PARTITION BY model) AS n FROM val),

@@ -269,3 +269,58 @@ def test_results_skip_unreadable(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"model": "m", "v": 1.5}')
     (tmp_path / "b.json").write_text('{"model": ')
     assert [(r["model"], r["file"]) for r in formats.read_results(spark, str(tmp_path), "model string, v double").collect()] == [("m", "a.json")]
+
+
+# --- index, running sums, complete negatives ---------------------------------------------------------------------------
+def test_index_recall_against_brute_force(spark, sf, monkeypatch):
+    """63 lists of about 32 vectors; vectors that do not cluster, and vectors in clusters, for which few lists are enough."""
+    from pathlib import Path
+
+    monkeypatch.setattr(similarity, "LIST_SIZE", 32)
+    e = spark.read.parquet(f"{Path(sf).parent}/sf0.1/embeddings.parquet").select(F.col("vec_id").cast("string").alias("node"), V.as_double(F.col("embedding")).alias("vec"), F.lit(1).alias("g"))
+    queries = e.filter("node % 10 = 0")
+    near = lambda f: {(r["q"], r["node"]) for r in f(queries, e, 10, ["g"]).collect()}
+    exact, found = near(similarity.top_cosine), near(similarity.nearest)
+    assert len(exact & found) / len(exact) >= 0.9
+    rng = np.random.default_rng(5)
+    rows = [(str(i), list(map(float, rng.normal(0, 1, 16) * 0.1 + np.eye(16)[i % 16] * 3)), 1) for i in range(1500)]
+    e = spark.createDataFrame(rows, "node string, vec array<double>, g int")
+    queries = e.filter("node % 10 = 0")
+    exact, found = near(similarity.top_cosine), near(similarity.nearest)
+    assert len(exact & found) / len(exact) >= 0.9
+
+
+def test_running_sums_of_a_hot_key(spark):
+    rng = random.Random(6)
+    rows = [("hot" if i % 4 else f"k{i % 12}", rng.random(), rng.randint(0, 9), i) for i in range(4000)]
+    got = {r["i"]: r["_to_n"] for r in skew.running_sums(spark.createDataFrame(rows, "k string, o double, n bigint, i int").repartition(6), ["k"], ["o"], ["n"]).collect()}
+    total = defaultdict(int)
+    for k, _, n, i in sorted(rows, key=lambda r: r[1]):
+        total[k] += n
+        assert got[i] == total[k]
+
+
+def test_negatives_of_dense_folds(spark):
+    """Fold 1 has 9 of 16 cells known, fold 2 all but one, fold 3 all: 7, 1 and 0 negatives."""
+    cells = [(f, f"{f}l{i}", f"{f}d{j}") for f, skip in ((1, 7), (2, 1), (3, 0)) for n, (i, j) in enumerate((i, j) for i in range(4) for j in range(4)) if n >= skip]
+    pos = spark.createDataFrame(cells, "fold bigint, l string, d string")
+    neg = [tuple(r) for r in split.negatives(pos, pos.select("l", "d")).select("fold", "l", "d").collect()]
+    known = {c[1:] for c in cells}
+    assert len(neg) == len(set(neg)) and not {n[1:] for n in neg} & known
+    pools = {f: ({c[1] for c in cells if c[0] == f}, {c[2] for c in cells if c[0] == f}) for f in (1, 2, 3)}
+    want = {f: min(sum(c[0] == f for c in cells), len(a) * len(b) - sum(c[0] == f for c in cells)) for f, (a, b) in pools.items()}
+    assert {f: sum(n[0] == f for n in neg) for f in (1, 2, 3)} == want
+
+
+def test_p_values(spark):
+    import math
+
+    df = spark.createDataFrame([(0.5, 4), (-2.776, 4), (12.706, 1), (2.228, 10), (3.182, 3)], "t double, n int")
+    p = [r[0] for r in df.select(metrics.t_two_sided(F.col("t"), F.col("n"))).collect()]
+    assert p[1:] == pytest.approx([0.05] * 4, abs=1e-4) and p[0] == pytest.approx(0.6433, abs=1e-4)
+    e = [r[0] for r in spark.createDataFrame([(0.0,), (0.3,), (1.4,), (3.0,)], "x double").select(metrics.erfc(F.col("x"))).collect()]
+    assert e == pytest.approx([math.erfc(x) for x in (0.0, 0.3, 1.4, 3.0)], abs=2e-7)
+    rows = [(k, n, g, m) for n, g, m in ((50, 10, 7), (3000, 900, 100), (30, 30, 5), (30, 3, 30)) for k in range(0, min(g, m) + 1, 3)]
+    exact = lambda k, n, g, m: sum(math.comb(g, i) * math.comb(n - g, m - i) for i in range(k, min(g, m) + 1)) / math.comb(n, m)
+    got = [r[0] for r in spark.createDataFrame(rows, "k int, n int, g int, m int").select(metrics.hypergeom_tail("k", "n", "g", "m")).collect()]
+    assert got == pytest.approx([exact(*x) for x in rows], abs=1e-9)
