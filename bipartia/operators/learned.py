@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 
 from bipartia.functions.vectors import dot, l2_added
 from bipartia.operators.scoring import scorer
+from bipartia.operators.skew import number_within_key
 from bipartia.operators.split import negatives
 from bipartia.sources.tables import cut
 
 
+# Columns of contents whose matrices (a fold's are three of this squared) go to the driver.
+MAX_WIDTH = 2048
+
+
 def product(a, b):
     return F.zip_with(a, b, lambda x, y: x * y)
 
@@ -65,8 +70,15 @@ def product_logistic(train, asked, vec_l, vec_d):
 @scorer
 def factorization(train, asked, vec_l, vec_d, rank: int = 16):
     """Implicit-feedback matrix factorization; nodes without training pairs score 0."""
-    ids = lambda c: F.abs(F.hash(c))
-    rows, ask = cut(train.select("fold", ids("l").alias("i"), ids("d").alias("j"), F.lit(1.0).alias("r"))), cut(asked.select("fold", "l", "d", ids("l").alias("i"), ids("d").alias("j")))
+
+    def ids(c: str, name: str) -> DataFrame:
+        """Dense numbers, as no hash of 32 bits keeps nodes apart."""
+        nodes = train.select(c).union(asked.select(c)).distinct().withColumn("_all", F.lit(0))
+        return cut(number_within_key(nodes, ["_all"], [c]).select(c, F.col("_seq").cast("int").alias(name)))
+
+    i, j = ids("l", "i"), ids("d", "j")
+    rows = cut(train.join(i, "l").join(j, "d").select("fold", "i", "j", F.lit(1.0).alias("r")))
+    ask = cut(asked.select("fold", "l", "d").join(i, "l").join(j, "d"))
     out = None
     for (fold,) in ask.select("fold").distinct().orderBy("fold").collect():
         model = ALS(rank=rank, maxIter=8, regParam=0.05, implicitPrefs=True, alpha=10.0, userCol="i", itemCol="j", ratingCol="r", seed=7).fit(rows.filter(F.col("fold") == fold))
@@ -105,8 +117,13 @@ def inductive_ridge(train, asked, vec_l, vec_d, penalty: float = 1.0):
     """Bilinear form a' W b that fits the whole training block with ridge ``penalty``, all unobserved pairs being 0.
 
     Minimises |M - A W B'|^2 + penalty |W|^2 exactly: with eigenvectors U, V and values s, t of A'A and B'B,
-    W = U ((U' A'M B V) / (s t + penalty)) V'. The three matrices are summed over partitions and are as wide as the contents.
+    W = U ((U' A'M B V) / (s t + penalty)) V'. The three matrices are summed over partitions and are as wide as the contents,
+    which are at most MAX_WIDTH.
     """
+    for vecs in (vec_l, vec_d):
+        width = vecs.agg(F.max(F.size("vec"))).first()[0] or 0
+        if width > MAX_WIDTH:
+            raise ValueError(f"contents of {width} columns, at most {MAX_WIDTH} can be solved for on the driver")
     unit = lambda df, c: df.select(F.col("node").alias(c), l2_added(F.col("vec")).alias("_v"))
     a, b = cut(unit(vec_l, "l")), cut(unit(vec_d, "d"))
     own = lambda c, v: train.select("fold", c).distinct().join(v, c).select("fold", F.col("_v").alias("a"), F.col("_v").alias("b"))

@@ -63,6 +63,39 @@ def orphan_references(children: DataFrame, parents: DataFrame) -> DataFrame:
     )
 
 
+def orphan_counts(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """What ``orphan_report`` gives for the orphans of ``children``, from sums of the groups: no child is joined whose month
+    is wholly within or wholly outside the parent's periods.
+
+    Children are counted by field, key and month before they meet the parents in one group for each key. A group without
+    the parent flag gives its counts as they are, a group with it those of the months that no period touches; only the
+    months in which a period begins or ends are looked at row by row.
+    """
+    month = F.date_format("at", "yyyy-MM")
+    time = F.col("at").cast("timestamp_ntz")
+    cells = children.groupBy("parent_table", "key", "ref_field", month.alias("month")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"), F.min(time).alias("lo"), F.max(time).alias("hi")
+    )
+    period = F.struct(F.col("begins").cast("timestamp_ntz").alias("begins"), F.col("ends").cast("timestamp_ntz").alias("ends")).alias("period")
+    cell = F.struct("ref_field", "month", "n", "first", "lo", "hi").alias("cell")
+    tagged = cells.select("parent_table", "key", F.lit(False).alias("is_parent"), cell, F.lit(None).cast("struct<begins:timestamp_ntz,ends:timestamp_ntz>").alias("period"))
+    tagged = tagged.unionByName(parents.select("parent_table", "key", F.lit(True).alias("is_parent"), period), allowMissingColumns=True)
+    groups = tagged.groupBy("parent_table", "key").agg(F.max("is_parent").alias("has_parent"), F.collect_list("cell").alias("cells"), F.collect_list("period").alias("periods"))
+    each = groups.select("parent_table", "key", "has_parent", "periods", F.explode("cells").alias("c")).select("parent_table", "key", "has_parent", "periods", "c.*")
+    within = F.exists("periods", lambda p: (p["begins"] <= F.col("lo")) & (p["ends"].isNull() | (p["ends"] > F.col("hi"))))
+    touched = F.exists("periods", lambda p: (p["begins"] <= F.col("hi")) & (p["ends"].isNull() | (p["ends"] > F.col("lo"))))
+    state = F.when(~F.coalesce(touched, F.lit(False)), "out").when(within, "in").otherwise("mixed")
+    each = cut(each.select("parent_table", "key", "ref_field", "month", "n", "first", "has_parent", state.alias("state")))
+    whole = each.filter("state = 'out'").select("ref_field", "month", F.when(F.col("has_parent"), "not_then").otherwise("never").alias("missing"), "n", "first")
+    # A month is mixed only where a parent's period begins or ends in it.
+    mixed = each.filter("state = 'mixed'").select("parent_table", "key", "ref_field", "month")
+    rows = children.withColumn("month", month).join(mixed, ["parent_table", "key", "ref_field", "month"], "left_semi").drop("month")
+    single = orphan_references(rows, parents.join(mixed.select("parent_table", "key").distinct(), ["parent_table", "key"], "left_semi"))
+    both = whole.unionByName(single.select("ref_field", month.alias("month"), "missing", F.lit(1).cast("bigint").alias("n"), F.col("row_id").alias("first")))
+    names = F.split("ref_field", r"\.")
+    return both.groupBy(names[0].alias("tab"), names[1].alias("field"), "month", "missing").agg(F.sum("n").alias("n_orphans"), F.min("first").alias("first_row_id"))
+
+
 def orphan_report(orphans: DataFrame) -> DataFrame:
     """Orphans counted for each table, field and month of loading; a null time is its own period."""
     month = F.date_format("at", "yyyy-MM")

@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bipartia.functions.text import folded
-from bipartia.sources.tables import cut
+from bipartia.operators.skew import join_lookup, join_salted
+from bipartia.sources.tables import cut, release
+
+
+SMALL = 500_000
 
 
 def resolve_ids(rows: DataFrame, terms: DataFrame, key: str, out: str) -> DataFrame:
@@ -28,16 +32,41 @@ def kcore(pairs: DataFrame, min_l: int, min_d: int) -> DataFrame:
     """The largest set of pairs in which every l has at least min_l and every d at least min_d of them.
 
     Both degrees of a round come from the same pairs; rounds go on until no pair is dropped. Degrees are counted before
-    the shuffle; each round's pairs are written.
+    the shuffle; each round's pairs are written, those of the round before removed. Hot nodes are joined apart (see
+    join_lookup) where there are more than SMALL pairs, which one task could hold.
     """
     n, pairs = -1, cut(pairs)
     while n != (n := pairs.count()):
-        keep_l = pairs.groupBy("l").count().filter(F.col("count") >= min_l).select("l")
-        keep_d = pairs.groupBy("d").count().filter(F.col("count") >= min_d).select("d")
-        pairs = cut(pairs.join(keep_l, "l", "left_semi").join(keep_d, "d", "left_semi").select("l", "d"))
+        kept, used = pairs, [pairs]
+        for c, least in (("l", min_l), ("d", min_d)):
+            degree = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+            if n <= SMALL:
+                kept = kept.join(degree.filter(F.col("n") >= least).select(c), c, "left_semi")
+                continue
+            degree = cut(degree)
+            kept = join_lookup(kept, degree.filter(F.col("n") >= least).select(c), c, degree, "n", "inner")
+            used.append(degree)
+        pairs = cut(kept.select("l", "d"))
+        release(*used)
     return pairs
 
 
+def gene_cascade(values: DataFrame, genes: DataFrame) -> DataFrame:
+    """(symbol, ens), both folded, to an approved symbol by the first route that knows it: the symbol itself, the gene with the
+    Ensembl id, an alias, a previous name: symbol, ens, approved, route. Ties by the lowest hgnc_id."""
+    one = lambda key, name: genes.select(key.alias(name), "symbol", "hgnc_id").filter(F.col(name) != "").groupBy(name).agg(F.min_by("symbol", "hgnc_id").alias(f"_{name}"))
+    out = values
+    for key, name, on in ((folded("symbol"), "direct", "symbol"), (folded("ensembl_gene_id"), "by_ens", "ens")):
+        out = out.join(one(key, name).withColumnRenamed(name, on), on, "left")
+    for c, name in (("alias_symbol", "alias"), ("prev_symbol", "previous")):
+        each = genes.select(F.explode(F.split(F.coalesce(c, F.lit("")), r"\|")).alias("n"), F.col("symbol").alias("s"), "hgnc_id")
+        each = each.select(folded("n").alias("symbol"), "s", "hgnc_id").filter("symbol <> ''").groupBy("symbol").agg(F.min_by("s", "hgnc_id").alias(f"_{name}"))
+        out = out.join(each, "symbol", "left")
+    routes = ["direct", "by_ens", "alias", "previous"]
+    route = F.coalesce(*[F.when(F.col(f"_{n}").isNotNull(), n) for n in routes], F.lit("none"))
+    return out.select("symbol", "ens", F.coalesce(*[F.col(f"_{n}") for n in routes]).alias("approved"), route.alias("route"))
+
+
 def name_cascade(values: DataFrame, genes: DataFrame) -> DataFrame:
     """Folded ``value`` -> symbol by the first route that knows it: approved, alias, previous; ties by lowest hgnc_id."""
 
@@ -128,6 +157,7 @@ def wang_similarity(anc: DataFrame, queries: Column) -> DataFrame:
     s = anc.select("term", "anc", F.pow(F.lit(0.5), "dist").alias("s"))
     sv = s.groupBy("term").agg(F.sum("s").alias("sv"))
     a = s.filter(queries).select(F.col("term").alias("a"), "anc", F.col("s").alias("sa"))
-    common = a.join(s.select(F.col("term").alias("b"), "anc", F.col("s").alias("sb")), "anc").groupBy("a", "b").agg(F.sum(F.col("sa") + F.col("sb")).alias("c"))
+    # Every term has the root: its terms are met in parts.
+    common = join_salted(a, s.select("anc", F.col("term").alias("b"), F.col("s").alias("sb")), "anc").groupBy("a", "b").agg(F.sum(F.col("sa") + F.col("sb")).alias("c"))
     with_a = common.join(sv.select(F.col("term").alias("a"), F.col("sv").alias("va")), "a")
     return with_a.join(sv.select(F.col("term").alias("b"), F.col("sv").alias("vb")), "b").select("a", "b", (F.col("c") / (F.col("va") + F.col("vb"))).alias("sim"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bipartia.functions.vectors import uniform
+from bipartia.functions.vectors import dot, l2_added, uniform
 from bipartia.operators.similarity import nearest
 
 # A scorer: (train pairs, asked pairs, contents of l, contents of d), each by fold, to fold, l, d, score.
@@ -75,6 +75,40 @@ def neighbour_popularity(train: DataFrame, asked: DataFrame, vec_l: DataFrame, v
     return both.select("fold", "l", "d", F.round(F.coalesce("m", F.lit(0.0)) * (F.coalesce("dd", F.lit(0)) + 1), 9).alias("score"))
 
 
+@scorer
+def knn_one_sided(train: DataFrame, asked: DataFrame, vec_l: DataFrame, vec_d: DataFrame, k: int = 10) -> DataFrame:
+    """Training rows of the k diseases nearest to a cold one, weighted by cosine (at least 1e-8); popularity of l for a
+    disease that is in training."""
+    of = lambda df: df.select("fold", "d").distinct()
+    cold, vec = of(asked).join(of(train), ["fold", "d"], "left_anti"), vec_d.withColumnRenamed("node", "d")
+    placed = lambda df: df.join(vec, "d").select("fold", F.col("d").alias("node"), "vec")
+    top = nearest(placed(cold), placed(of(train)), k, ["fold"]).withColumn("w", F.greatest("sim", F.lit(0.0)) + F.lit(1e-8))
+    total = top.groupBy("fold", "q").agg(F.sum("w").alias("t"))
+    w = top.join(total, ["fold", "q"]).select("fold", F.col("q").alias("d"), F.col("node").alias("b"), (F.col("w") / F.col("t")).alias("w"))
+    score = w.join(train.select("fold", "l", F.col("d").alias("b")), ["fold", "b"]).groupBy("fold", "l", "d").agg(F.sum("w").alias("near"))
+    degree = train.groupBy("fold", "l").agg(F.count(F.lit(1)).cast("double").alias("deg"))
+    both = asked.select("fold", "l", "d").join(score, ["fold", "l", "d"], "left").join(degree, ["fold", "l"], "left")
+    both = both.join(cold.withColumn("is_cold", F.lit(True)), ["fold", "d"], "left")
+    chosen = F.when(F.col("is_cold"), F.coalesce("near", F.lit(0.0))).otherwise(F.coalesce("deg", F.lit(0.0)))
+    return both.select("fold", "l", "d", F.round(chosen, 9).alias("score"))
+
+
+@scorer
+def content_popularity(train: DataFrame, asked: DataFrame, vec_l: DataFrame, vec_d: DataFrame) -> DataFrame:
+    """(Sum over training l of their cosine to l times their degree) times the degree of d.
+
+    The sum over all training l is one product: of the unit vector of l with the sum of theirs times their degrees, so that no
+    pair of l is formed.
+    """
+    unit = vec_l.select(F.col("node").alias("l"), l2_added(F.col("vec")).alias("u"))
+    degree = train.groupBy("fold", "l").agg(F.count(F.lit(1)).alias("deg"))
+    each = degree.join(unit, "l").select("fold", "deg", F.posexplode("u").alias("i", "x")).groupBy("fold", "i").agg(F.sum(F.col("deg") * F.col("x")).alias("x"))
+    pull = F.broadcast(each.groupBy("fold").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("pull")))  # one row for each fold
+    dd = train.groupBy("fold", "d").agg(F.count(F.lit(1)).alias("dd"))
+    both = asked.select("fold", "l", "d").join(unit, "l", "left").join(pull, "fold", "left").join(dd, ["fold", "d"], "left")
+    return both.select("fold", "l", "d", (F.coalesce(dot(F.col("u"), F.col("pull")), F.lit(0.0)) * F.coalesce("dd", F.lit(0))).alias("score"))
+
+
 def score_all(train: DataFrame, asked: DataFrame, vec_l: DataFrame, vec_d: DataFrame, only: list[str]) -> DataFrame:
     """Scores of several models for ``asked`` (fold, l, d, label): model, fold, l, d, label, score."""
     out = None

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bipartia.functions.vectors import as_double, bucket
+from bipartia.operators.skew import join_salted
 from bipartia.sources.tables import cut
 
 # Rows of a block in the block product of queries and corpus.
@@ -22,7 +23,8 @@ def content(nodes: DataFrame, embeddings: DataFrame) -> DataFrame:
     gets the zero vector, which stands for missing content."""
     n = embeddings.count()
     vecs = embeddings.select(F.col("vec_id").alias("_v"), as_double(F.col("embedding")).alias("vec"))
-    zero = F.array_repeat(F.lit(0.0), 64)
+    width = embeddings.select(F.size("embedding").alias("n")).groupBy().agg(F.max("n")).first()[0] or 0
+    zero = F.array_repeat(F.lit(0.0), width)
     return nodes.select("node", bucket("node", n + n // 10).alias("_v")).join(vecs, "_v", "left").select("node", F.coalesce("vec", zero).alias("vec"))
 
 
@@ -121,7 +123,7 @@ def top_cosine(queries: DataFrame, corpus: DataFrame, k: int, group: list[str],
 def cooccurrence(pairs: DataFrame, is_query) -> DataFrame:
     """Shared d of query l (a) with every l that shares one (b): a, b, n."""
     a = pairs.filter(is_query).select(F.col("l").alias("a"), "d")
-    return a.join(pairs.select(F.col("l").alias("b"), "d"), "d").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return join_salted(a, pairs.select("d", F.col("l").alias("b")), "d").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def profile_pairs(queries: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -198,7 +200,7 @@ def walks(pairs: DataFrame, is_query, hops: int) -> DataFrame:
     out = step.select("q", F.lit(1).cast("bigint").alias("hop"), "node", "n")
     for h in range(2, hops + 1):
         a, b = ("d", "l") if h % 2 == 0 else ("l", "d")
-        step = step.join(pairs.select(F.col(a).alias("node"), F.col(b).alias("to")), "node").groupBy("q", "to").agg(F.sum("n").alias("n")).withColumnRenamed("to", "node")
+        step = join_salted(step, pairs.select(F.col(a).alias("node"), F.col(b).alias("to")), "node").groupBy("q", "to").agg(F.sum("n").alias("n")).withColumnRenamed("to", "node")
         out = out.unionByName(step.select("q", F.lit(h).cast("bigint").alias("hop"), "node", "n"))
     return out
 

@@ -123,6 +123,22 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, counts: DataFrame,
     return join_hot(rows, lookup, key, hot_keys(counts, key, n, total), how)
 
 
+def join_salted(rows: DataFrame, other: DataFrame, key: str, part: int = 50_000) -> DataFrame:
+    """Inner equi-join on ``key`` where ``other`` may hold many rows of one key: those are met in parts of about ``part``
+    rows, to each of which the key's ``rows`` go. Keys with more than one part are at most rows of other / part, so that
+    their list is broadcast. Null keys match nothing.
+    """
+    load = other.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(part)).cast("int").alias("_parts")).filter("_parts > 1")
+    load = cut(load)
+    if load.isEmpty():
+        return rows.join(other, key)
+    load = F.broadcast(load)
+    parts = F.coalesce("_parts", F.lit(1))
+    right = other.join(load, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*[c for c in other.columns if c != key]), parts)).drop("_parts")
+    left = rows.join(load, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), (parts - 1).cast("bigint")))).drop("_parts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def long_form(df: DataFrame, fields: dict[str, Column], other: dict[str, Column], keep: list[str]) -> DataFrame:
     """One row per field of each row: key_field, key_value, partner and the kept columns."""
     items = [F.struct(F.lit(name).alias("key_field"), c.alias("key_value"), other[name].alias("partner")) for name, c in fields.items()]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bipartia.functions import vectors as V
@@ -135,7 +136,7 @@ def kcore_fixpoint(spark, sf_dir):
     return core_of(spark, sf_dir)
 
 
-_GRID = [(2, 2), (2, 5), (5, 2), (5, 5)]
+_GRID = [(a, b) for a in range(2, 6) for b in range(2, 6)]
 
 
 @query(f"WITH {PAIRS_SQL},\n" + ",\n".join(kcore_sql(f"c{a}{b}", "pairs", a, b) for a, b in _GRID) + "\n" + "\nUNION ALL ".join(f"SELECT CAST({a} AS BIGINT) AS min_l, CAST({b} AS BIGINT) AS min_d, count(*) AS n_pairs, count(DISTINCT l) AS n_l, count(DISTINCT d) AS n_d FROM c{a}{b}" for a, b in _GRID))
@@ -143,7 +144,7 @@ def kcore_grid(spark, sf_dir):
     out, cores = None, {}
     for a, b in _GRID:
         # A core lies inside every looser core, so the tightest one found so far that is looser is the start.
-        start = max((k for k in cores if k[0] <= a and k[1] <= b), default=None)
+        start = max((k for k in cores if k[0] <= a and k[1] <= b), key=sum, default=None)
         cores[a, b] = prep.kcore(cores[start] if start else pairs_of(spark, sf_dir), a, b)
         one = cores[a, b].agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("l").alias("n_l"), F.countDistinct("d").alias("n_d"))
         one = one.select(F.lit(a).cast("bigint").alias("min_l"), F.lit(b).cast("bigint").alias("min_d"), "n_pairs", "n_l", "n_d")
@@ -261,6 +262,50 @@ def wang_similarity(spark, sf_dir):
     return prep.wang_similarity(_closure(spark, sf_dir), is_query("term")).select("a", "b", r("sim").alias("sim"))
 
 
+_NAMES_SQL = ", ".join(
+    f"{n} AS (SELECT {fold_sql('x')} AS k, arg_min(symbol, hgnc_id) AS s FROM (SELECT {x} AS x, symbol, hgnc_id FROM hgnc_complete_set) WHERE {fold_sql('x')} <> '' GROUP BY 1)"
+    for n, x in (("g1", "symbol"), ("g2", "ensembl_gene_id"), ("g3", "unnest(string_split(alias_symbol, '|'))"), ("g4", "unnest(string_split(prev_symbol, '|'))"))
+)
+
+
+@query(f"""WITH {_NAMES_SQL}, v AS (SELECT DISTINCT {fold_sql('symbol')} AS symbol, {fold_sql("split_part(ens, '.', 1)")} AS ens FROM diseases_textmined)
+SELECT v.symbol, ens, coalesce(g1.s, g2.s, g3.s, g4.s) AS approved, CASE WHEN g1.s IS NOT NULL THEN 'direct' WHEN g2.s IS NOT NULL THEN 'by_ens' WHEN g3.s IS NOT NULL THEN 'alias'
+WHEN g4.s IS NOT NULL THEN 'previous' ELSE 'none' END AS route FROM v LEFT JOIN g1 ON g1.k = v.symbol LEFT JOIN g2 ON g2.k = ens LEFT JOIN g3 ON g3.k = v.symbol LEFT JOIN g4 ON g4.k = v.symbol""")
+def gene_cascade(spark, sf_dir):
+    """Text-mined genes to approved symbols by symbol, Ensembl id without version, alias and previous name."""
+    values = table(spark, sf_dir, "diseases_textmined").select(folded("symbol").alias("symbol"), folded(F.substring_index("ens", ".", 1)).alias("ens")).distinct()
+    return prep.gene_cascade(values, table(spark, sf_dir, "hgnc_complete_set"))
+
+
+def _kmers_sql(k: int) -> str:
+    return f"""SELECT {k} AS k, urs, kmer, n / sqrt(sum(n::DOUBLE * n) OVER (PARTITION BY urs)) AS x FROM (SELECT urs, kmer, count(*) AS n
+  FROM (SELECT urs, substr(seq, i, {k}) AS kmer FROM (SELECT urs, seq, unnest(range(1, length(seq) - {k - 2})) AS i FROM seqs)) WHERE kmer NOT LIKE '%N%' GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_SEQ_SQL}, v AS ({_kmers_sql(3)} UNION ALL {_kmers_sql(4)})
+SELECT urs, count(*) AS n_terms, count(*) FILTER (k = 3) AS n_three, round(sum(x * x), 9) AS length2, arg_max(kmer, (round(x, 12), kmer)) FILTER (k = 4) AS top_four FROM v GROUP BY urs""")
+def kmer_concat(spark, sf_dir):
+    """Vectors of 3-mers and 4-mers, each of length 1, side by side (320 columns): what is known of each."""
+    seqs = cut(_seqs(spark, sf_dir))
+    both = [prep.kmer_spectrum(seqs, k).select("urs", F.lit(k).alias("k"), "kmer", F.col("unit").alias("x")) for k in (3, 4)]
+    four = F.max_by("kmer", F.when(F.col("k") == 4, F.struct(F.round("x", 12), "kmer"))).alias("top_four")
+    out = both[0].unionByName(both[1]).groupBy("urs").agg(F.count(F.lit(1)).alias("n_terms"), F.count_if(F.col("k") == 3).alias("n_three"), r(F.sum(F.col("x") * F.col("x")), 9).alias("length2"), four)
+    return out
+
+
+# Patterns of disease names, in any case. Fixed values.
+PATTERNS = {"tumour": "cancer|carcinoma|tumou?r|neoplasm|sarcoma|lymphoma|leuk", "syndrome": "syndrome|disease", "numbered": "[0-9]"}
+
+
+@query("SELECT pattern, regexp_matches(coalesce(disease_name, ''), rule, 'i') AS hit, count(*) AS n_rows, count(DISTINCT disease_name) AS n_names FROM website_alldata, (VALUES "
+       + ", ".join(f"('{k}', '{v}')" for k, v in PATTERNS.items()) + ") AS p(pattern, rule) GROUP BY 1, 2")
+def pattern_counts(spark, sf_dir):
+    """Rows and names that a pattern is found in; a null name is none of them."""
+    names = table(spark, sf_dir, "website_alldata").groupBy("disease_name").agg(F.count(F.lit(1)).alias("n"))
+    hits = [F.struct(F.lit(k).alias("pattern"), F.coalesce(F.col("disease_name").rlike(f"(?i)(?:{v})"), F.lit(False)).alias("hit")) for k, v in PATTERNS.items()]
+    return names.select("disease_name", "n", F.explode(F.array(*hits)).alias("x")).groupBy("x.pattern", "x.hit").agg(F.sum("n").alias("n_rows"), F.count("disease_name").alias("n_names"))
+
+
 # --- Contents and similarities ---------------------------------------------------------------------------------------
 def _both_contents(spark, sf_dir):
     both = [contents(spark, sf_dir, a).select(F.lit(a).alias("axis"), "node", "vec") for a in ("l", "d")]
@@ -450,6 +495,38 @@ def foldin_scores(spark, sf_dir):
     return similarity.weighted_rows(_near(spark, sf_dir, 10), core_of(spark, sf_dir), F.col("sim")).select("q", "d", r("score").alias("score"))
 
 
+_IMPUTE = 5
+
+
+def _sides_sql(axis: str, name: str, only: str) -> str:
+    return f"""{name} AS MATERIALIZED (SELECT q, node, power(0.7::DOUBLE, rank - 1) * sim / (sum(sim) OVER (PARTITION BY q) + 1e-8) AS w FROM (SELECT a.node AS q, b.node, {COS_SQL} AS sim,
+  row_number() OVER (PARTITION BY a.node ORDER BY {COS_SQL} DESC, b.node) AS rank FROM content AS a, content AS b WHERE a.axis = '{axis}' AND b.axis = '{axis}' AND a.node <> b.node{only}) WHERE rank <= {_IMPUTE} AND sim > 0)"""
+
+
+@query(f"""WITH {CORE_SQL}, {CONTENT_SQL}, {_sides_sql('l', 'wl', f" AND {bucket_sql('a.node', 50)} = 0")}, {_sides_sql('d', 'wd', '')},
+y AS MATERIALIZED (SELECT q AS l, d, sum(w) AS v FROM wl JOIN core ON l = node GROUP BY 1, 2), own AS (SELECT l, d, 1.0::DOUBLE AS v FROM core WHERE {bucket_sql('l', 50)} = 0),
+parts AS (SELECT * FROM y UNION ALL SELECT l, q, sum(v * w) FROM own JOIN wd ON node = d GROUP BY 1, 2 UNION ALL SELECT l, q, sum(v * w) FROM y JOIN wd ON node = d GROUP BY 1, 2)
+SELECT l, d, round(max(v), 6) AS v FROM (SELECT l, d, sum(v) / 3 AS v FROM parts GROUP BY 1, 2 UNION ALL SELECT * FROM own) GROUP BY 1, 2""")
+def wknkn_both(spark, sf_dir):
+    """Rows of query l imputed from the nearest known l, from the nearest d, and from both: the mean of the three, and at least
+    what is observed. Weights 0.7 ** place * similarity over the sum of similarities, positive ones only."""
+
+    def weights(axis: str, only):
+        vec = contents(spark, sf_dir, axis)
+        top = similarity.nearest(vec.filter(only), vec, _IMPUTE + 1, [], positive=True).filter("q <> node")
+        top = top.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy("rank"))).filter(F.col("place") <= _IMPUTE)  # six rows for each q
+        total = top.groupBy("q").agg(F.sum("sim").alias("t"))
+        return cut(top.join(total, "q").select("q", "node", (F.pow(F.lit(0.7), F.col("place") - 1) * F.col("sim") / (F.col("t") + F.lit(1e-8))).alias("w")))
+
+    core = core_of(spark, sf_dir)
+    wl, wd = weights("l", is_query("node")), weights("d", F.lit(True))
+    rows = cut(skew.join_salted(wl, core.select(F.col("l").alias("node"), "d"), "node").groupBy(F.col("q").alias("l"), "d").agg(F.sum("w").alias("v")))
+    own = core.filter(is_query("l")).select("l", "d", F.lit(1.0).alias("v"))
+    columns = lambda y: y.join(wd.withColumnsRenamed({"q": "to", "node": "d"}), "d").groupBy("l", F.col("to").alias("d")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    mean = rows.unionByName(columns(own)).unionByName(columns(rows)).groupBy("l", "d").agg((F.sum("v") / 3).alias("v"))
+    return mean.unionByName(own).groupBy("l", "d").agg(r(F.max("v")).alias("v"))
+
+
 # --- Folds, negatives, scores ----------------------------------------------------------------------------------------
 def _folds_sql(name: str, cols: str, source: str, tag: str) -> str:
     return f"{name} AS MATERIALIZED (SELECT {cols}, CAST(ntile(5) OVER (ORDER BY md5(concat_ws('/', '2026', '{tag}', {cols})), {cols}) AS BIGINT) AS fold FROM (SELECT DISTINCT {cols} FROM {source}))"
@@ -671,6 +748,28 @@ def _add_scores(name: str, model: str):
 for _name, _model in (("score_random", "random"), ("score_popularity", "popularity"), ("score_popularity_one_sided", "popularity_one_sided"), ("score_knn_content", "knn_content"), ("score_template", "neighbour_popularity")):
     _add_scores(_name, _model)
 
+_UNIT_SQL = "unit AS MATERIALIZED (SELECT node AS l, list_transform(vec, lambda x: x / (len + 1e-8)) AS u FROM content WHERE axis = 'l')"
+
+
+def _add_more_scores(name: str, model: str, protocol: str, sql: str):
+    """Scores of a model that the evaluations do not hold, for the evaluated pairs of a protocol."""
+
+    def f(spark, sf_dir):
+        asked = cut(scored(spark, sf_dir, protocol).filter("model = 'random'").select("fold", "l", "d", "label"))
+        out = score_all(cut(blocks(spark, sf_dir, protocol)[0]), asked, contents(spark, sf_dir, "l"), contents(spark, sf_dir, "d"), [model])
+        return out.select("fold", "l", "d", F.col("label").cast("bigint").alias("label"), r("score", 4).alias("score"))
+
+    f.__name__ = name
+    query(f"WITH {SCORED_SQL[protocol]}, {sql}")(f)
+
+
+_add_more_scores("score_knn_one_sided", "knn_one_sided", "disease", """near_d AS (SELECT fold, q AS d, node AS b, (w + 1e-8) / sum(w + 1e-8) OVER (PARTITION BY fold, q) AS w FROM nd),
+near_s AS (SELECT n.fold, l, n.d, sum(w) AS s FROM near_d AS n JOIN train AS t ON t.fold = n.fold AND t.d = n.b GROUP BY 1, 2, 3)
+SELECT fold, l, d, CAST(label AS BIGINT) AS label, round(coalesce(s, 0), 4) AS score FROM asked LEFT JOIN near_s USING (fold, l, d)""")
+_add_more_scores("score_content_popularity", "content_popularity", "lncrna", f"""{_UNIT_SQL}, pull AS (SELECT a.fold, a.l, sum(list_dot_product(x.u, y.u) * dl) AS s
+FROM (SELECT DISTINCT fold, l FROM asked) AS a JOIN dl ON dl.fold = a.fold JOIN unit AS x ON x.l = a.l JOIN unit AS y ON y.l = dl.l GROUP BY 1, 2)
+SELECT fold, l, d, CAST(label AS BIGINT) AS label, round(coalesce(s, 0) * coalesce(dd, 0), 4) AS score FROM asked LEFT JOIN pull USING (fold, l) LEFT JOIN dd USING (fold, d)""")
+
 _EVAL_SQL = """th AS (SELECT model, fold, score, sum(label)::DOUBLE AS tp, count(*)::DOUBLE AS n FROM scored GROUP BY 1, 2, 3),
 cu AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM th WINDOW w AS (PARTITION BY model, fold ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
 ev AS (SELECT model, fold, CAST(sum(tp) AS BIGINT) AS n_pos, CAST(sum(n) - sum(tp) AS BIGINT) AS n_neg, sum(tp * ctp / cn) / sum(tp) AS ap, sum((n - tp) * (ctp - tp / 2)) / (sum(tp) * (sum(n) - sum(tp))) AS auroc FROM cu GROUP BY 1, 2)"""
@@ -826,6 +925,20 @@ def novel_candidates(spark, sf_dir):
     return top.select("d", "l", r("score").alias("score"), "rank", F.coalesce("in_second", F.lit(False)).alias("in_second"))
 
 
+@query(f"""WITH {PAIRS_SQL}, t AS (SELECT {_bag_sql('name')} AS bag, min(id) AS id FROM doid_terms GROUP BY 1),
+w AS (SELECT DISTINCT {fold_sql('ncrna_symbol')} AS l, t.id AS d, {fold_sql('pubmed_id')} AS pmid FROM website_alldata AS w JOIN t ON t.bag = {_bag_sql('w.disease_name')} WHERE t.bag <> '' AND {fold_sql('pubmed_id')} <> '')
+SELECT l, d, count(*) AS n_papers, array_to_string(list_sort(list(pmid))[1:3], '|') AS first_papers FROM w JOIN pairs USING (l, d) GROUP BY 1, 2""")
+def external_support(spark, sf_dir):
+    """Papers of the second corpus for pairs of the first: how many, and the first three in order."""
+    names = table(spark, sf_dir, "doid_terms").groupBy(word_bag("name").alias("bag")).agg(F.min("id").alias("d")).filter("bag <> ''")
+    web = table(spark, sf_dir, "website_alldata").select(folded("ncrna_symbol").alias("l"), word_bag("disease_name").alias("bag"), folded("pubmed_id").alias("pmid")).filter("pmid <> ''")
+    papers = web.join(names, "bag").select("l", "d", "pmid").distinct().join(pairs_of(spark, sf_dir), ["l", "d"], "left_semi")
+    # The three least are kept in order of their number, so that no pair's papers are gathered.
+    placed = skew.number_within_key(papers, ["l", "d"], ["pmid"])
+    first = F.array_join(F.array_sort(F.collect_list(F.when(F.col("_seq") < 3, F.col("pmid")))), "|")
+    return placed.groupBy("l", "d").agg(F.count(F.lit(1)).alias("n_papers"), first.alias("first_papers"))
+
+
 def evaluated(spark, sf_dir, protocol):
     return kept(f"evaluated_{protocol}", spark, sf_dir, lambda: metrics.average_precision(scored(spark, sf_dir, protocol), ["model", "fold"]).select("model", "fold", F.round("ap", 9).alias("value")))
 
@@ -887,6 +1000,15 @@ def margin(spark, sf_dir):
     return m.groupBy("protocol").agg(F.max_by("model", other).alias("best_other"), r(F.max(other)).alias("other"), r(mine - F.max(other)).alias("margin"))
 
 
+@query(f"""WITH {_MEANS_SQL}, p AS (SELECT model, protocol, value, row_number() OVER (PARTITION BY model ORDER BY CASE protocol WHEN 'both' THEN 1 WHEN 'disease' THEN 2 WHEN 'lncrna' THEN 3 ELSE 4 END) AS place FROM means WHERE value >= 0.55)
+SELECT model, protocol, printf('%.3f', value) AS shown FROM p WHERE place = 1""")
+def preferred_result(spark, sf_dir):
+    """Results of several runs merged by model: the hardest protocol with a mean of at least 0.55 wins; shown to three digits."""
+    rank = F.element_at(F.create_map(*[F.lit(x) for i, p in enumerate(("both", "disease", "lncrna", "warm")) for x in (p, i)]), F.col("protocol"))
+    best = _all_means(spark, sf_dir).filter("value >= 0.55").groupBy("model").agg(F.min_by(F.struct("protocol", "value"), rank).alias("x"))
+    return best.select("model", "x.protocol", F.format_string("%.3f", "x.value").alias("shown"))
+
+
 @query(f"""WITH {_MEANS_SQL}, a AS (SELECT model, round(value, 3) AS actual FROM means WHERE protocol = 'both'), e AS (SELECT model, round(value, 3) AS expected FROM means WHERE protocol = 'lncrna')
 SELECT model, actual, expected FROM a FULL JOIN e USING (model) WHERE actual IS DISTINCT FROM expected""")
 def golden_compare(spark, sf_dir):

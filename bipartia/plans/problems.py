@@ -23,7 +23,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_profile(spark, sf_dir).filter(F.col("n_rows") * 50 >= F.lit(total)).select("key_field", "key_value")
 
 
-def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Children and parents of all three references."""
     main, mined = table(spark, sf_dir, "rnadisease"), table(spark, sf_dir, "diseases_textmined")
     terms, seqs = table(spark, sf_dir, "doid_terms"), table(spark, sf_dir, "lncrna_seq")
     children = (
@@ -35,15 +36,15 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = orphans.parents_valid(terms, "doid_terms", ids, "created_at", "obsoleted_at").unionByName(
         orphans.parents_newest(seqs, "lncrna_seq", folded("urs"), "fetched_at", ~is_blank("seq"))
     )
-    return orphans.orphan_references(children, parents)
+    return children, parents
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orphans(spark, sf_dir).select("ref_field", F.col("row_id").cast("bigint").alias("row_id"))
+    return orphans.orphan_references(*_references(spark, sf_dir)).select("ref_field", F.col("row_id").cast("bigint").alias("row_id"))
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphans.orphan_report(_orphans(spark, sf_dir))
+    return orphans.orphan_counts(*_references(spark, sf_dir))
 
 
 QUERIES = {"p3_found": p3_found, "p3_profile": p3_profile, "p5_found": p5_found, "p5_report": p5_report}

@@ -52,15 +52,20 @@ def write_obo(terms: DataFrame, path: str) -> None:
 
 
 def read_gct(spark: SparkSession, path: str) -> DataFrame:
-    """Expression values in GCT text (also gzip): two lines before the header, then name, symbol, values.
+    """Expression values in GCT text (also gzip), one or many files: two lines before the header, then name, symbol, values.
 
-    name without version, symbol, tissues (map of tissue to value). The header is the line that begins with Name.
+    name without version, symbol, tissues (map of tissue to value). A file's header is its line that begins with Name; each
+    file's rows go by their own header, parts of a written folder without one by the first header of all. Rows of another
+    width than their header are left out; without any header nothing is read.
     """
-    lines = spark.read.text(path).select(F.split("value", "\t").alias("f"))
-    header = lines.filter(F.lower(F.element_at("f", 1)) == "name").select(F.slice("f", 3, 100_000).alias("tissue")).limit(1)  # the one header line
-    rows = lines.filter((F.size("f") > 3) & (F.lower(F.element_at("f", 1)) != "name")).crossJoin(F.broadcast(header))
-    values = F.transform(F.slice("f", 3, 100_000), lambda x: x.try_cast("double"))
-    return rows.select(F.substring_index(F.col("f")[0], ".", 1).alias("name"), F.col("f")[1].alias("symbol"), F.map_from_arrays("tissue", values).alias("tissues"))
+    lines = spark.read.text(path).select(F.split("value", "\t").alias("f"), F.col("_metadata.file_path").alias("_file"))
+    is_header = (F.lower(F.element_at("f", 1)) == "name") & (F.size("f") > 2)
+    header = lines.filter(is_header).groupBy("_file").agg(F.first(F.expr("slice(f, 3, greatest(size(f) - 2, 0))")).alias("own"))  # one row for each file
+    first = F.broadcast(header.agg(F.min_by("own", "_file").alias("any")))  # one row
+    rows = lines.filter(~is_header).join(header, "_file", "left").crossJoin(first).withColumn("tissue", F.coalesce("own", "any"))
+    rows = rows.filter(F.size("f") == F.size("tissue") + 2)
+    values = F.transform(F.expr("slice(f, 3, greatest(size(f) - 2, 0))"), lambda x: x.try_cast("double"))
+    return rows.select(F.substring_index(F.col("f")[0], ".", 1).alias("name"), F.col("f")[1].alias("symbol"), F.when(F.size("f") == F.size("tissue") + 2, F.map_from_arrays("tissue", values)).alias("tissues"))
 
 
 def read_json_map(spark: SparkSession, path: str, value: str) -> DataFrame:

@@ -18,12 +18,18 @@ def window_counts(events: DataFrame, late: str = "2 hours", size: str = "1 day")
 
 
 def run_once(counts: DataFrame, spark: SparkSession) -> DataFrame:
-    """Run a streaming aggregate over what has arrived, with state and progress in the shared folder, and read its table."""
+    """Run a streaming aggregate over what has arrived, with state and progress in the shared folder, and read its table.
+
+    Each batch stores the windows that it changed; the last state of a window is its total. Windows that the watermark has
+    passed are dropped from the state, which stays as large as the windows still open.
+    """
     at = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
-    def store(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/table")
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/table/batch={number}")
 
-    query = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).foreachBatch(store).start()
+    query = counts.writeStream.outputMode("update").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).foreachBatch(store).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{at}/table")
+    keys = [c for c in counts.columns if c not in ("n", "total")]
+    last = F.max_by(F.struct("n", "total"), "batch").alias("x")
+    return spark.read.parquet(f"{at}/table").groupBy(*keys).agg(last).select(*keys, "x.*")

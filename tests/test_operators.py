@@ -324,3 +324,57 @@ def test_p_values(spark):
     exact = lambda k, n, g, m: sum(math.comb(g, i) * math.comb(n - g, m - i) for i in range(k, min(g, m) + 1)) / math.comb(n, m)
     got = [r[0] for r in spark.createDataFrame(rows, "k int, n int, g int, m int").select(metrics.hypergeom_tail("k", "n", "g", "m")).collect()]
     assert got == pytest.approx([exact(*x) for x in rows], abs=1e-9)
+
+
+def test_orphan_counts_equal_the_report_of_rows(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["hot", "hot", "a", "b", "none", "-", None]), DAY + dt.timedelta(hours=rng.randint(0, 24 * 400)) if i % 50 else None, rng.choice("xy")) for i in range(4000)]
+    child = spark.createDataFrame(rows, "id bigint, ref string, at timestamp, key string")
+    kids = orphans.child_references(child.filter("key = 'x'"), "t.ref", "p", "ref", "id", "at").unionByName(orphans.child_references(child.filter("key = 'y'"), "u.ref", "p", "ref", "id", "at"))
+    d = lambda n: DAY + dt.timedelta(days=n)
+    periods = [(["HOT"], d(10), d(75)), (["HOT"], d(75), d(160)), (["HOT"], d(300), None), (["A"], d(-5), None), (["B"], d(500), None)]
+    parents = orphans.parents_valid(spark.createDataFrame(periods, "keys array<string>, begins timestamp, ends timestamp"), "p", F.col("keys"), "begins", "ends")
+    for some in (parents, parents.limit(0)):
+        want = sorted(map(str, orphans.orphan_report(orphans.orphan_references(kids, some)).collect()))
+        got = orphans.orphan_counts(kids, some)
+        assert sorted(map(str, got.select("tab", "field", "month", "missing", "n_orphans", "first_row_id").collect())) == want and len(want) > 5
+    assert orphans.orphan_counts(kids.limit(0), parents).count() == 0
+
+
+def test_salted_join_equals_plain_join(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(5)] + [("k", 9), (None, 1)], "k string, a int")
+    right = spark.createDataFrame([("hot", i) for i in range(200)] + [("hot", 1), ("k", 1), ("z", 1), (None, 1)], "k string, b int")
+    want = sorted(map(str, left.join(right, "k").select("k", "a", "b").collect()))
+    for part in (7, 1000):
+        assert sorted(map(str, skew.join_salted(left, right, "k", part).select("k", "a", "b").collect())) == want
+
+
+def test_kcore_with_joins_of_hot_nodes(spark, monkeypatch):
+    rng = random.Random(11)
+    pairs = spark.createDataFrame({(f"l{rng.randint(0, 40)}", "hot" if rng.random() < 0.4 else f"d{rng.randint(0, 30)}") for _ in range(300)}, "l string, d string")
+    want = sorted(map(tuple, prep.kcore(pairs, 2, 3).collect()))
+    monkeypatch.setattr(prep, "SMALL", 0)
+    assert sorted(map(tuple, prep.kcore(pairs, 2, 3).collect())) == want and want
+
+
+def test_gct_of_one_sample_and_of_many_files(spark, tmp_path):
+    (tmp_path / "a.gct").write_text("#1.2\n1\t1\nName\tDescription\tliver\nE1.5\tAB\t1.5\n")
+    (tmp_path / "b.gct").write_text("#1.2\n1\t2\nName\tDescription\tskin\tlung\nE2\tCD\t2\t3\n\n")
+    got = {r["name"]: r["tissues"] for r in formats.read_gct(spark, str(tmp_path)).collect()}
+    assert got == {"E1": {"liver": 1.5}, "E2": {"skin": 2.0, "lung": 3.0}}
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "c.gct").write_text("#1.2\nE1.5\tAB\t1.5\n")
+    assert formats.read_gct(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_scorers_of_further_models(spark):
+    from bipartia.operators import scoring as S
+
+    train = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (1, "b", "y")], "fold bigint, l string, d string")
+    asked = spark.createDataFrame([(1, "a", "z"), (1, "b", "z"), (1, "c", "y")], "fold bigint, l string, d string")
+    vec_l = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [3.0, 4.0])], "node string, vec array<double>")
+    vec_d = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0]), ("z", [0.6, 0.8])], "node string, vec array<double>")
+    one = {(r["l"], r["d"]): r["score"] for r in S.knn_one_sided(train, asked, vec_l, vec_d).collect()}
+    assert one == {("a", "z"): pytest.approx(1.0), ("b", "z"): pytest.approx(0.8 / 1.4), ("c", "y"): 0.0}
+    pop = {(r["l"], r["d"]): r["score"] for r in S.content_popularity(train, asked, vec_l, vec_d).collect()}
+    assert pop == {("a", "z"): 0.0, ("b", "z"): 0.0, ("c", "y"): pytest.approx((0.6 * 2 + 0.8 * 1) * 2, abs=1e-6)}
