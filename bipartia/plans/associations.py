@@ -12,13 +12,13 @@ from bipartia.functions import vectors as V
 from bipartia.functions.text import folded, is_blank, squeezed, word_bag
 from bipartia.operators import metrics, prep, similarity, skew, split
 from bipartia.operators.scoring import score_all
-from bipartia.sources.tables import cut, table
+from bipartia.sources.tables import cut, state_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 CORE = (2, 5)
 MODELS = ["random", "popularity", "popularity_one_sided", "knn_content", "neighbour_popularity"]
-# Tables that several queries start from, written once for a session and folder.
+# Tables that several queries start from, written once for a session and the state of a folder.
 _kept: dict[tuple, DataFrame] = {}
 
 
@@ -33,7 +33,8 @@ def query(sql: str | None = None):
 
 
 def kept(name: str, spark: SparkSession, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
-    key = (name, spark.sparkContext.applicationId, sf_dir)
+    # A table that is written anew is another table.
+    key = (name, spark.sparkContext.applicationId, sf_dir, state_of(spark, sf_dir))
     if key not in _kept:
         _kept[key] = cut(make())
     return _kept[key]

@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def state_of(spark: SparkSession, folder: str) -> tuple:
+    """Names, times and sizes of what lies in a folder, by which a changed table is told from the one read before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in files))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session. Only where none is set (tests) is a temporary one made."""
     sc = spark.sparkContext
