@@ -41,3 +41,19 @@ def l2_floored(a: Column, eps: float = 1e-8) -> Column:
 
 def cosine(a: Column, b: Column, eps: float = 1e-8) -> Column:
     return dot(a, b) / ((norm(a) + F.lit(eps)) * (norm(b) + F.lit(eps)))
+
+
+def scrubbed(v: Column) -> Column:
+    """Numbers that are none (NaN), infinite or null become 0."""
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+    return F.transform(v, lambda x: F.when(bad(x), F.lit(0.0)).otherwise(x))
+
+
+def asserted(v: Column, width: int) -> Column:
+    """The vector itself; the query fails where it has another width or a number that is not finite."""
+    wrong = v.isNull() | (F.size(v) != width) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return F.when(~wrong, v).otherwise(F.raise_error(F.lit(f"not a finite vector of {width} numbers")).cast("array<double>"))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))

@@ -319,6 +319,26 @@ def content_reindex(spark, sf_dir):
     return _both_contents(spark, sf_dir).select("axis", "node", (n > 0).alias("known"), r(n).alias("length"), r(F.col("vec")[0]).alias("first"))
 
 
+@query("""SELECT CAST(len(embedding) AS BIGINT) AS width, count(*) AS n, round(sum(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN isfinite(x) THEN x ELSE 0 END))), 3) AS total FROM embeddings GROUP BY 1""")
+def content_check(spark, sf_dir):
+    """Vectors with what is not finite made 0, and checked for their width while they are read."""
+    e = table(spark, sf_dir, "embeddings").select(V.scrubbed(V.as_double(F.col("embedding"))).alias("v"))
+    width = e.select(F.size("v").alias("w")).first()[0]
+    v = e.select(V.asserted(F.col("v"), width).alias("v"))
+    return v.groupBy(F.size("v").cast("bigint").alias("width")).agg(F.count(F.lit(1)).alias("n"), r(F.sum(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)), 3).alias("total"))
+
+
+@query("""SELECT split_part(coalesce(symbol, ''), '-', 1) = coalesce(symbol, '') AS plain, count(*) AS n, round(avg(1 / (1 + exp(-z))), 6) AS squashed, round(avg(greatest(z - 2, 0)), 6) AS above,
+round(avg(least(greatest(z, 1), 3)), 6) AS clipped, round(avg(abs(z - 2.5)), 6) AS away FROM diseases_textmined GROUP BY 1""")
+def elementwise(spark, sf_dir):
+    """Means of z after sigmoid, cut at 2, clipped to 1..3, and its distance from 2.5."""
+    z, symbol = F.col("z"), F.coalesce("symbol", F.lit(""))
+    return table(spark, sf_dir, "diseases_textmined").groupBy((F.substring_index(symbol, "-", 1) == symbol).alias("plain")).agg(
+        F.count(F.lit(1)).alias("n"), r(F.avg(V.sigmoid(z))).alias("squashed"), r(F.avg(F.greatest(z - 2, F.lit(0.0)))).alias("above"),
+        r(F.avg(F.least(F.greatest(z, F.lit(1.0)), F.lit(3.0)))).alias("clipped"), r(F.avg(F.abs(z - 2.5))).alias("away"),
+    )
+
+
 @query(f"""WITH {CORE_SQL}, {CONTENT_SQL}, v AS (SELECT axis, node, list_concat(list_transform(vec, lambda x: x / (len + 1e-8)), list_transform(vec[1:8], lambda x: x / greatest(sqrt(list_sum(list_transform(vec[1:8], lambda y: y * y))), 1e-8))) AS c FROM content)
 SELECT axis, node, CAST(len(c) AS BIGINT) AS dims, round(sqrt(list_sum(list_transform(c, lambda x: x * x))), 6) AS length, round(c[65], 6) AS second FROM v""")
 def content_concat_l2(spark, sf_dir):
@@ -909,11 +929,16 @@ def external_pairs(spark, sf_dir):
 b AS (SELECT d, count(*) AS k FROM pairs JOIN ext USING (l, d) GROUP BY d), x AS (SELECT d, g, m, coalesce(k, 0) AS k, n FROM o JOIN e USING (d) LEFT JOIN b USING (d), n)
 SELECT d, g AS n_ours, m AS n_ext, k AS n_both, m - k AS n_novel, round(m * g / n, 6) AS expected, round({_TAIL_SQL.format(k='k', g='g', m='m', n='n')}, 6) AS p FROM x""")
 def external_agreement(spark, sf_dir):
+    x = _agreement(spark, sf_dir)
+    return x.select("d", F.col("g").alias("n_ours"), F.col("m").alias("n_ext"), F.col("k").alias("n_both"), (F.col("m") - F.col("k")).alias("n_novel"), r(F.col("m") * F.col("g") / F.col("n")).alias("expected"), r(metrics.hypergeom_tail("k", "n", "g", "m")).alias("p"))
+
+
+def _agreement(spark, sf_dir):
+    """For each d of both corpora: pairs of ours (g), of theirs (m), of both (k), and all l (n)."""
     ours, ext = pairs_of(spark, sf_dir), cut(external_pairs(spark, sf_dir))
     n = ours.select("l").union(ext.select("l")).distinct().agg(F.count(F.lit(1)).alias("n"))
     count = lambda df, name: df.groupBy("d").agg(F.count(F.lit(1)).alias(name))
-    x = count(ours, "g").join(count(ext, "m"), "d").join(count(ours.join(ext, ["l", "d"], "left_semi"), "k"), "d", "left").fillna(0, ["k"]).crossJoin(F.broadcast(n))
-    return x.select("d", F.col("g").alias("n_ours"), F.col("m").alias("n_ext"), F.col("k").alias("n_both"), (F.col("m") - F.col("k")).alias("n_novel"), r(F.col("m") * F.col("g") / F.col("n")).alias("expected"), r(metrics.hypergeom_tail("k", "n", "g", "m")).alias("p"))
+    return count(ours, "g").join(count(ext, "m"), "d").join(count(ours.join(ext, ["l", "d"], "left_semi"), "k"), "d", "left").fillna(0, ["k"]).crossJoin(F.broadcast(n))
 
 
 @query(f"""WITH {RANKED_SQL['disease']}, {_EXT_SQL}, t AS (SELECT d, l, score, row_number() OVER (PARTITION BY d ORDER BY score DESC, l) AS rank FROM ranked WHERE model = 'knn_content' AND label = 0 AND score > 0)
@@ -940,6 +965,31 @@ def external_support(spark, sf_dir):
     return placed.groupBy("l", "d").agg(F.count(F.lit(1)).alias("n_papers"), first.alias("first_papers"))
 
 
+@query(f"""WITH {PAIRS_SQL}, {_EXT_SQL}, n AS (SELECT count(*) AS n FROM (SELECT l FROM pairs UNION SELECT l FROM ext)), o AS (SELECT d, count(*) AS g FROM pairs GROUP BY d), e AS (SELECT d, count(*) AS m FROM ext GROUP BY d),
+b AS (SELECT d, count(*) AS k FROM pairs JOIN ext USING (l, d) GROUP BY d), x AS (SELECT d, g, m, coalesce(k, 0) AS k, n FROM o JOIN e USING (d) LEFT JOIN b USING (d), n),
+p AS (SELECT d, k, {_TAIL_SQL.format(k='k', g='g', m='m', n='n')} AS p FROM x)
+SELECT d, split_part(name, ' (', 1) AS label, k AS n_both, CASE WHEN p < 0.0001 THEN '<1e-4' ELSE printf('%.4f', p) END AS shown FROM p JOIN doid_terms ON id = d""")
+def agreement_report(spark, sf_dir):
+    """Agreement with the second corpus as a table is printed: short labels, small p as a bound."""
+    x = _agreement(spark, sf_dir).select("d", F.col("k").alias("n_both"), metrics.hypergeom_tail("k", "n", "g", "m").alias("p"))
+    names = table(spark, sf_dir, "doid_terms").select(F.col("id").alias("d"), F.substring_index("name", " (", 1).alias("label"))
+    return x.join(names, "d").select("d", "label", "n_both", F.when(F.col("p") < 0.0001, "<1e-4").otherwise(F.format_string("%.4f", "p")).alias("shown"))
+
+
+@query(f"""WITH {RANKED_SQL['disease']}, {_EXT_SQL}, t AS (SELECT d, l, row_number() OVER (PARTITION BY d ORDER BY score DESC, l) AS rank FROM ranked WHERE model = 'knn_content' AND label = 0),
+x AS (SELECT t.d, count(*)::BIGINT AS n, count(e.l)::BIGINT AS g, count(e.l) FILTER (rank <= 20)::BIGINT AS h20, count(e.l) FILTER (rank <= 50)::BIGINT AS h50 FROM t LEFT JOIN ext AS e ON e.d = t.d AND e.l = t.l GROUP BY 1)
+SELECT d, n AS n_unknown, g AS n_novel, h20, h50, round(20.0 * g / n, 6) AS expected20, round({_TAIL_SQL.format(k='h20', g='g', m='least(20, n)', n='n')}, 6) AS p20 FROM x WHERE g > 0""")
+def external_hits(spark, sf_dir):
+    """For each d of the query set, how many pairs that only the second corpus has are among the 20 and 50 best unknown ones."""
+    ext = external_pairs(spark, sf_dir).withColumn("_novel", F.lit(1))
+    c = ranked(spark, sf_dir, "disease").filter("model = 'knn_content' and label = 0").join(ext, ["l", "d"], "left").withColumn("novel", F.coalesce("_novel", F.lit(0)))
+    top = metrics.top_ranked(c, ["d"], 50, "l")
+    hits = top.groupBy("d").agg(F.sum(F.when(F.col("rank") <= 20, F.col("novel")).otherwise(0)).alias("h20"), F.sum("novel").alias("h50"))
+    x = c.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.sum("novel").alias("g")).filter("g > 0").join(hits, "d")
+    p = metrics.hypergeom_tail(F.col("h20"), F.col("n"), F.col("g"), F.least(F.lit(20), F.col("n")))
+    return x.select("d", F.col("n").alias("n_unknown"), F.col("g").alias("n_novel"), "h20", "h50", r(F.lit(20.0) * F.col("g") / F.col("n")).alias("expected20"), r(p).alias("p20"))
+
+
 def evaluated(spark, sf_dir, protocol):
     return kept(f"evaluated_{protocol}", spark, sf_dir, lambda: metrics.average_precision(scored(spark, sf_dir, protocol), ["model", "fold"]).select("model", "fold", F.round("ap", 9).alias("value")))
 
