@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -809,6 +810,28 @@ for _p in PROTOCOLS:
     _add_eval("eval_warm" if _p == "warm" else f"eval_cold_{_p}", _p)
 
 
+# Ten draws of negatives at once: fold * 10 + draw takes the fold's place.
+_TEN_SQL = f"""pos10 AS MATERIALIZED (SELECT fold * 10 + i AS fold, l, d FROM pos, (SELECT unnest(range(0, 10)) AS i)), {re.sub(r'\bpos\b', 'pos10', _NEG_SQL)},
+asked AS MATERIALIZED (SELECT fold, l, d, 1 AS label FROM pos UNION ALL SELECT DISTINCT fold // 10, l, d, 0 FROM neg)"""
+
+
+@query(f"""WITH {scored_sql('both', _TEN_SQL)}, each AS (SELECT model, fold * 10 + i AS fold, label, score FROM scored, (SELECT unnest(range(0, 10)) AS i) WHERE label = 1
+  UNION ALL SELECT model, n.fold, 0, score FROM neg AS n JOIN scored AS s ON s.fold = n.fold // 10 AND s.l = n.l AND s.d = n.d AND label = 0), {_EVAL_SQL.replace('FROM scored', 'FROM each')}
+SELECT model, fold // 10 AS fold, count(*) AS n_draws, round(avg(ap), 6) AS ap, round(stddev_pop(ap), 6) AS ap_std, round(avg(auroc), 6) AS auroc FROM ev GROUP BY 1, 2""")
+def eval_ten_draws(spark, sf_dir):
+    """Mean over ten draws of negatives of the 1:1 average precision and AUROC on both-cold folds; every pair is scored once."""
+    train, pos = (cut(x) for x in blocks(spark, sf_dir, "both"))
+    draws = F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")
+    pos10 = cut(pos.select("fold", "l", "d", draws).select((F.col("fold") * 10 + F.col("i")).alias("fold"), "l", "d"))
+    neg = cut(split.negatives(pos10, core_of(spark, sf_dir)))
+    drawn = pos10.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0))).withColumnRenamed("fold", "f10").withColumn("fold", F.floor(F.col("f10") / 10).cast("bigint"))
+    asked = cut(drawn.select("fold", "l", "d").distinct())
+    s = cut(score_all(train, asked, contents(spark, sf_dir, "l"), contents(spark, sf_dir, "d"), MODELS))
+    e = metrics.average_precision(drawn.join(s, ["fold", "l", "d"]), ["model", "f10"])
+    by = e.groupBy("model", F.floor(F.col("f10") / 10).cast("bigint").alias("fold"))
+    return by.agg(F.count(F.lit(1)).alias("n_draws"), r(F.avg("ap")).alias("ap"), r(F.stddev_pop("ap")).alias("ap_std"), r(F.avg("auroc")).alias("auroc"))
+
+
 def _add_native(protocol: str):
     def f(spark, sf_dir):
         e = metrics.average_precision(ranked(spark, sf_dir, protocol), ["model", "fold"])
