@@ -34,6 +34,7 @@ _INVISIBLE = re.compile("[­᠎​-‏‪-‮⁠-⁤﻿︀-️]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]{1,3}[^\W_](?![^\W_])){2,}")
 _SENTENCE = re.compile(r"[.!?;。！？؟]+(?=\s|$)|[。！？\r\n]+|(?<=\w)\.(?=\s)")
 _TOKEN = re.compile(r"(?:[^\W_]|[*$@](?=[^\W_*])|(?<=[^\W_*])\*+)+")
+_PLAIN = re.compile(r"[^\W_]+")
 _REPEAT = re.compile(r"([^*])\1+")
 _CODE = re.compile(r"^(?=.*\d)[\w]+$")
 
@@ -50,11 +51,19 @@ def sentences(text: str | None) -> list[str]:
     Names and signs of tags are left out, the words inside a tag are a sentence like others."""
     if not text:
         return []
-    text = _TAG.sub("\n", _INVISIBLE.sub("", text))
+    if not text.isascii():
+        text = _INVISIBLE.sub("", text)
+    if "<" in text or ">" in text:
+        text = _TAG.sub("\n", text)
     text = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]+", "", m.group()), text)
     return [s for s in _SENTENCE.split(text) if s and not s.isspace()]
 
 
+def words_of(sentence: str) -> list[str]:
+    masked = "*" in sentence or "$" in sentence or "@" in sentence
+    return (_TOKEN if masked else _PLAIN).findall(sentence)
+
+
 def plain_word(word: str) -> str:
     """A word in lower case without accents, lookalikes, letter signs and repeated letters; numbers become 0."""
     w = "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
@@ -116,18 +125,18 @@ class Speller:
         return w
 
 
-class Reader:
+class Reader(dict):
     """The number that stands for a word as it is written: a hash of its known spelling, odd if that is all letters."""
 
     def __init__(self, speller: Speller):
-        self.speller, self.cache = speller, {}
-
-    def __call__(self, word: str) -> int:
-        if (got := self.cache.get(word)) is None:
-            if len(self.cache) > 500_000:
-                self.cache.clear()
-            known = self.speller(word)
-            got = self.cache[word] = xxhash.xxh64_intdigest(known.encode("utf-8", "replace")) & ~1 | known.isalpha()
+        super().__init__()
+        self.speller = speller
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        known = self.speller(word)
+        got = self[word] = xxhash.xxh64_intdigest(known.encode("utf-8", "replace")) & ~1 | known.isalpha()
         return got
 
 
@@ -153,11 +162,11 @@ def buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(8) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def pieces(text: str | None, speller) -> list[tuple]:
-    """The sentences of a text, each word as ``speller`` has it, long ones in windows."""
+def pieces(text: str | None, reader: Reader) -> list[tuple[int, ...]]:
+    """The sentences of a text in the numbers of their words, long ones in windows."""
     out = []
     for s in sentences(text):
-        if ws := [speller(w) for w in _TOKEN.findall(s)]:
+        if ws := [reader[w] for w in words_of(s)]:
             starts = range(0, len(ws) - WINDOW // 2, WINDOW // 2) if len(ws) > WINDOW else (0,)
             out += [tuple(ws[i : i + WINDOW]) for i in starts]
     return out
@@ -292,7 +301,7 @@ def _vocabulary(read: DataFrame, rare: int = 2) -> Speller:
     def count(batches):
         for b in batches:
             n: Counter[str] = Counter()
-            for w, k in Counter(w for t in b.column(0).to_pylist() for x in sentences(t) for w in _TOKEN.findall(x)).items():
+            for w, k in Counter(w for t in b.column(0).to_pylist() for x in sentences(t) for w in words_of(x)).items():
                 n[plain_word(w)] += k
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
