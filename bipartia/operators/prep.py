@@ -35,9 +35,11 @@ def kcore(pairs: DataFrame, min_l: int, min_d: int) -> DataFrame:
     the shuffle; each round's pairs are written, those of the round before removed. Hot nodes are joined apart (see
     join_lookup) where there are more than SMALL pairs, which one task could hold.
     """
-    n, pairs = -1, cut(pairs)
+    # A written table is taken as it is, and stays.
+    given, n = hasattr(pairs, "_cut_path"), -1
+    pairs = pairs if given else cut(pairs)
     while n != (n := pairs.count()):
-        kept, used = pairs, [pairs]
+        kept, used, given = pairs, [] if given else [pairs], False
         for c, least in (("l", min_l), ("d", min_d)):
             degree = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
             if n <= SMALL:
