@@ -241,6 +241,24 @@ def test_bloom_in_rounds(spark, monkeypatch):
     assert len(out) == 2300 and all(r["maybe"] for r in out if n[r["h"]] > 1)
 
 
+def test_one_bounded_filter_at_a_time(spark, monkeypatch):
+    """However many rows, a filter is never larger than ROUND_BYTES, and it is gone before the next one is made."""
+    from pyspark import SparkContext
+
+    monkeypatch.setattr(formatdups, "ROUND_BYTES", formatdups.SEGMENT_BITS // 8)
+    sent, original = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda sc, value: sent.append(original(sc, value)) or sent[-1])
+    values = [int(x) for x in np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 1500)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values + values[:200])], "h bigint, i int").sortWithinPartitions("h")
+    for rows, turns in ((60_000, 1), (400_000, 7)):
+        sent.clear()
+        kept = formatdups.possible_repeats(df, rows, lambda t: t.filter("maybe").select("i"))
+        assert len(sent) == turns and {r["i"] for r in kept.collect()} >= {*range(200), *range(1500, 1700)}
+        for b in sent:
+            with pytest.raises(Exception):
+                b._jbroadcast.value()
+
+
 def test_repeats_and_collapse(spark):
     rows = [("a", 5, "x", 0), ("a", 3, "x", 0), ("a", 9, "y", 0), ("b", 3, "x", 0), ("b", 4, None, 0), ("b", 6, None, 0), ("c", 1, "h", 1), *[("c", i, "h", 1) for i in range(2, 200)]]
     df = spark.createDataFrame(rows, "tab string, id bigint, canon string, keep_id int")
