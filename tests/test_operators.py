@@ -378,3 +378,12 @@ def test_scorers_of_further_models(spark):
     assert one == {("a", "z"): pytest.approx(1.0), ("b", "z"): pytest.approx(0.8 / 1.4), ("c", "y"): 0.0}
     pop = {(r["l"], r["d"]): r["score"] for r in S.content_popularity(train, asked, vec_l, vec_d).collect()}
     assert pop == {("a", "z"): 0.0, ("b", "z"): 0.0, ("c", "y"): pytest.approx((0.6 * 2 + 0.8 * 1) * 2, abs=1e-6)}
+
+
+def test_vectors_are_scrubbed_and_asserted(spark):
+    df = spark.createDataFrame([([1.0, float("nan")],), ([float("inf"), None],)], "v array<double>")
+    clean = df.select(V.scrubbed(F.col("v")).alias("v"))
+    assert [r["v"] for r in clean.select(V.asserted(F.col("v"), 2).alias("v")).collect()] == [[1.0, 0.0], [0.0, 0.0]]
+    for bad, width in ((df, 2), (clean, 3)):
+        with pytest.raises(Exception, match="finite vector"):
+            bad.select(V.asserted(F.col("v"), width)).collect()
