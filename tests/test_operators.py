@@ -387,3 +387,23 @@ def test_vectors_are_scrubbed_and_asserted(spark):
     for bad, width in ((df, 2), (clean, 3)):
         with pytest.raises(Exception, match="finite vector"):
             bad.select(V.asserted(F.col("v"), width)).collect()
+
+
+def test_vectors_of_many_nodes_are_compared_once(spark, monkeypatch):
+    rng = random.Random(4)
+    kinds = [[rng.uniform(-1, 1) for _ in range(4)] for _ in range(5)] + [[0.0] * 4]
+    vecs = spark.createDataFrame([(f"n{i:02}", kinds[i % 6]) for i in range(60)], "node string, vec array<double>")
+    nodes = vecs.select(F.lit(1).cast("bigint").alias("fold"), "node")
+    member, reps = similarity.classes(vecs)
+    assert reps.count() == 6
+    train = nodes.filter("node < 'n40'")
+    want = similarity.top_cosine(nodes.join(vecs, "node"), train.join(vecs, "node"), 10, ["fold"])
+    of_node = similarity.nearest_of_classes(nodes, train, (member, reps), 10, ["fold"]).join(member.select("rep", F.col("node").alias("n")), F.col("q") == F.col("rep"))
+    assert sorted(map(tuple, of_node.select("n", "node", "sim", "rank").collect())) == sorted(map(tuple, want.select("q", "node", "sim", "rank").collect()))
+    compared = []
+    plain = similarity.top_cosine
+    monkeypatch.setattr(similarity, "top_cosine", lambda q, c, *a: compared.append((q.count(), c.count())) or plain(q, c, *a))
+    pairs = nodes.select("fold", F.col("node").alias("l"), F.lit("d").alias("d"))
+    scoring.score_all(pairs, pairs.withColumn("label", F.lit(1)), vecs, spark.createDataFrame([("d", [1.0])], "node string, vec array<double>"), ["knn_content", "neighbour_popularity"]).count()
+    # Both scorers share one search of l, over its six vectors.
+    assert sorted(compared) == [(1, 1), (6, 6)]
