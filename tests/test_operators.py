@@ -407,3 +407,19 @@ def test_vectors_of_many_nodes_are_compared_once(spark, monkeypatch):
     scoring.score_all(pairs, pairs.withColumn("label", F.lit(1)), vecs, spark.createDataFrame([("d", [1.0])], "node string, vec array<double>"), ["knn_content", "neighbour_popularity"]).count()
     # Both scorers share one search of l, over its six vectors.
     assert sorted(compared) == [(1, 1), (6, 6)]
+
+
+def _models_made(monkeypatch):
+    from bipartia.plans import associations as A
+
+    made = []
+    whole = A.score_wide
+    monkeypatch.setattr(A, "score_wide", lambda train, asked, a, b, only: made.append(list(only)) or whole(train, asked, a, b, only))
+    A.forget()
+    return A, made
+
+
+def test_golden_compare_evaluates_what_it_compares(spark, sf, monkeypatch):
+    A, made = _models_made(monkeypatch)
+    A.QUERIES["golden_compare"](spark, sf).count()
+    assert len(made) == 2
