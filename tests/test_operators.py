@@ -423,3 +423,10 @@ def test_golden_compare_evaluates_what_it_compares(spark, sf, monkeypatch):
     A, made = _models_made(monkeypatch)
     A.QUERIES["golden_compare"](spark, sf).count()
     assert len(made) == 2
+
+
+@pytest.mark.parametrize("name", ["novel_candidates", "external_hits"])
+def test_only_the_model_that_comes_out_is_scored(spark, sf, monkeypatch, name):
+    A, made = _models_made(monkeypatch)
+    A.QUERIES[name](spark, sf).count()
+    assert made == [["knn_content"]]
