@@ -75,9 +75,8 @@ def stream_event_counts(spark, sf_dir):
 
 def eval_learned_both(spark, sf_dir):
     """Learned scorers on both-cold folds."""
-    train, pos = A.blocks(spark, sf_dir, "both")
-    asked = cut(A.scored(spark, sf_dir, "both").filter("model = 'random'").select("fold", "l", "d", "label"))
-    s = cut(score_all(cut(train), asked, A.contents(spark, sf_dir, "l"), A.contents(spark, sf_dir, "d"), LEARNED))
+    train, asked = cut(A.blocks(spark, sf_dir, "both")[0]), A.drawn(spark, sf_dir, "both")
+    s = score_all(train, asked, A.contents(spark, sf_dir, "l"), A.contents(spark, sf_dir, "d"), LEARNED)
     return metrics.average_precision(s, ["model", "fold"])
 
 

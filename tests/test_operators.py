@@ -430,3 +430,42 @@ def test_only_the_model_that_comes_out_is_scored(spark, sf, monkeypatch, name):
     A, made = _models_made(monkeypatch)
     A.QUERIES[name](spark, sf).count()
     assert made == [["knn_content"]]
+
+
+# --- learned scorers ----------------------------------------------------------------------------------------------------
+def _learned_case(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(30, 6)), rng.normal(size=(12, 6))
+    pairs = sorted({(int(rng.integers(3)), f"l{i}", f"d{j}") for i in range(20) for j in rng.permutation(8)[:4]})
+    train = spark.createDataFrame([(f + 1, a, b) for f, a, b in pairs], "fold bigint, l string, d string")
+    asked = spark.createDataFrame([(f, f"l{i}", f"d{j}") for f in (1, 2, 3) for i in range(20, 30) for j in range(8, 12)], "fold bigint, l string, d string")
+    vec = lambda m, c: spark.createDataFrame([(f"{c}{i}", [float(v) for v in r]) for i, r in enumerate(m)], "node string, vec array<double>")
+    return train, asked, vec(x, "l"), vec(y, "d")
+
+
+def test_learned_scorers_share_negatives_and_rows(spark, monkeypatch):
+    from bipartia.operators import learned
+
+    calls, real = [], learned.negatives
+    monkeypatch.setattr(learned, "negatives", lambda *a: calls.append(1) or real(*a))
+    train, asked, a, b = _learned_case(spark)
+    names = ["pair_forest", "product_logistic", "pair_boost"]
+    monkeypatch.setattr(learned.SCORERS["pair_forest"], "features", (learned.concat, 4), raising=False)
+    monkeypatch.setattr(learned.SCORERS["pair_boost"], "features", (learned.concat, 4), raising=False)
+    got = {(r["fold"], r["l"], r["d"]): r for r in scoring.score_wide(train, asked, a, b, names).collect()}
+    assert len(calls) == 1 and len(got) == asked.count()
+    alone = {(r["fold"], r["l"], r["d"]): r["score"] for r in scoring.SCORERS["product_logistic"](train, asked, a, b).collect()}
+    assert all(abs(alone[k] - r["product_logistic"]) < 1e-6 and 0 <= r["pair_forest"] <= 1 for k, r in got.items())
+
+
+def test_components_are_those_of_spark(spark):
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    from bipartia.operators import learned
+
+    x = np.random.default_rng(5).normal(size=(200, 5)) * [5, 4, 3, 2, 1] + 1
+    df = spark.createDataFrame([([float(v) for v in r],) for r in x], "x array<double>").repartition(3)
+    m = learned._moments(df, lambda b: b.column("x").flatten().to_numpy().reshape(b.num_rows, -1))
+    want = PCA(k=3, inputCol="v", outputCol="p").fit(df.select(array_to_vector("x").alias("v"))).pc.toArray()
+    assert np.allclose(np.abs(learned._components(m, 5, 3)), np.abs(want), atol=1e-6)
