@@ -432,7 +432,7 @@ def test_only_the_model_that_comes_out_is_scored(spark, sf, monkeypatch, name):
     assert made == [["knn_content"]]
 
 
-# --- learned scorers ----------------------------------------------------------------------------------------------------
+# --- learned scorers and the pool without hubs -------------------------------------------------------------------------
 def _learned_case(spark):
     rng = np.random.default_rng(4)
     x, y = rng.normal(size=(30, 6)), rng.normal(size=(12, 6))
@@ -469,3 +469,17 @@ def test_components_are_those_of_spark(spark):
     m = learned._moments(df, lambda b: b.column("x").flatten().to_numpy().reshape(b.num_rows, -1))
     want = PCA(k=3, inputCol="v", outputCol="p").fit(df.select(array_to_vector("x").alias("v"))).pc.toArray()
     assert np.allclose(np.abs(learned._components(m, 5, 3)), np.abs(want), atol=1e-6)
+
+
+def test_pool_is_not_written_for_each_model(spark, monkeypatch):
+    from bipartia.plans import associations as A
+
+    rows = [(1, f"l{i:02}", f"d{j}", int((i + j) % 7 == 0), float(i * (j + 1) % 11), float(i % 3)) for i in range(40) for j in range(3)]
+    pool, one = spark.createDataFrame(rows, "fold bigint, l string, d string, label int, a double, b double"), spark.createDataFrame([(f"l{i:02}", 1) for i in range(0, 40, 2)], "l string, only_one int")
+    monkeypatch.setattr(A, "cut", lambda *a, **k: pytest.fail("a table is written"))
+    got = {(r["model"], r["q"]): (r["n_pool"], r["n_pos"], r["n_only"], r["hits"], r["hits_only"]) for r in A._pool_hits(pool, one, ["a", "b"]).collect()}
+    for at, model in ((4, "a"), (5, "b")):
+        for q in ("d0", "d1", "d2"):
+            own = sorted((r for r in rows if r[2] == q), key=lambda r: (-r[at], r[1]))
+            even = lambda rs: sum(r[3] for r in rs if int(r[1][1:]) % 2 == 0)
+            assert got[model, q] == (40, sum(r[3] for r in own), even(own), sum(r[3] for r in own[:20]), even(own[:20]))
