@@ -483,3 +483,31 @@ def test_pool_is_not_written_for_each_model(spark, monkeypatch):
             own = sorted((r for r in rows if r[2] == q), key=lambda r: (-r[at], r[1]))
             even = lambda rs: sum(r[3] for r in rs if int(r[1][1:]) % 2 == 0)
             assert got[model, q] == (40, sum(r[3] for r in own), even(own), sum(r[3] for r in own[:20]), even(own[:20]))
+
+
+# --- the best of all candidates -----------------------------------------------------------------------------------------
+@pytest.mark.parametrize("share", [2, 16])
+def test_best_of_all_is_the_whole_ranking(spark, monkeypatch, share):
+    """As from every pair, with nodes of one vector, nodes without training pairs, ties and more l than are asked for."""
+    monkeypatch.setattr(scoring, "BOUND_SHARE", share)
+    monkeypatch.setattr(scoring, "MEET", 9)
+    rng = np.random.default_rng(8)
+    vec = lambda c, n: spark.createDataFrame([(f"{c}{i:02}", [float(v) for v in np.eye(4)[i % 4] + i % 7]) for i in range(n)], "node string, vec array<double>")
+    pairs = sorted({(int(rng.integers(1, 3)), f"l{rng.integers(36):02}", f"d{rng.integers(9):02}") for _ in range(150)})
+    train = spark.createDataFrame([p for p in pairs if int(p[2][1:]) % 2 == p[0] % 2], "fold bigint, l string, d string")
+    ls, ds = ([(f, f"{c}{i:02}") for f in (1, 2) for i in range(n) if c == "l" or i % 2 != f % 2] for c, n in (("l", 40), ("d", 12)))
+    nodes = {"l": spark.createDataFrame(ls, "fold bigint, l string"), "d": spark.createDataFrame(ds, "fold bigint, d string")}
+    names = ["random", "popularity", "popularity_one_sided", "knn_content", "neighbour_popularity"]
+    for side in ("d", "l"):
+        wide = scoring.score_wide(train, nodes["l"].join(nodes["d"], "fold"), vec("l", 40), vec("d", 12), names)
+        want = metrics.top_ranked(scoring.long_scores(wide, names), ["model", "fold", side], 10, "l" if side == "d" else "d")
+        got = scoring.best_of_all(train, nodes, side, vec("l", 40), vec("d", 12), names, 10)
+        key = lambda r: (r["model"], r["fold"], r["l"], r["d"], round(r["score"], 8), r["rank"])
+        assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+def test_recall_of_diseases_makes_no_table_of_all_pairs(spark, sf, monkeypatch):
+    from bipartia.plans import associations as A
+
+    monkeypatch.setattr(A, "ranked_wide", lambda *a, **k: pytest.fail("every pair is scored and written"))
+    assert A.QUERIES["recall_at_k_disease"](spark, sf).count() > 0
